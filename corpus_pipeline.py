@@ -5,15 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrook.llm import packing
+from tallyrook.llm import crf_quality, packing
 from tallyrook.llm.common import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents that pass: at least 20 words, few repeats, mostly content lines."""
+    model = crf_quality.fit(docs, table(spark, sf_dir, "labels"))
+    judged = crf_quality.assess(docs, model, prefix="__quality_")
+    return judged.where("__quality_kept").select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("packing", pack_sequences)]
 #: The stages hold models and tokenizers, which SQL does not express.
 ORACLE_SQL = None
 

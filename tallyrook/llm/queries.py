@@ -7,22 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenize
+from . import crf_quality, packing, tokenize, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crf_quality.assess(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_bpe": op3_bpe,
+    "op4_crf_quality": op4_crf_quality,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
