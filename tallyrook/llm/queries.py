@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, packing, tokenize, warc
+from . import crf_quality, jaccard, packing, tokenize, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -30,10 +30,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_bpe": op3_bpe,
     "op4_crf_quality": op4_crf_quality,
     "op9_packing": op9_packing,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
