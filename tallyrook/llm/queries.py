@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, jaccard, packing, tokenize, warc
+from . import crf_quality, embedding_pairs, jaccard, line_templates, packing, preference, tokenize, unit_dedup, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.neighbours(table(spark, sf_dir, "conversations")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
@@ -26,6 +30,18 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.assess(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report="removed")
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), report="dropped_lines")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pairs.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
@@ -36,8 +52,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_preference": op2_preference,
     "op3_bpe": op3_bpe,
     "op4_crf_quality": op4_crf_quality,
+    "op6_unit_dedup": op6_unit_dedup,
+    "op7_line_templates": op7_line_templates,
+    "op8_embeddings": op8_embeddings,
     "op9_packing": op9_packing,
     "op10_jaccard": op10_jaccard,
 }
