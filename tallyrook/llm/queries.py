@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, embedding_pairs, jaccard, line_templates, packing, preference, tokenize, unit_dedup, warc
+from . import crf_quality, embedding_pairs, jaccard, line_templates, mixing_lm, packing, preference, tokenize, unit_dedup, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.assess(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op5_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report="removed")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_preference": op2_preference,
     "op3_bpe": op3_bpe,
     "op4_crf_quality": op4_crf_quality,
+    "op5_mixing_lm": op5_mixing_lm,
     "op6_unit_dedup": op6_unit_dedup,
     "op7_line_templates": op7_line_templates,
     "op8_embeddings": op8_embeddings,
