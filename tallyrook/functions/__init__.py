@@ -1 +1,3 @@
+"""Column functions: all JVM-side expressions."""
 
+from .text import *  # noqa: F403
