@@ -17,7 +17,7 @@ def _whole(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return empty
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    rows = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
 
 
@@ -37,7 +37,9 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """(path, proposal) of each *.json; null where a file, without its code fence, is none."""
-    return _whole(spark, folder, "*.json").select("path", F.from_json(strip_fence("content"), schemas.PROPOSAL).alias("proposal"))
+    inside = strip_fence("content")
+    parsed = F.when(F.try_parse_json(inside).isNotNull(), F.from_json(inside, schemas.PROPOSAL))
+    return _whole(spark, folder, "*.json").select("path", parsed.alias("proposal"))
 
 
 def read_artifacts(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def read_artifacts(spark: SparkSession, paths: list[str]) -> DataFrame:
             there.append(p)
     if not there:
         return spark.createDataFrame([], "artifact string, content string")
-    rows = spark.read.option("wholetext", True).text(there)
+    rows = spark.read.text(there, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("artifact"), F.col("value").alias("content"))
 
 
