@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import regex
 
 # The white space of the tokenizer's pattern, and the pattern itself.
@@ -31,6 +32,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _shared(words: list[bytes], width: int = 24) -> list[int]:
+    """How many bytes each of the sorted words shares with the one before."""
+    if not words:
+        return []
+    a = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    differ = a[1:] != a[:-1]
+    n = np.where(differ.any(1), differ.argmax(1), width)
+    n = np.minimum(n, np.minimum(size[1:], size[:-1]))
+    for i in np.flatnonzero((n == width) & (np.minimum(size[1:], size[:-1]) > width)).tolist():
+        x, y, k = words[i], words[i + 1], width
+        while k < len(x) and k < len(y) and x[k] == y[k]:
+            k += 1
+        n[i] = k
+    return [0, *n.tolist()]
+
+
 class TrieBPE:
     """Encodes and decodes with a byte-level BPE file of the tokenizers library.
 
@@ -57,37 +75,63 @@ class TrieBPE:
             self.made.setdefault((vocab[a], vocab[b]), (rank, t))
             self.parts.setdefault(t, (rank, vocab[a], vocab[b]))
         single = {i for i, s in self.token_bytes.items() if len(s) == 1 and i not in self.special.values()}
-        # Trie of the reversed tokens: the tokens that end at a place, by a walk to the left.
-        self.ending: dict = {}
-        for i, s in self.token_bytes.items():
-            if i in self.special.values() or not (i in single or i in self.parts):
-                continue
-            node = self.ending
-            for b in reversed(s):
-                node = node.setdefault(b, {})
-            node[-1] = i
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._prune()
+        ordinary = {s: i for i, s in self.token_bytes.items() if i not in self.special.values() and (i in single or i in self.parts)}
+        self.bytes_of = {s[0]: i for s, i in ordinary.items() if len(s) == 1}
+        self._automaton({s: i for s, i in ordinary.items() if len(s) == 1 or self._merged(s) == [i]})
+        self.as_id = {i: array("I", [i]).tobytes() for i in self.token_bytes}
+        self.fits: dict[int, bool] = {}
         self.limit = limit
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.led: dict[str, bytes | None] = {}  # pieces after a space that is not in the key
+        self.old_led: dict[str, bytes | None] = {}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _prune(self) -> None:
-        """Take out tokens that merging their own bytes does not give."""
-        for t in sorted(self.parts, key=lambda t: len(self.token_bytes[t])):
-            _, a, b = self.parts[t]
-            if self._bytes_merged(self.token_bytes[t]) != [t]:
-                node = self.ending
-                for x in reversed(self.token_bytes[t]):
-                    node = node[x]
-                node.pop(-1, None)
-
-    def _bytes_merged(self, s: bytes) -> list[int]:
+    def _automaton(self, tokens: dict[bytes, int]) -> None:
+        """For every state (a beginning of a token) the tokens that end there, the longest
+        first. A token that merging its own bytes does not give is not among them."""
+        self.child: list[dict[int, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for s, t in tokens.items():
+            at = 0
+            for b in s:
+                to = self.child[at].get(b)
+                if to is None:
+                    to = self.child[at][b] = len(self.child)
+                    self.child.append({})
+                    own.append(None)
+                at = to
+            own[at] = (t, len(s))
+        self.back = [0] * len(self.child)
+        self.ends: list[tuple] = [()] * len(self.child)
+        self.go: dict[int, int] = {}
+        level = [(0, b, x) for b, x in self.child[0].items()]
+        while level:
+            below = []
+            for at, b, x in level:
+                self.back[x] = self._next(self.back[at], b) if at else 0
+                self.ends[x] = ((own[x],) if own[x] else ()) + self.ends[self.back[x]]
+                below += [(x, c, y) for c, y in self.child[x].items()]
+            level = below
+
+    def _next(self, at: int, b: int) -> int:
+        first = at
+        while True:
+            to = self.child[at].get(b)
+            if to is not None or not at:
+                break
+            at = self.back[at]
+        to = to or 0
+        if len(self.go) > 1_000_000:
+            self.go.clear()
+        self.go[first << 8 | b] = to
+        return to
+
+    def _merged(self, s: bytes) -> list[int]:
         """Plain merging in rank order (only used to check the vocabulary's own tokens)."""
-        ids = [self.ending[b][-1] for b in s]
+        ids = [self.bytes_of[b] for b in s]
         while len(ids) > 1:
             best = min(((self.made[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.made), default=None)
             if best is None:
@@ -100,7 +144,6 @@ class TrieBPE:
         """Does merging the bytes of left + right in rank order end in exactly this pair?
         Undo the later of the two merges step by step: a pair at the border that would
         have merged before either side was complete makes the split impossible."""
-        key = (left, right)
         limit = (1 << 60, 0)
         parts, made = self.parts, self.made
         l, r = left, right
@@ -123,79 +166,82 @@ class TrieBPE:
                 # merges of equal rank go from left to right: the border comes first
                 limit = (rr, 1)
                 r = pr[1]
-        self.fits[key] = ok
+        self.fits[left << 32 | right] = ok
         return ok
 
     def encode_words(self, words: Iterable[str]) -> None:
         """Put the distinct words' encodings into self.words, by one depth-first walk of
         their trie: sorted order visits it in preorder, and the arrays are the path."""
-        root, fits = self.ending, self.fits
+        ends, go, fits, as_id = self.ends, self.go, self.fits, self.as_id
+        found = self.words
         last: list[int] = []  # last token of the prefix that ends here
-        size: list[int] = []  # its length in bytes
-        before = b""
-        if len(fits) > 4_000_000:
+        code: list[bytes] = []  # the prefix's encoding
+        state: list[int] = []  # of the automaton
+        if len(fits) > 1_500_000:
             fits.clear()
-        for s, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            n, d = len(s), 0
-            m = min(n, len(before))
-            if s[:m] == before[:m]:
-                d = m
-            else:
-                while s[d] == before[d]:
-                    d += 1
-            del last[d:], size[d:]
-            while d < n:
+        order = sorted([(w.encode("utf-8", "surrogatepass"), w) for w in words])
+        for (s, word), d in zip(order, _shared([s for s, _ in order]), strict=True):
+            del last[d:], code[d:], state[d:]
+            at = state[-1] if d else 0
+            for b in s[d:]:
                 d += 1
-                node, ends, i = root, [], d - 1
-                while i >= 0:
-                    node = node.get(s[i])
-                    if node is None:
+                to = go.get(at << 8 | b)
+                at = self._next(at, b) if to is None else to
+                for t, k in ends[at]:
+                    if k == d:
+                        code.append(as_id[t])
                         break
-                    t = node.get(-1)
-                    if t is not None:
-                        ends.append((t, i))
-                    i -= 1
-                while True:
-                    t, i = ends.pop()
-                    if i == 0:
-                        break
-                    key = (last[i - 1], t)
-                    ok = fits.get(key)
+                    left = last[d - k - 1]
+                    ok = fits.get(left << 32 | t)
                     if ok is None:
-                        ok = self._may_follow(*key)
+                        ok = self._may_follow(left, t)
                     if ok:
+                        code.append(code[d - k - 1] + as_id[t])
                         break
                 last.append(t)
-                size.append(d - i)
-            ids = []
-            while d > 0:
-                ids.append(last[d - 1])
-                d -= size[d - 1]
-            ids.reverse()
-            self.words[word] = array("I", ids).tobytes()
-            before = s
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > self.limit:
-            self.pieces, self.old_pieces = {}, self.pieces
-        if len(self.words) > self.limit:
-            self.words, self.old_words = {}, self.words
-        new = pieces - self.pieces.keys()
-        old = self.old_pieces
+                state.append(at)
+            found[word] = code[-1] if d else b""
+
+    @staticmethod
+    def _split_piece(p: str) -> list[str]:
+        """The pattern's words of a piece; those of letters, with or without a mark behind,
+        are seen without the pattern."""
+        word = p[1:] if p[0] == " " else p
+        if word.isalpha():
+            return [p]
+        if len(word) > 1 and word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [p[:-1], p[-1]]
+        return _WORDS.findall(p)
+
+    def _recall(self, name: str, wanted: set[str]) -> set[str]:
+        """What of the wanted a memory does not hold; a full memory becomes the old one."""
+        if len(getattr(self, name)) > self.limit:
+            setattr(self, f"old_{name}", getattr(self, name))
+            setattr(self, name, {})
+        now, old = getattr(self, name), getattr(self, f"old_{name}")
+        new = wanted - now.keys()
         again = new & old.keys()
-        self.pieces.update((p, old[p]) for p in again)
-        new -= again
-        if not new:
-            return
-        split = {p: _WORDS.findall(p) for p in new}
-        fresh = {w for ws in split.values() for w in ws} - self.words.keys()
-        old = self.old_words
-        again = fresh & old.keys()
-        self.words.update((w, old[w]) for w in again)
-        self.encode_words(fresh - again)
+        now.update((k, old[k]) for k in again)
+        return new - again
+
+    def _learn(self, split: dict[str, list[str]]) -> dict[str, bytes]:
+        """Encodings of pieces that are given as words."""
+        self.encode_words(self._recall("words", {w for ws in split.values() for w in ws}))
         get = self.words.__getitem__
-        for p, ws in split.items():
-            self.pieces[p] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        return {p: get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for p, ws in split.items()}
+
+    def _learn_led(self, pieces: set[str]) -> None:
+        """Pieces between single spaces. One that is empty, or begins or ends with white
+        space, depends on its neighbours and has None."""
+        new = self._recall("led", pieces)
+        alone = {p for p in new if p and p[0] not in _WS and p[-1] not in _WS}
+        self.led.update((p, None) for p in new - alone)
+        found = self._learn({" " + p: self._split_piece(" " + p) for p in alone})
+        self.led.update((p[1:], e) for p, e in found.items())
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = self._recall("pieces", pieces)
+        self.pieces.update(self._learn({p: self._split_piece(p) for p in new}))
 
     def encode_many(self, texts: list[str], chunk: int = 1 << 22) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers in machine order (little-endian on all
@@ -211,16 +257,26 @@ class TrieBPE:
             yield from self._encode(some)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._split.split(t) if self._split and any(x in t for x in self.special) else [t] for t in texts]
-        found = [[x if x in self.special and i % 2 else _PIECES.findall(x) for i, x in enumerate(p)] for p in parts]
-        seen: set[str] = set()
-        for p in found:
-            for x in p:
-                if not isinstance(x, str):
-                    seen.update(x)
-        self._learn(seen)
+        plain: dict[int, list[str]] = {i: t.split(" ") for i, t in enumerate(texts) if not any(x in t for x in self.special)}
+        self._learn_led(set().union(*plain.values()))
+        out: list[bytes | None] = [None] * len(texts)
+        get, some = self.led.__getitem__, {}
+        self._learn_pieces({x[0] for x in plain.values() if x[0]})
+        for i, x in plain.items():
+            try:
+                out[i] = (self.pieces[x[0]] if x[0] else b"") + b"".join(map(get, x[1:]))
+                if x[0] and x[0][-1] in _WS and len(x) > 1:
+                    out[i] = None
+            except TypeError:  # a None: white space beside a space
+                pass
+        for i in (i for i, e in enumerate(out) if e is None):
+            parts = self._split.split(texts[i]) if i not in plain else [texts[i]]
+            some[i] = [x if k % 2 else _PIECES.findall(x) for k, x in enumerate(parts)]
+        self._learn_pieces({p for ps in some.values() for x in ps if not isinstance(x, str) for p in x})
         get = self.pieces.__getitem__
-        return [b"".join([array("I", [self.special[x]]).tobytes() if isinstance(x, str) else b"".join(map(get, x)) for x in p]) for p in found]
+        for i, ps in some.items():
+            out[i] = b"".join(self.as_id[self.special[x]] if isinstance(x, str) else b"".join(map(get, x)) for x in ps)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of encoded ids; bytes that are not UTF-8 become the replacement character."""
