@@ -91,10 +91,10 @@ def drop_repeats(docs: DataFrame, min_words: int = 8, report: str | None = None)
     found = written(rows.mapInArrow(run, "row long, doc long, start int, end int, digest binary"), "units")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    again = found.join(first, "digest").where(F.col("first") != place).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = docs.withColumn("__row", row).join(again.hint("shuffle_hash"), F.col("__row") == F.col("row"), "left").drop("row", "__row")
+    again = found.join(first, "digest").where(F.col("first") != place).groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    joined = docs.withColumn("__row", row).join(again.hint("shuffle_hash"), "__row", "left")
     report_as = report or "__removed"
-    joined = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("spans").alias("__spans"))
+    joined = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "__spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField(report_as, span)])
     at = docs.columns.index("text")
