@@ -26,12 +26,14 @@ def records(raw: DataFrame, config: MineConfig) -> DataFrame:
     string may begin with a bracket."""
     parsed = raw.withColumn("__v", F.try_parse_json("value")).where("__v is not null")
     kind = F.schema_of_variant(F.variant_get("__v", "$.message.content", "variant"))
-    rec = parsed.select(
-        _path("value", "$.type").alias("type"), _path("value", "$.sessionId").alias("session_id"), _path("value", "$.uuid").alias("uuid"), _path("value", "$.timestamp").alias("ts"), _path("value", "$.cwd").alias("cwd"),
-        F.coalesce(_path("value", "$.isSidechain") == "true", F.lit(False)).alias("is_sidechain"), _path("value", "$.message").alias("message"), _path("value", "$.message.content").alias("content"),
-        F.when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").alias("content_kind"),
-        F.coalesce(_path("value", "$.toolUseResult.file.totalLines").try_cast("bigint"), _path("value", "$.toolUseResult.file.numLines").try_cast("bigint"), F.lit(0)).alias("total_lines"), "filename",
-    ).where("session_id is not null")
+    kind = F.when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").alias("content_kind")
+    # one pass over the line gives all its top fields
+    names = ["type", "session_id", "uuid", "ts", "cwd", "sidechain", "message", "tur"]
+    top = parsed.select("filename", kind, F.json_tuple("value", "type", "sessionId", "uuid", "timestamp", "cwd", "isSidechain", "message", "toolUseResult").alias(*names)).where("session_id is not null")
+    lines = F.coalesce(_path("tur", "$.file.totalLines").try_cast("bigint"), _path("tur", "$.file.numLines").try_cast("bigint"), F.lit(0))
+    rec = top.select(
+        "type", "session_id", "uuid", "ts", "cwd", F.coalesce(F.col("sidechain") == "true", F.lit(False)).alias("is_sidechain"), "message", _path("message", "$.content").alias("content"), "content_kind", lines.alias("total_lines"), "filename",
+    )
     if config.since and config.compat_since:
         rec = rec.where(F.col("ts") >= config.since)
     return number_turns(rec)
