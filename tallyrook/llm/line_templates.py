@@ -15,28 +15,34 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# What separates tokens, and the sign of a variable field.
-SPACE = r"[\x20\x09-\x0D]+"
+# Fixed value: the sign of a variable field.
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by single spaces, those with digits as <*>."""
-    plain = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(plain)
+def _plain(line: Column) -> Column:
+    """The line's tokens joined by single spaces. Only what differs is replaced: most lines
+    have nothing but single spaces."""
+    return F.trim(F.regexp_replace(line, r"[\x09-\x0D]+ *| {2,}", " "))
+
+
+def _masked(plain: Column) -> Column:
+    """Tokens with digits as variable fields."""
+    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(row, doc, at, masked, leaf) of each line with min_tokens tokens or more."""
-    split = docs.select("__row", F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    masked = split.select("__row", "doc", "at", _masked(F.col("line")).alias("masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lead = F.substring_index("masked", " ", depth)
-    return masked.withColumn("n", n).where(F.col("n") >= min_tokens).select("__row", "doc", "at", "masked", F.xxhash64("n", lead).alias("leaf"))
+    """(row, doc, at, plain, leaf) of each line with min_tokens tokens or more. Each step is
+    done once a line, inside the array; behind the explode it would be done again for
+    every filter and key that uses it."""
+    plain = F.transform(F.split("text", "\n"), _plain)
+    tokens = lambda s: F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1
+    keyed = F.transform(plain, lambda s: F.struct(s.alias("plain"), tokens(s).alias("n"), _masked(F.substring_index(s, " ", depth)).alias("lead")))
+    rows = docs.select("__row", F.col("doc_id").alias("doc"), F.posexplode(keyed).alias("at", "line")).where(F.col("line.n") >= min_tokens)
+    return rows.select("__row", "doc", "at", F.col("line.plain").alias("plain"), F.xxhash64("line.n", "line.lead").alias("leaf"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_share: float = 0.5, min_tokens: int = 4) -> DataFrame:
-    """(__row, drop): for rows (__row, doc_id, text), the places (from 0) of lines to drop.
+    """(__row, __drop): for rows (__row, doc_id, text), the places (from 0) of lines to drop.
 
     A first pass counts leaves; only lines of leaves that several documents share are
     looked at further, and equal masked lines of these count as one with a weight. Sums
@@ -45,8 +51,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     """
     lines = _lines(docs, depth, min_tokens)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where(f"n >= {min_docs} and a <> b").select("leaf")
-    kept = lines.join(leaves.hint("shuffle_hash"), "leaf").select("__row", "doc", "at", "masked", "leaf", F.xxhash64("leaf", "masked").alias("kind"))
-    kept = written(kept, "template-lines")
+    kept = written(lines.join(leaves.hint("shuffle_hash"), "leaf").select("__row", "doc", "at", "leaf", _masked(F.col("plain")).alias("masked")), "template-lines")
+    kept = kept.withColumn("kind", F.xxhash64("leaf", "masked"))
     # one row for each kind of line, with the number of its documents
     per_doc = kept.groupBy("kind", "leaf", "masked", "doc").agg(F.lit(1).alias("one"))
     kinds = written(per_doc.groupBy("kind", "leaf", "masked").agg(F.count("*").alias("docs")), "template-kinds")
@@ -61,7 +67,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     named = kept.join(templates.select("kind", template), "kind").select("__row", "doc", "at", "template")
     seen = named.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(f"docs >= {min_docs}")
     gone = named.join(seen.select("template", "first"), "template").where(~F.col("doc").eqNullSafe(F.col("first")))
-    return gone.groupBy("__row").agg(F.collect_set("at").alias("drop"))
+    return gone.groupBy("__row").agg(F.collect_set("at").alias("__drop"))
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_share: float = 0.5, min_tokens: int = 4, report: str | None = None) -> DataFrame:
@@ -77,8 +83,8 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_
     lines = docs.select(row.alias("__row"), F.col("doc_id"), text.alias("text"))
     gone = dropped_lines(lines, min_docs, depth, constant_share, min_tokens)
     joined = docs.withColumn("__row", row).join(gone.hint("shuffle_hash"), "__row", "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    columns = [F.when(F.col("drop").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    columns = [F.when(F.col("__drop").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if report:
-        columns.append(F.sort_array(F.coalesce(F.col("drop"), F.array().cast("array<int>"))).alias(report))
+        columns.append(F.sort_array(F.coalesce(F.col("__drop"), F.array().cast("array<int>"))).alias(report))
     return joined.select(*columns)
