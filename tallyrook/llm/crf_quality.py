@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import string_buffers
-from .words import Words, chunks, mix, windows
+from .words import Words, chunks, hash_ranges, mix, windows
 
 # The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
@@ -89,9 +89,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> Measured:
     some = b > a
     l_start, l_end, a, b = l_start[some], l_end[some], a[some], b[some]
     line_doc = w.doc[a] if len(a) else np.zeros(0, np.int64)
-    lines = Words.__new__(Words)  # whole lines, hashed like words
-    lines.buf, lines.starts, lines.ends, lines.lower = buf, l_start, l_end, False
-    dup = _seen_before(line_doc, lines.hashes() ^ mix((l_end - l_start).astype(np.uint64)))
+    dup = _seen_before(line_doc, hash_ranges(buf, l_start, l_end) ^ mix((l_end - l_start).astype(np.uint64)))
     line_words = b - a
     chars = np.maximum(1, _between(w.solid, l_start, l_end))
     count_of = lambda name: _between(np.isin(buf, np.frombuffer(bytes(_CLASSES[name]), np.uint8)), l_start, l_end)

@@ -76,7 +76,7 @@ def measured(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             buf, off = string_buffers(b.column(1))
-            for i, j in chunks(off, 1 << 23):
+            for i, j in chunks(off, 3 << 20):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 dig = digests(sets)
                 _, reps, own = np.unique(dig[:, 0] ^ mix(dig[:, 1]), return_index=True, return_inverse=True)

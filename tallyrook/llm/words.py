@@ -70,11 +70,25 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash a word."""
-        size = 1 << max(16, int(len(self.buf)).bit_length())
-        values = _byte_values()[LOWER] if self.lower else _byte_values()
-        sums = np.zeros(len(self.buf) + 1, U)
-        np.cumsum(values[self.buf] * _powers(size, _BASE)[: len(self.buf)], dtype=U, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _powers(size, _UNDO)[self.starts])
+        return hash_ranges(self.buf, self.starts, self.ends, self.lower)
+
+
+def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """One 64-bit hash of each range of bytes."""
+    size = 1 << max(16, int(len(buf)).bit_length())
+    values = _byte_values()[LOWER] if lower else _byte_values()
+    sums = np.zeros(len(buf) + 1, U)
+    part = sums[1:]
+    np.take(values, buf, out=part)
+    part *= _powers(size, _BASE)[: len(buf)]
+    np.cumsum(part, out=part)
+    return mix((sums[ends] - sums[starts]) * _powers(size, _UNDO)[starts])
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of all ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +104,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(acc[at]), at
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `size` bytes; a longer text is a run of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
