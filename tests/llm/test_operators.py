@@ -265,7 +265,7 @@ def test_lm_costs_are_a_distribution():
     s = shard(vocab, n)
     table = np.zeros((2, mixing_lm.OFFSETS[-1]))
     s.table(s.edge_train, table)
-    weights, _ = mixing_lm.fit_weights(s, table)
+    weights = mixing_lm.fit_weights(s, table)[0]
     met = mixing_lm.observe(s, table, weights).reshape(2, 8, mixing_lm.GATES, mixing_lm.LEVELS)
     refined = (met[1] + 1) / (met.sum(0) + 2)
     local = s.beginnings(s.edge_train)
@@ -357,7 +357,9 @@ def test_templates_against_loops(spark):
 # 8 embeddings, components
 
 
-def test_components_against_loops(spark):
+@pytest.mark.parametrize("part", [20, 500_000])
+def test_components_against_loops(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(5)
     links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(None, 1), (7, 7)] + [(500, k) for k in range(501, 600)] + [(700 + k, 701 + k) for k in range(40)]
     root = {x: x for ab in links for x in ab if x is not None}
