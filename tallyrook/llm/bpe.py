@@ -18,12 +18,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
+from .words import chunks, gathered, hash_ranges, mix
+
 # The white space of the tokenizer's pattern, and the pattern itself.
 _WS = "\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+#: Marks that are words of their own behind letters, and the sign for a piece whose
+#: encoding depends on its neighbours (no encoding has one byte).
+_MARKS, _ODD = b".,;:!?", b"?"
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies: printable
     Latin-1 for itself, the others from U+0100 on, in order."""
@@ -57,7 +64,7 @@ class TrieBPE:
     forgotten with the next change. That costs time and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -81,12 +88,11 @@ class TrieBPE:
         self.as_id = {i: array("I", [i]).tobytes() for i in self.token_bytes}
         self.fits: dict[int, bool] = {}
         self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.led: dict[str, bytes | None] = {}  # pieces after a space that is not in the key
-        self.old_led: dict[str, bytes | None] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        #: pieces after a space that is not in the key
+        self.led: dict[bytes, bytes] = {}
+        self.old_led: dict[bytes, bytes] = {}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _automaton(self, tokens: dict[bytes, int]) -> None:
@@ -124,7 +130,7 @@ class TrieBPE:
                 break
             at = self.back[at]
         to = to or 0
-        if len(self.go) > 1_000_000:
+        if len(self.go) > 400_000:
             self.go.clear()
         self.go[first << 8 | b] = to
         return to
@@ -169,7 +175,7 @@ class TrieBPE:
         self.fits[left << 32 | right] = ok
         return ok
 
-    def encode_words(self, words: Iterable[str]) -> None:
+    def encode_words(self, words: Iterable[bytes]) -> None:
         """Put the distinct words' encodings into self.words, by one depth-first walk of
         their trie: sorted order visits it in preorder, and the arrays are the path."""
         ends, go, fits, as_id = self.ends, self.go, self.fits, self.as_id
@@ -177,10 +183,10 @@ class TrieBPE:
         last: list[int] = []  # last token of the prefix that ends here
         code: list[bytes] = []  # the prefix's encoding
         state: list[int] = []  # of the automaton
-        if len(fits) > 1_500_000:
+        if len(fits) > 600_000:
             fits.clear()
-        order = sorted([(w.encode("utf-8", "surrogatepass"), w) for w in words])
-        for (s, word), d in zip(order, _shared([s for s, _ in order]), strict=True):
+        order = sorted(words)
+        for s, d in zip(order, _shared(order), strict=True):
             del last[d:], code[d:], state[d:]
             at = state[-1] if d else 0
             for b in s[d:]:
@@ -200,83 +206,141 @@ class TrieBPE:
                         break
                 last.append(t)
                 state.append(at)
-            found[word] = code[-1] if d else b""
+            found[s] = code[-1] if d else b""
 
     @staticmethod
     def _split_piece(p: str) -> list[str]:
         """The pattern's words of a piece; those of letters, with or without a mark behind,
         are seen without the pattern."""
-        word = p[1:] if p[0] == " " else p
+        word = p[1:] if p[:1] == " " else p
         if word.isalpha():
             return [p]
         if len(word) > 1 and word[:-1].isalpha() and word[-1] in ".,;:!?":
             return [p[:-1], p[-1]]
         return _WORDS.findall(p)
 
-    def _recall(self, name: str, wanted: set[str]) -> set[str]:
-        """What of the wanted a memory does not hold; a full memory becomes the old one."""
-        if len(getattr(self, name)) > self.limit:
-            setattr(self, f"old_{name}", getattr(self, name))
-            setattr(self, name, {})
-        now, old = getattr(self, name), getattr(self, f"old_{name}")
-        new = wanted - now.keys()
+    def _words_of(self, pieces: list[bytes], led: bool) -> list[list[bytes]]:
+        """The words of pieces, with the space that leads them if `led`."""
+        out, lead = [], b" " if led else b""
+        for p in pieces:
+            if p.isalpha():  # of bytes: ASCII letters only
+                out.append([lead + p])
+            elif p[:-1].isalpha() and p[-1] in _MARKS:
+                out.append([lead + p[:-1], p[-1:]])
+            else:
+                out.append([w.encode("utf-8", "surrogatepass") for w in self._split_piece((lead + p).decode("utf-8", "surrogatepass"))])
+        return out
+
+    def _learn(self, split: list[list[bytes]]) -> list[bytes]:
+        """Encodings of pieces that are given as words: new words go through the trie together."""
+        if len(self.words) > self.limit:
+            self.words, self.old_words = {}, self.words
+        words, old = self.words, self.old_words
+        new = {w for ws in split for w in ws} - words.keys()
         again = new & old.keys()
-        now.update((k, old[k]) for k in again)
-        return new - again
+        words.update((w, old[w]) for w in again)
+        self.encode_words(new - again)
+        return [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in split]
+
+    def _led_by_space(self, pieces: list[bytes]) -> list[bytes]:
+        """Encodings of distinct pieces that follow a single space. One that is empty, or
+        begins or ends with white space, has _ODD."""
+        if len(self.led) > self.limit:
+            self.led, self.old_led = {}, self.led
+        led, old = self.led, self.old_led
+        out, new = list(map(led.get, pieces)), []
+        for i in [i for i, e in enumerate(out) if e is None]:
+            p = pieces[i]
+            e = old.get(p)
+            if e is None:
+                if p.isalnum():
+                    new.append(i)
+                    continue
+                text = p.decode("utf-8", "surrogatepass")
+                if text and text[0] not in _WS and text[-1] not in _WS:
+                    new.append(i)
+                    continue
+                e = _ODD
+            out[i] = led[p] = e
+        for i, e in zip(new, self._learn(self._words_of([pieces[i] for i in new], True)), strict=True):
+            out[i] = led[pieces[i]] = e
+        return out
 
-    def _learn(self, split: dict[str, list[str]]) -> dict[str, bytes]:
-        """Encodings of pieces that are given as words."""
-        self.encode_words(self._recall("words", {w for ws in split.values() for w in ws}))
-        get = self.words.__getitem__
-        return {p: get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for p, ws in split.items()}
+    def _any(self, text: str) -> bytes:
+        """The encoding of one whole text, piece by piece."""
+        parts = self._split.split(text) if self._split else [text]
+        return b"".join(self.as_id[self.special[x]] if k % 2 else b"".join(self._learn(self._words_of([p.encode("utf-8", "surrogatepass") for p in _PIECES.findall(x)], False))) for k, x in enumerate(parts))
 
-    def _learn_led(self, pieces: set[str]) -> None:
-        """Pieces between single spaces. One that is empty, or begins or ends with white
-        space, depends on its neighbours and has None."""
-        new = self._recall("led", pieces)
-        alone = {p for p in new if p and p[0] not in _WS and p[-1] not in _WS}
-        self.led.update((p, None) for p in new - alone)
-        found = self._learn({" " + p: self._split_piece(" " + p) for p in alone})
-        self.led.update((p[1:], e) for p, e in found.items())
+    def encode_buffer(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids) of texts buf[offsets[i]:offsets[i + 1]].
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        new = self._recall("pieces", pieces)
-        self.pieces.update(self._learn({p: self._split_piece(p) for p in new}))
+        Texts fall into pieces at single spaces. Equal pieces are found by hashes over the
+        whole buffer, and what was found is compared byte by byte; each distinct piece is
+        encoded once. Texts that have white space beside a space, or a special token, are
+        encoded by themselves.
+        """
+        docs = len(offsets) - 1
+        gap = np.flatnonzero(buf == 32)
+        start, end = np.sort(np.r_[offsets[:-1], gap + 1], kind="stable"), np.sort(np.r_[gap, offsets[1:]], kind="stable")
+        lead = np.searchsorted(gap, offsets[:-1]) + np.arange(docs)  # each text's first piece
+        h = hash_ranges(buf, start, end)
+        h[lead] = mix(h[lead] ^ np.uint64(0x5DEECE66D))
+        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+        size = end - start
+        same = size[rep][inverse] == size
+        if same.all():
+            same = gathered(buf, start[rep][inverse], size) == gathered(buf, start, size)
+        if not same.all():  # two pieces with one hash
+            rep, inverse = np.arange(len(start)), np.arange(len(start))
+        data = buf.tobytes()
+        first = np.zeros(len(start), bool)
+        first[lead] = True
+        pieces = [data[a:b] for a, b in zip(start[rep].tolist(), end[rep].tolist(), strict=True)]
+        begins = first[rep]
+        after, codes = np.flatnonzero(~begins).tolist(), [_ODD] * len(pieces)
+        for i, e in zip(after, self._led_by_space([pieces[i] for i in after]), strict=True):
+            codes[i] = e
+        alone = []
+        for i in np.flatnonzero(begins).tolist():
+            text = pieces[i].decode("utf-8", "surrogatepass")
+            if not text:
+                codes[i] = b""
+            elif text[-1] not in _WS:
+                alone.append((i, [w.encode("utf-8", "surrogatepass") for p in _PIECES.findall(text) for w in self._split_piece(p)]))
+        for (i, _), e in zip(alone, self._learn([ws for _, ws in alone]), strict=True):
+            codes[i] = e
+        many = np.fromiter(map(len, codes), np.int64, len(codes))
+        odd = many % 4 > 0
+        of = np.repeat(np.arange(docs), np.diff(np.r_[lead, len(start)]))
+        hard = np.zeros(docs, bool)
+        hard[of[odd[inverse]]] = True
+        for token in self.special:
+            at = data.find(token.encode())
+            while at >= 0:
+                hard[int(np.searchsorted(offsets, at, "right")) - 1] = True
+                at = data.find(token.encode(), at + 1)
+        for i in np.flatnonzero(odd).tolist():
+            codes[i] = b""
+        flat, many = np.frombuffer(b"".join(codes), np.uint32), many // 4
+        of_piece = many[inverse]
+        ids = gathered(flat, (np.cumsum(many) - many)[inverse], of_piece)
+        cut = np.r_[0, np.cumsum(of_piece)][np.r_[lead, len(start)]]
+        if not hard.any():
+            return ids, cut
+        parts = [ids[cut[d] : cut[d + 1]] if not hard[d] else np.frombuffer(self._any(data[offsets[d] : offsets[d + 1]].decode("utf-8", "surrogatepass")), np.uint32) for d in range(docs)]
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
-    def encode_many(self, texts: list[str], chunk: int = 1 << 22) -> Iterator[bytes]:
+    def encode_column(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 21) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers in machine order (little-endian on all
-        machines that Spark runs on). `chunk`: characters whose words are gathered for one trie."""
-        some, chars = [], 0
-        for text in texts:
-            some.append(text or "")
-            chars += len(some[-1])
-            if chars >= chunk:
-                yield from self._encode(some)
-                some, chars = [], 0
-        if some:
-            yield from self._encode(some)
+        machines that Spark runs on). `chunk`: bytes of texts that are encoded together."""
+        for i, j in chunks(offsets, chunk):
+            ids, cut = self.encode_buffer(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[a:b].tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        plain: dict[int, list[str]] = {i: t.split(" ") for i, t in enumerate(texts) if not any(x in t for x in self.special)}
-        self._learn_led(set().union(*plain.values()))
-        out: list[bytes | None] = [None] * len(texts)
-        get, some = self.led.__getitem__, {}
-        self._learn_pieces({x[0] for x in plain.values() if x[0]})
-        for i, x in plain.items():
-            try:
-                out[i] = (self.pieces[x[0]] if x[0] else b"") + b"".join(map(get, x[1:]))
-                if x[0] and x[0][-1] in _WS and len(x) > 1:
-                    out[i] = None
-            except TypeError:  # a None: white space beside a space
-                pass
-        for i in (i for i, e in enumerate(out) if e is None):
-            parts = self._split.split(texts[i]) if i not in plain else [texts[i]]
-            some[i] = [x if k % 2 else _PIECES.findall(x) for k, x in enumerate(parts)]
-        self._learn_pieces({p for ps in some.values() for x in ps if not isinstance(x, str) for p in x})
-        get = self.pieces.__getitem__
-        for i, ps in some.items():
-            out[i] = b"".join(self.as_id[self.special[x]] if isinstance(x, str) else b"".join(map(get, x)) for x in ps)
-        return out
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        return self.encode_column(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64))
 
     def decode(self, ids: bytes) -> str:
         """Text of encoded ids; bytes that are not UTF-8 become the replacement character."""

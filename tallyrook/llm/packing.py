@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import string_buffers, written
 from .tokenize import coder
 
 
@@ -30,7 +30,7 @@ def tokens_by_part(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             before, wide, tokens = [], [], []
-            for e in bpe.encode_many(b.column(1).to_pylist()):
+            for e in bpe.encode_column(*string_buffers(b.column(1))):
                 ids = np.frombuffer(e + end, "<u4")
                 before.append(total)
                 total += len(ids)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import TrieBPE
+from .common import string_buffers
 
 
 @lru_cache(maxsize=2)
@@ -33,7 +34,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for b in batches:
-            enc = list(bpe.encode_many(b.column(1).to_pylist()))
+            enc = list(bpe.encode_column(*string_buffers(b.column(1))))
             ids = [memoryview(e).cast("I").tolist() for e in enc]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, enc), pa.string())], names=schema.names)
 
@@ -52,7 +53,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, ids, text = [], [], []
-            for e in bpe.encode_many(b.column(1).to_pylist()):
+            for e in bpe.encode_column(*string_buffers(b.column(1))):
                 n.append(len(e) // 4)
                 ids.append(sha(e))
                 text.append(sha(bpe.decode(e).encode()))
