@@ -1,11 +1,14 @@
 """Line dedup by log templates, in DataFrame operations only.
 
 A fixed-depth tree: the first level is a line's number of tokens, the next levels are its
-leading tokens (tokens with digits are variable fields, <*>). In a leaf, a token is a
-constant of its position if it stands there in lines of at least `min_docs` documents;
-other tokens are generalised to <*>. A line with enough constants belongs to the template
-that these make. Templates that recur in `min_docs` documents or more are dropped from
-all documents but the first.
+leading tokens (tokens with digits are variable fields, <*>). In a leaf, a token's support
+is the number of documents that have it at its position. A line makes one template for
+each level of support, min_docs * 2^k, that its tokens reach: those with at least this
+support are constants, others are generalised to <*>. So a common value of a field is a
+constant at low levels only, however large the corpus is, and rare templates are found at
+low levels beside frequent ones. A line with enough constants at a level belongs to that
+template. Templates that recur in `min_docs` documents or more are dropped from all
+documents but the first.
 """
 
 from __future__ import annotations
@@ -45,25 +48,34 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     """(__row, __drop): for rows (__row, doc_id, text), the places (from 0) of lines to drop.
 
     A first pass counts leaves; only lines of leaves that several documents share are
-    looked at further, and equal masked lines of these count as one with a weight. Sums
-    over positions replace any gathering of a template's lines, so that a template may
-    hold a third of all lines.
+    looked at further, and equal masked lines of these count as one with a weight. Where a
+    document has several kinds of line in a leaf, its tokens count once. Sums over positions
+    replace any gathering of a template's lines, so that a template may hold a third of all
+    lines. A line goes if it is not in the first document of any one of its templates.
     """
     lines = _lines(docs, depth, min_tokens)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where(f"n >= {min_docs} and a <> b").select("leaf")
     kept = written(lines.join(leaves.hint("shuffle_hash"), "leaf").select("__row", "doc", "at", "leaf", _masked(F.col("plain")).alias("masked")), "template-lines")
     kept = kept.withColumn("kind", F.xxhash64("leaf", "masked"))
-    # one row for each kind of line, with the number of its documents
-    per_doc = kept.groupBy("kind", "leaf", "masked", "doc").agg(F.lit(1).alias("one"))
-    kinds = written(per_doc.groupBy("kind", "leaf", "masked").agg(F.count("*").alias("docs")), "template-kinds")
-    tokens = kinds.select("kind", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("p", "token"))
-    constant = tokens.where(F.col("token") != FIELD).groupBy("leaf", "p", "token").agg(F.sum("docs").alias("support")).where(f"support >= {min_docs}")
-    marked = tokens.join(constant, ["leaf", "p", "token"], "left")
-    is_constant = F.col("support").isNotNull()
-    templates = marked.groupBy("kind", "leaf").agg(
-        F.bit_xor(F.when(is_constant, F.xxhash64("p", "token"))).alias("shape"), F.sum(is_constant.cast("int")).alias("constants"), F.count("*").alias("n"),
-    ).where(f"constants >= {constant_share} * n")
-    template = F.xxhash64("leaf", "n", F.coalesce("shape", F.lit(0)), "constants").alias("template")
+    # one row for each kind of line, with the number of the documents that have no other in its leaf
+    per_doc = kept.groupBy("leaf", "doc", "kind").agg(F.lit(1).alias("one")).groupBy("leaf", "doc").agg(F.collect_list("kind").alias("kinds"))
+    per_doc = written(per_doc, "template-documents")
+    alone = per_doc.where("size(kinds) = 1").groupBy(F.col("kinds")[0].alias("kind")).agg(F.count("*").alias("docs"))
+    kinds = written(kept.groupBy("kind", "leaf", "masked").agg(F.lit(1).alias("one")).drop("one").join(alone, "kind", "left"), "template-kinds")
+    tokens = kinds.select("kind", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("p", "token")).where(F.col("token") != FIELD)
+    several = per_doc.where("size(kinds) > 1").select("leaf", "doc", F.explode("kinds").alias("kind"))
+    once = several.join(tokens.select("kind", "p", "token"), "kind").groupBy("leaf", "doc", "p", "token").agg(F.lit(1).alias("one"))
+    counted = tokens.where("docs is not null").select("leaf", "p", "token", "docs").union(once.select("leaf", "p", "token", F.lit(1).cast("long")))
+    constant = counted.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("support")).where(f"support >= {min_docs}")
+    # levels of 2: the highest k with min_docs * 2^k <= support
+    level = F.length(F.bin(F.floor(F.col("support") / min_docs))).alias("level")
+    marked = tokens.join(constant, ["leaf", "p", "token"]).select("kind", "leaf", F.struct(level, F.xxhash64("p", "token").alias("hash")).alias("c"))
+    length = kinds.select("kind", F.size(F.split("masked", " ")).alias("n"))
+    lined = marked.groupBy("kind", "leaf").agg(F.collect_list("c").alias("c")).join(length, "kind").where(f"size(c) >= {constant_share} * n")
+    at_level = lambda x: F.filter("c", lambda c: c["level"] >= x)
+    shape = lambda x: F.struct(F.aggregate(at_level(x), F.lit(0).cast("long"), lambda h, c: h.bitwiseXOR(c["hash"])).alias("shape"), F.size(at_level(x)).alias("constants"))
+    templates = lined.select("kind", "leaf", "n", F.explode(F.transform(F.array_distinct(F.transform("c", lambda c: c["level"])), shape)).alias("t")).select("kind", "leaf", "n", "t.*").where(f"constants >= {constant_share} * n")
+    template = F.xxhash64("leaf", "n", "shape", "constants").alias("template")
     named = kept.join(templates.select("kind", template), "kind").select("__row", "doc", "at", "template")
     seen = named.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(f"docs >= {min_docs}")
     gone = named.join(seen.select("template", "first"), "template").where(~F.col("doc").eqNullSafe(F.col("first")))

@@ -354,6 +354,24 @@ def test_templates_against_loops(spark):
     assert got == {d: sorted(want[d]) for d, _ in rows} and any(want.values())
 
 
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_templates_with_common_values_in_fields_go(spark, n):
+    """Values that recur in many documents are fields beside tokens that all lines have, and a
+    rarer template of the same leaf is found, too."""
+    rng = random.Random(3)
+    name = lambda c: c + "".join(rng.choice("aeiou") for _ in range(6))
+    names, towns = [name("n") for _ in range(200)], [name("t") for _ in range(200)]
+    rows = [(i, f"This page was posted by {rng.choice(names)} from {rng.choice(towns)} on our forum") for i in range(n)]
+    rows += [(n + i, f"This page was last edited some {name('d')} ago with great care") for i in range(5)]
+    got = {r.doc_id: r.lines for r in line_templates.drop_templates(docs(spark, rows), report="lines").collect()}
+    assert [d for d in sorted(got) if not got[d]] == [0, n]
+
+
+def test_a_token_counts_once_a_document(spark):
+    rows = [(1, "a b c foo x\na b c foo z\na b c foo u"), (2, "a b c bar k"), (3, "a b c baz d")]
+    assert {r.doc_id: r.lines for r in line_templates.drop_templates(docs(spark, rows), report="lines").collect()} == {1: [], 2: [0], 3: [0]}
+
+
 # 8 embeddings, components
 
 
