@@ -9,8 +9,9 @@
    sets always meet in a list. Lists are kept in blocks by position.
 4. Answers. Each set is compared with the smallest one of the list of its most common
    and of its rarest prefix shingle: near copies of one text meet in one star. Where the
-   stars have put all of a list into one component, the list is skipped. In other lists,
-   the sets outside the list's largest component are compared with all; blocks and
+   stars have put all of a list into one component, the list is skipped if only components
+   are asked for. In other lists, the sets outside the list's largest component are compared
+   with all; if all links are asked for, every list's sets with each other. Blocks and
    entries whose position leaves too few shingles are skipped. The overlap of x with y is
    bounded by the overlap of x with the centre r of y's star, which is computed once, and
    the known size of y minus r: pairs below the threshold by that are skipped, too.
@@ -174,16 +175,18 @@ def _links(c: str, percent: int) -> F.Column:
     return F.expr(f"100 * ({c}) >= {percent} * (nx + ny - ({c}))")
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = None, connecting: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, members, links) of a self-join of (doc_id, text) by shingles.
 
     rows: (doc_id, n, d1, d2, shared) of each row. members: (d1, d2, n, node) for each set
     of more than one row or with a link: node is the smallest doc_id that has the set.
-    links: (x, y, both) pairs of nodes, enough of the pairs with a similarity of percent /
-    100 or more to connect what all such pairs connect (a pair is left out only where its
-    ends are connected already). Null texts and texts without words have no shingles and
+    links: (x, y, both), x < y, each pair of nodes with a similarity of percent / 100 or
+    more once, with the size of the overlap. A group of m different near copies has up to
+    m * (m - 1) / 2 of them; with `connecting`, a pair is left out where its ends are
+    connected already, so that groups cost little where only components are asked for.
+    Null texts and texts without words have no shingles and
     link with nothing, and so do rows with a null doc_id. Rows that share a doc_id count
-    as one node. `buckets` defaults to the session's number of shuffle partitions.
+    as one node, with the largest overlap of their texts. `buckets` defaults to the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,34 +210,47 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = N
     centre = index.groupBy("token").agg(F.min("node").alias("y"))
     wanted = ends.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array("common", "rare"))).alias("token"))
     stars = written(_overlaps(wanted.join(centre, "token").where("x <> y").select("x", "y").distinct(), sets).where(_links("both", percent)), "star-links")
-    reached = components(stars, "x", "y").select("node", F.col("component").alias("part"))
-    # lists that the stars leave in several parts
-    placed = index.join(reached, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    sizes = placed.groupBy("token", "part").agg(F.count("*").alias("m"))
-    lists = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("m", "part")).alias("main")).where("parts > 1")
+    if connecting:  # only the lists that the stars leave in several parts, and pairs of two parts
+        reached = components(stars, "x", "y").select("node", F.col("component").alias("part"))
+        placed = index.join(reached, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        sizes = placed.groupBy("token", "part").agg(F.count("*").alias("m"))
+        lists = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("m", "part")).alias("main")).where("parts > 1")
+        apart, outside = "px <> py", "part <> main"
+    else:
+        placed = index.withColumn("part", F.col("node"))
+        lists = index.groupBy("token").agg(F.count("*").alias("parts")).where("parts > 1")
+        apart, outside = "px < py", "true"
     mixed = written(placed.join(lists, "token").withColumn("block", F.floor(F.col("at") / POSITIONS)), "mixed-lists")
     blocks = mixed.groupBy("token", "block").agg(F.max(F.col("n") - F.col("at")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"))
-    probes = mixed.where("part <> main").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("part").alias("px"))
+    probes = mixed.where(outside).select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("part").alias("px"))
     need = f"{percent} * (nx + {{}}) / {100 + percent}.0"
     near = probes.join(blocks, "token").where(f"100 * most >= {percent} * nx and {percent} * least <= 100 * nx and least(nx - ax, rest) >= {need.format('least')}")
     found = near.select("token", "block", "x", "nx", "ax", "px").join(mixed.select("token", "block", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("part").alias("py")), ["token", "block"])
-    found = found.where(f"px <> py and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - ax, ny - ay) >= {need.format('ny')}")
-    pairs = written(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "mixed-pairs")
+    found = found.where(f"{apart} and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - ax, ny - ay) >= {need.format('ny')}")
+    pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    if not connecting:  # the stars have these
+        pairs = pairs.join(stars.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
+    pairs = written(pairs, "mixed-pairs")
     # bounds from the answers of y's centre
     known = stars.groupBy("x").agg(F.min_by(F.struct("y", "both"), "y").alias("s")).select(F.col("x").alias("y"), F.col("s.y").alias("r"), F.col("s.both").alias("yr"))
     through = pairs.join(known, "y")
+    several = written(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "ids-of-several-sets")
+    for c in ("x", "y", "r"):  # the bounds are those of one set an id
+        through = through.join(several.withColumnRenamed("node", c), c, "left_anti")
+    through = through.select("x", "y", "r", "yr")
     asked = _overlaps(through.where("x <> r").select("x", F.col("r").alias("y")).distinct(), sets).select("x", F.col("y").alias("r"), F.col("both").alias("xr"), "nx")
     size = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"))
     barred = through.join(asked, ["x", "r"]).join(size, "y").where(~_links("least(nx, xr + ny - yr)", percent)).select("x", "y")
     rest = _overlaps(pairs.join(barred, ["x", "y"], "left_anti"), sets).where(_links("both", percent))
-    links = written(stars.select("x", "y", "both").union(rest.select("x", "y", "both")), "jaccard-links")
+    links = stars.select(F.col("y").alias("x"), F.col("x").alias("y"), "both").union(rest.select("x", "y", "both"))
+    links = written(links.groupBy("x", "y").agg(F.max("both").alias("both")), "jaccard-links")
     return rows, members.select("d1", "d2", "n", "node"), links
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id
     that links reach, the row's own included (its own without links). See join()."""
-    rows, members, links = join(docs, k, percent, buckets)
+    rows, members, links = join(docs, k, percent, buckets, connecting=True)
     parts = components(links, "x", "y")
     of = members.join(parts, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     return rows.join(of, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -473,6 +473,31 @@ def test_jaccard_chains_and_lists_of_several_parts(spark):
     assert check_groups(spark, rows, buckets=2) > 10
 
 
+def test_jaccard_join_gives_every_link(spark):
+    """Groups of near copies, whose links are more than what connects them."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for i in range(12):
+            copy = list(base)
+            for _ in range(i % 4):
+                copy[rng.randrange(300)] = f"x{rng.random()}"
+            rows.append((len(rows) * 7 % 67, " ".join(copy)))  # some ids have texts of two groups
+    first = {}
+    for d, t in sorted(rows):
+        first.setdefault(frozenset(sets_of(t)), d)
+    nodes = [(d, s) for s, d in first.items()]
+    want = {}
+    for a, s in nodes:
+        for b, t in nodes:
+            if a < b and 100 * len(s & t) >= 75 * len(s | t):
+                want[a, b] = max(want.get((a, b), 0), len(s & t))
+    _, _, links = jaccard.join(docs(spark, rows), buckets=3)
+    assert sorted(map(tuple, links.collect())) == sorted((*ab, n) for ab, n in want.items()) and len(want) > 3 * len(nodes)
+    assert jaccard.join(docs(spark, rows), buckets=3, connecting=True)[2].count() < len(want)
+
+
 def test_words_and_windows():
     buf, off = common.string_buffers(pa.chunked_array([pa.array(ODD[:4] + texts(50), pa.string()), pa.array(["A b"], pa.string())]))
     w = words.Words(buf, off, lower=True)
