@@ -44,7 +44,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The sequences with their token ids, one row for each piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("substring dedup", substring_dedup), ("packing", pack_sequences)]

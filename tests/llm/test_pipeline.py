@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tallyrook.llm.common import written  # noqa: E402
+from tallyrook.llm.tokenize import coder  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +47,19 @@ def test_stages_take_effect(spark, corpus):
     assert corpus_pipeline.run(spark, d).count() == pieces.count()
 
 
+def test_result_holds_the_texts_as_ids(spark, corpus):
+    d, _, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, d), "stage")
+    bpe = coder(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, d).collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert all(ids[-1] == 0 for ids in got.values())
+    assert {i: bpe.decode(np.array(ids[:-1], "<u4").tobytes()) for i, ids in got.items()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_names_and_empty_corpus(spark, corpus, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "substring dedup", "packing"]
     spark.read.parquet(f"{corpus[0]}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
