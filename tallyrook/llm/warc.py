@@ -21,12 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 
 # What a gzip member and a WARC record begin with.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
-HEADER_LIMIT = 1 << 20
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, position long"
 
@@ -167,12 +166,12 @@ def scan(f, start: int, end: int, step: int = 1 << 20) -> Iterator[Found]:
                 bad = True
                 break
             used += len(part)
-            if not checked:  # the header shows whether this is a record at all
+            if not checked:  # the version line shows whether this is a record; its header may be of any length
                 head = b"".join(raw)
-                if head[: len(VERSION)] != VERSION[: len(head)] or (len(head) > HEADER_LIMIT and b"\r\n\r\n" not in head):
+                if head[: len(VERSION)] != VERSION[: len(head)]:
                     bad = True
                     break
-                checked = b"\r\n\r\n" in head
+                checked = len(head) >= len(VERSION)
         got = None if bad else parse(b"".join(raw))
         if got is None:
             at += 1
@@ -243,7 +242,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def round_trip(pages: DataFrame, split: int = 32 << 20) -> DataFrame:
     """Write every page as a record to archives in the shared folder, read these back,
-    and return (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    and return (page_id, payload_bytes, payload_digest, record_type, refers_to). It is an
+    error if other than the manifest's number of records is read."""
     folder = scratch(pages.sparkSession, "warc")
     manifest = write(with_revisits(pages), folder)
-    return read(manifest.select("file", "bytes"), split, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read(manifest.select("file", "bytes"), split, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = written(found, "warc-records")
+    sent, got = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if sent != got:
+        raise ValueError(f"{sent} records were written and {got} read")
+    return found

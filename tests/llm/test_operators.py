@@ -73,6 +73,15 @@ def test_warc_round_trip(spark, split):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_keeps_records_with_long_headers(spark, monkeypatch):
+    url = "data:," + "".join(random.Random(4).choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=2 << 20))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "u", "c")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 2, 3]
+    monkeypatch.setattr(warc, "read", lambda *a, f=warc.read, **kw: f(*a, **kw).where("page_id <> 2"))
+    with pytest.raises(ValueError, match="3 records were written and 2 read"):
+        warc.round_trip(pages)
+
+
 def test_warc_lists_and_reads_a_folder(spark, tmp_path):
     warc.write(spark.createDataFrame([(1, "u", "a", None), (2, "u", "a", 1)], "page_id long, url string, html string, refers_to long"), f"file://{tmp_path}/w")
     rows = warc.read(warc.list_files(spark, f"file://{tmp_path}/w")).collect()
