@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units: lines, and the sentences of lines."""
+"""Substring dedup by hashing units: paragraphs, lines, and the sentences of lines."""
 
 from __future__ import annotations
 
@@ -13,24 +13,43 @@ from pyspark.sql import types as T
 
 from .common import written
 
-_SENTENCE = re.compile(r"\S(?:[^.!?]*[.!?]+(?=\s|$)|.*$)", re.S)
+_SENTENCE = re.compile(r"\S(?:[^.!?。！？]*(?:[.!?]+(?=\s|$)|[。！？]+)|.*$)", re.S)
+# Letters of scripts that set no spaces between words; two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _size(text: str, words: list[str]) -> int:
+    """The number of words, where scripts without spaces are measured by characters."""
+    return len(words) if text.isascii() else max(len(words), len(_UNSPACED.findall(text)) // 2)
 
 
 def units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines of at least min_words words, and of the sentences
-    of that size in lines of more than one. Digests are of the words in lower case, so
-    that spacing and case don't count."""
-    at = 0
-    for line in text.split("\n"):
+    """(start, end, digest) of the lines of at least min_words words, of the sentences of
+    that size in lines of more than one, and of the paragraphs of that size (lines between
+    blank ones) of more than one line. Digests are of the words in lower case, so that
+    spacing, line breaks and case don't count."""
+    at = size = lines = start = end = 0
+    held: list[str] = []
+    for line in [*text.split("\n"), ""]:
         words = line.lower().split()
-        if len(words) >= min_words:
-            yield at, at + len(line), _digest(words)
-            found = [m.span() for m in _SENTENCE.finditer(line)]
-            if len(found) > 1:
-                for a, b in found:
-                    words = line[a:b].lower().split()
-                    if len(words) >= min_words:
-                        yield at + a, at + b, _digest(words)
+        if words:
+            n = _size(line, words)
+            if not lines:
+                start = at
+            held += words
+            size, lines, end = size + n, lines + 1, at + len(line)
+            if n >= min_words:
+                yield at, at + len(line), _digest(words)
+                found = [m.span() for m in _SENTENCE.finditer(line)]
+                if len(found) > 1:
+                    for a, b in found:
+                        words = line[a:b].lower().split()
+                        if _size(line[a:b], words) >= min_words:
+                            yield at + a, at + b, _digest(words)
+        else:
+            if lines > 1 and size >= min_words:
+                yield start, end, _digest(held)
+            held, size, lines = [], 0, 0
         at += len(line) + 1
 
 
@@ -65,7 +84,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
 def drop_repeats(docs: DataFrame, min_words: int = 8, report: str | None = None) -> DataFrame:
     """docs with every unit taken out of text that occurs earlier in the corpus.
 
-    Units are lines of at least min_words words and the sentences of that size in them.
+    Units are lines of at least min_words words, the sentences of that size in them, and
+    paragraphs of that size, whose lines may be shorter.
     The first occurrence, by doc_id (nulls last) and place, stays; a unit that repeats
     inside a document goes, too. Equal rows with one doc_id are one occurrence and stay
     alike. Null texts stay null. Columns and their order stay; with `report`, that column

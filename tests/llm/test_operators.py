@@ -318,6 +318,14 @@ def test_units_against_loops(spark):
         assert [x for x in got[i].split("\n") if x] == [x for x in keep if x]
 
 
+def test_paragraphs_of_short_lines_and_unspaced_text_go(spark):
+    poem = "\n".join(f"line {w} of it" for w in ("one", "two", "three", "four"))
+    han = "今日は天気がとても良いので散歩に行きます。"
+    rows = [(1, f"first\n\n{poem}\n\nend"), (2, f"second\n\n{poem.replace(' of', chr(10) + 'OF')}\n\nend"), (3, f"a{han}"), (4, f"{han}別の文"), (5, f"{han}他の話")]
+    got = {r.doc_id: r.text for r in unit_dedup.drop_repeats(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "second\n\n\nend", 3: rows[2][1], 4: rows[3][1], 5: "他の話"}
+
+
 # 7 templates
 
 
