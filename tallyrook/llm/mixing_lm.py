@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import string_buffers, written
-from .words import _BASE, _UNDO, LOWER, U, Words, _byte_values, _powers, chunks, gathered, hash_ranges, mix
+from .words import _BASE, _UNDO, LOWER, U, Words, _byte_values, chunks, gathered, hash_ranges, mix
 
 TABLE_BITS = (8, 16, 18, 20, 20)  # of the hashed tables, by order
 OFFSETS = np.r_[0, np.cumsum([1 << b for b in TABLE_BITS])]
@@ -41,6 +41,12 @@ _NODE = U(0x9E3779B97F4A7C15)
 _END = 10
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U)
+
+
 def held_out(ids: list) -> np.ndarray:
     """1 for texts that are not learned from, 2 for those that only the mixer learns from
     while it is fitted, 0 for the others."""

@@ -16,28 +16,30 @@ from pyspark.sql import types as T
 from .common import string_buffers, written
 from .tokenize import coder
 
+#: So many offsets of parts, of 12 bytes each, are broadcast at most.
+BROADCAST = 1_000_000
+
 
 def tokens_by_part(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """First pass: (doc_id, part, before, tokens) where `tokens` are the document's ids
-    and the end id as bytes, `part` is the task, and `before` counts the ids of the part
-    before the document. Written to the shared folder: the second pass must meet the
-    same parts, also after an executor is lost. Ids below 65536 take two bytes each."""
+    """First pass: (doc_id, part, before, n, wide, tokens) where `tokens` are the document's
+    n ids and the end id among them as bytes, `part` is the task, and `before` counts the ids
+    of the part before the document. Written to the shared folder: the second pass must meet
+    the same parts, also after an executor is lost. Ids below 65536 take two bytes each."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema[0], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("wide", T.BooleanType()), T.StructField("tokens", T.BinaryType())])
+    schema = T.StructType([rows.schema[0], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BooleanType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, total = coder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            before, wide, tokens = [], [], []
-            for e in bpe.encode_column(*string_buffers(b.column(1))):
-                ids = np.frombuffer(e + end, "<u4")
-                before.append(total)
-                total += len(ids)
-                wide.append(bool(ids.max() > 65535))
-                tokens.append((ids if wide[-1] else ids.astype("<u2")).tobytes())
-            n = len(tokens)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * n, pa.int32()), pa.array(before, pa.int64()), pa.array(wide, pa.bool_()), pa.array(tokens, pa.binary())], names=schema.names)
+            at = 0
+            for ids, cut in bpe.encode_chunks(*string_buffers(b.column(1))):
+                rows, n = len(cut) - 1, np.diff(cut) + 1
+                ids, ends = np.insert(ids, cut[1:], end_id), np.r_[0, np.cumsum(n)]
+                wide = bool(ids.max(initial=0) > 65535)
+                data = ids.astype("<u4" if wide else "<u2")
+                tokens = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(ends * data.itemsize), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + rows], pa.array([part] * rows, pa.int32()), pa.array(total + ends[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array([wide] * rows, pa.bool_()), tokens], names=schema.names)
+                total, at = total + int(ends[-1]), at + rows
 
     return written(rows.mapInArrow(run, schema), "tokens")
 
@@ -50,8 +52,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> Dat
     (ids of the document before the piece), length, ids (array<int>), ids_crc32,
     doc_tokens, sequence_id, offset. All sequences but the last are full. Null and empty
     texts are one end id; rows that repeat are packed each; an empty table gives none.
-    The totals are one row a part, so the sum over them is small at any size, and Spark
-    joins them by what it measures of them.
+    The parts' first offsets are one row a task. They are counted, and broadcast up to
+    BROADCAST rows; beyond that Spark joins them by what it measures of them.
     """
     return _cut(*_offsets(docs, path, end_id), window, True)
 
@@ -63,10 +65,9 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> D
 
 def _offsets(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
     first = tokens_by_part(docs, path, end_id)
-    size = F.octet_length("tokens") / F.when(F.col("wide"), 4).otherwise(2)
-    totals = first.groupBy("part").agg(F.max(F.col("before") + size.cast("long")).alias("total"))
-    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return first, base
+    totals = first.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
+    base = written(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base")), "offsets")
+    return first, F.broadcast(base) if base.count() <= BROADCAST else base
 
 
 def _cut(first: DataFrame, base: DataFrame, window: int, with_ids: bool) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from .bpe import TrieBPE
 from .common import string_buffers
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def coder(path: str) -> TrieBPE:
-    """One coder for each file and Python worker; it keeps the words it has met."""
+    """One coder for each file and Python worker; it keeps some of the words it has met."""
     return TrieBPE(path)
 
 
@@ -34,9 +35,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for b in batches:
-            enc = list(bpe.encode_column(*string_buffers(b.column(1))))
-            ids = [memoryview(e).cast("I").tolist() for e in enc]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, enc), pa.string())], names=schema.names)
+            at = 0
+            for ids, cut in bpe.encode_chunks(*string_buffers(b.column(1))):
+                n = len(cut) - 1
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
+                text = pa.array(list(bpe.decode_buffer(ids, cut)), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + n], lists, text], names=schema.names)
+                at += n
 
     return rows.mapInArrow(run, schema)
 
@@ -52,11 +57,12 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         bpe = coder(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            n, ids, text = [], [], []
-            for e in bpe.encode_column(*string_buffers(b.column(1))):
-                n.append(len(e) // 4)
-                ids.append(sha(e))
-                text.append(sha(bpe.decode(e).encode()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=schema.names)
+            at = 0
+            for ids, cut in bpe.encode_chunks(*string_buffers(b.column(1))):
+                wide, ends = ids.astype("<u4"), cut.tolist()
+                hashes = [sha(wide[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                text = [sha(t) for t in bpe.decode_buffer(ids, cut)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(text)], pa.array(np.diff(cut), pa.int64()), pa.array(hashes, pa.string()), pa.array(text, pa.string())], names=schema.names)
+                at += len(text)
 
     return rows.mapInArrow(run, schema)

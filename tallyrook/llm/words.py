@@ -35,9 +35,14 @@ _BASE = 0x5851F42D4C957F2D | 1
 _UNDO = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes whose prefix sums are made at once: memory does not follow the buffer's length.
+_STEP = 1 << 18
+
+
 @lru_cache(maxsize=2)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, U)
+def _powers(base: int) -> np.ndarray:
+    """base ** 0 to base ** _STEP."""
+    out = np.full(_STEP + 1, base, U)
     out[0] = 1
     return np.cumprod(out, dtype=U)
 
@@ -74,15 +79,31 @@ class Words:
 
 
 def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash of each range of bytes."""
-    size = 1 << max(16, int(len(buf)).bit_length())
-    values = _byte_values()[LOWER] if lower else _byte_values()
-    sums = np.zeros(len(buf) + 1, U)
-    part = sums[1:]
-    np.take(values, buf, out=part)
-    part *= _powers(size, _BASE)[: len(buf)]
-    np.cumsum(part, out=part)
-    return mix((sums[ends] - sums[starts]) * _powers(size, _UNDO)[starts])
+    """One 64-bit hash of each range of bytes. The starts rise; ranges may touch, not overlap."""
+    values, up, down = _byte_values()[LOWER] if lower else _byte_values(), _powers(_BASE), _powers(_UNDO)
+    out = np.zeros(len(starts), U)
+    sums = np.zeros(_STEP + 1, U)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(starts, base + _STEP - (_STEP >> 3)))  # what begins in the first seven eighths
+        top = min(len(buf), base + _STEP)
+        part = sums[1 : top - base + 1]
+        np.take(values, buf[base:top], out=part)
+        part *= up[: top - base]
+        np.cumsum(part, out=part)
+        s, e = starts[i:j] - base, ends[i:j] - base
+        long = np.flatnonzero(e > top - base)
+        out[i:j] = (sums[np.minimum(e, top - base)] - sums[s]) * down[s]
+        for k in long.tolist():  # the rest of a range that goes on, piece by piece
+            at, scale = top, pow(_BASE, top - base - int(s[k]), 1 << 64)
+            while at < base + int(e[k]):
+                to = min(at + _STEP, base + int(e[k]))
+                piece = int((values[buf[at:to]] * up[: to - at]).sum(dtype=U))
+                out[i + k] = U((int(out[i + k]) + piece * scale) % (1 << 64))
+                at, scale = to, scale * int(up[-1]) % (1 << 64)
+        i = j
+    return mix(out)
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -149,8 +149,14 @@ def test_bpe_equals_the_library(library):
 
 def test_bpe_shares_prefixes_and_survives_equal_hashes(library, monkeypatch):
     coder = bpe.TrieBPE(BPE)
-    coder.encode_words([b"tion", b"tions", b"ti", b"x"])
-    assert all(list(array.array("I", coder.words[w])) == library.encode(w.decode(), add_special_tokens=False).ids for w in (b"tion", b"tions", b"ti", b"x"))
+    ws = [b"tion", b"tions", b"ti", b"x", b"tion" * 40, b"tion" * 40 + b"s"]
+    visits = []
+    monkeypatch.setattr(coder, "step", lambda s, b, f=coder.step: visits.append(len(s)) or f(s, b))
+    size = np.array([len(w) for w in ws])
+    ids, many = coder.encode_words(np.frombuffer(b"".join(ws), np.uint8), np.cumsum(size) - size, size)
+    assert [list(x) for x in np.split(ids, np.cumsum(many)[:-1])] == [library.encode(w.decode(), add_special_tokens=False).ids for w in ws]
+    assert sum(visits) == len("tions") + len("x")  # the trie's nodes, each once
+    monkeypatch.undo()
     monkeypatch.setattr(bpe, "hash_ranges", lambda buf, a, b: np.zeros(len(a), np.uint64))
     ts = ["one two", "six ten one", ""]
     assert [list(array.array("I", e)) for e in coder.encode_many(ts)] == [r.ids for r in library.encode_batch(ts, add_special_tokens=False)]
