@@ -1,21 +1,26 @@
 """Language-model scores by logistic context mixing, bit by bit.
 
-A token is coded as its bytes and a space (the end of a text as one line feed), a byte as
-eight binary decisions. Hashed contexts (the last 0 to 4 bytes of the token) and the whole
-beginning of the token each predict a bit from counts of the training texts. A mixer adds
-the predictions in the logistic domain; its weights are chosen by a gate (the place of the
-bit and how often the beginning was met) and learned online from training texts that the
-counts of that step leave out. A final table maps the mixed probability, by gate, to what
-was observed. A text's bits are thus coded at a total cost that the score gives as log10.
-
-A bit's contexts lie within its token, so that a token costs the same wherever it stands
-and is computed once: tokens go to buckets by their first bytes, all that is met of a
-token's beginnings is in its bucket, and every block of texts gets back one cost for each
-of its distinct tokens.
+A text is coded as its words' bytes, each word with a space behind it, and a line feed at
+the end; a byte is eight binary decisions. Several hashed contexts predict a bit from
+counts of the training texts: for a word's first byte the last 0 to 5 bytes of the word
+before it, for its other bytes the 0 to 4 bytes before and the word's whole beginning. A
+mixer adds the predictions in the logistic domain; its weights are chosen by a gate (the
+place of the bit and how often the longest context was met) and learned online. A final
+table, which follows the mixer's stream, maps the mixed probability, by gate, to what was
+observed. A text's bits are coded at a total cost that the score gives as log10.
+
+All training texts are counted and all of them teach the mixer: a bit that is learned from
+is predicted from counts without its own occurrence.
+
+So a word costs the same wherever it stands but for its first byte, whose cost belongs to
+the pair of that byte and the bytes before. Both kinds of units are computed once: they go
+to buckets, each of which learns on its own, in an order by hash; what is learned is
+averaged. Every block of texts gets back one cost for each of its distinct units.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,108 +31,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import string_buffers, written
-from .words import _BASE, _UNDO, LOWER, U, Words, _byte_values, chunks, gathered, hash_ranges, mix
+from .words import _BASE, LOWER, U, Words, _byte_values, chunks, gathered, hash_ranges, mix
 
-TABLE_BITS = (8, 16, 18, 20, 20)  # of the hashed tables, by order
+TAIL = 5  # bytes of the word before
+TABLE_BITS = (8, 16, 18, 20, 20, 22)  # of the hashed tables: 0 to 4 bytes, and the longest context
 OFFSETS = np.r_[0, np.cumsum([1 << b for b in TABLE_BITS])]
-LOCAL = 4  # beginnings of so many bytes or more are counted in their bucket
-INPUTS = len(TABLE_BITS) + 2
+ORDERS = len(TABLE_BITS)
+INPUTS = ORDERS + 1
 GATE_EDGES = [0.5, 1.5, 2.5, 5.5, 15.5, 100.5]
 GATES = len(GATE_EDGES) + 1
+SETS = 16  # of weights: a word's bits, and those of its first byte
 LEVELS = 33  # of the final table
-RANGES = 16
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U)
+RANGES = 64
+MOST = 400_000  # units of a bucket, as blocks have them, above which it is split
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], U)
 _NODE = U(0x9E3779B97F4A7C15)
 _END = 10
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U)
+def held_out(ids: list) -> np.ndarray:
+    """Which texts are not learned from."""
+    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i in ids], bool)
 
 
-def held_out(ids: list) -> np.ndarray:
-    """1 for texts that are not learned from, 2 for those that only the mixer learns from
-    while it is fitted, 0 for the others."""
-    crc = np.array([zlib.crc32(b"" if i is None else str(i).encode()) for i in ids], np.int64)
-    return np.where(crc % 7 == 2, 1, np.where(crc // 7 % 8 == 0, 2, 0))
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, for each value its number among them)."""
+    d = pa.array(h).dictionary_encode()
+    return np.asarray(d.dictionary), np.asarray(d.indices, np.int64)
+
+
+def _bucket(data: np.ndarray, start: np.ndarray, size: np.ndarray, buckets: int, lead: int = 6) -> np.ndarray:
+    """Units that begin alike go to one bucket, so that they share their beginnings there."""
+    key = np.zeros(len(size), U)
+    for i in range(lead):
+        key = key * U(257) + np.where(size > i, data[np.minimum(start + i, max(0, len(data) - 1))].astype(U) + U(1), U(0))
+    return (mix(key) % U(buckets)).astype(np.int64)
 
 
 class Block:
-    """The distinct tokens of some texts, and each text as their numbers."""
+    """The distinct words of some texts, and each text as their numbers. Number 0 is the end
+    of a text, and the beginning of the next one."""
 
     def __init__(self) -> None:
         self.hashes = np.zeros(0, U)  # sorted
         self.number = np.zeros(0, np.int64)  # of each
         self.bytes: list[np.ndarray] = [np.array([_END], np.uint8)]
         self.sizes: list[np.ndarray] = [np.ones(1, np.int64)]
-        self.counts = np.zeros((2, 1), np.int64)
-        self.texts: list[np.ndarray] = []
-        self.rows: list[tuple[list, np.ndarray, np.ndarray]] = []
+        self.ends = np.array([_END], np.int64)  # of each number: the first byte, above it the last TAIL bytes
+        self.counts = np.zeros(1, np.int64)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows: list[tuple] = []
+        self.tokens = 0
 
     def add(self, ids: list, buf: np.ndarray, offsets: np.ndarray) -> None:
         w = Words(buf, offsets, lower=True)
-        u, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        h = w.hashes()
+        u, inverse = _distinct(h)
+        top = np.maximum.accumulate(inverse) if len(inverse) else inverse
+        first = np.flatnonzero(np.r_[True, top[1:] > top[:-1]]) if len(top) else top
         at = np.searchsorted(self.hashes, u)
         known = np.zeros(len(u), bool)
         known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == u[at < len(self.hashes)]
         number = np.empty(len(u), np.int64)
         number[known] = self.number[at[known]]
-        new, total = first[~known], self.counts.shape[1]
+        new, total = first[~known], len(self.counts)
         number[~known] = total + np.arange(len(new))
-        self.sizes.append(w.ends[new] - w.starts[new])
-        self.bytes.append(LOWER[gathered(buf, w.starts[new], self.sizes[-1])])
-        h, n = np.concatenate([self.hashes, u[~known]]), np.concatenate([self.number, number[~known]])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.number = h[order], n[order]
-        out = held_out(ids)
-        size = total + len(new)
-        tokens = number[inverse]
-        self.counts = np.concatenate([self.counts, np.zeros((2, len(new)), np.int64)], 1)
-        for k, kind in enumerate((0, 2)):
-            self.counts[k] += np.bincount(tokens[out[w.doc] == kind], minlength=size)
-            self.counts[k, 0] += int((out == kind).sum())
-        self.texts.append(tokens.astype(np.uint32))
-        self.rows.append((ids, np.diff(w.first), out == 1))
+        start, size = w.starts[new], w.ends[new] - w.starts[new]
+        self.sizes.append(size)
+        self.bytes.append(LOWER[gathered(buf, start, size)])
+        ends = np.zeros(len(new), np.int64)
+        for k in range(TAIL, 0, -1):
+            ends = ends << 8 | np.where(size >= k, LOWER[buf[np.maximum(start + size - k, 0)]], 0)
+        self.ends = np.concatenate([self.ends, ends << 8 | LOWER[buf[start]]])
+        hashes, numbers = np.concatenate([self.hashes, u[~known]]), np.concatenate([self.number, number[~known]])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.number = hashes[order], numbers[order]
+        out, many = held_out(ids), np.diff(w.first)
+        seq = np.insert(number[inverse], w.first[1:], 0)
+        train = np.repeat(~out, many + 1)
+        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+        self.counts += np.bincount(seq[train], minlength=len(self.counts))
+        keys, of = _distinct(self.pairs_of(self.ends, seq))
+        self.pairs.append((keys, np.bincount(of[train], minlength=len(keys))))
+        coded = np.bincount(w.doc, w.ends - w.starts + 1, len(many)).astype(np.int64) + 1
+        self.rows.append((ids, out, many + 1, coded, seq.astype(np.uint32)))
+        self.tokens += len(seq)
+
+    @staticmethod
+    def pairs_of(ends: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """For each place of a sequence, the last bytes before it and the first byte there."""
+        before = np.r_[0, seq[:-1]] if len(seq) else seq
+        return (ends[before] >> 8) << 8 | ends[seq] & 255
 
     def done(self, buckets: int) -> tuple[list[tuple], list[tuple]]:
-        """Rows of tokens (bucket, bytes, sizes, counts, counts of the mixer's texts), and
-        rows of texts (ids, tokens, held out, numbers); tokens are numbered by bucket."""
+        """Rows of units (bucket, bytes, sizes, counts), buckets from `buckets` on being pairs,
+        and rows of texts; units are numbered by bucket."""
         data, size = np.concatenate(self.bytes), np.concatenate(self.sizes)
-        start = np.cumsum(size) - size
-        lead = np.zeros(len(size), U)
-        padded = np.r_[data, np.zeros(LOCAL, np.uint8)]
-        for i in range(LOCAL):
-            lead = lead * U(257) + np.where(size > i, padded[start + i].astype(U) + U(1), U(0))
-        bucket = (mix(lead) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        new = np.empty(len(order), np.uint32)
-        new[order] = np.arange(len(order))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        tokens = []
-        for b in np.flatnonzero(np.diff(cut)):
-            s = order[cut[b] : cut[b + 1]]
-            tokens.append((int(b), gathered(data, start[s], size[s]).tobytes(), size[s].astype(np.uint32).tobytes(), *(self.counts[k, s].astype(np.int64).tobytes() for k in (0, 1))))
-        texts = [(ids, n.tolist(), out.tolist(), new[t].tobytes()) for (ids, n, out), t in zip(self.rows, self.texts, strict=True)]
-        texts = [(*t, int(new[0])) for t in texts]
-        return tokens, texts
-
-
-_SENT = "block string, bucket int, bytes binary, sizes binary, train binary, tune binary, ids array<long>, words array<long>, out array<boolean>, numbers binary, last long"
-_KINDS = [pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64()]
-
-
-def blocks(docs: DataFrame, buckets: int, most: int = 1_000_000) -> DataFrame:
-    """First pass: rows of tokens and rows of texts of blocks of up to about `most`
-    distinct tokens, none over two tasks."""
-    names = [x.split()[0] for x in _SENT.split(", ")]
+        keys, of = np.unique(np.concatenate([k for k, _ in self.pairs]), return_inverse=True)
+        counts = np.bincount(of, np.concatenate([n for _, n in self.pairs]), len(keys)).astype(np.int64)
+        spelt = (keys[:, None] >> np.arange(8 * TAIL, -1, -8)).astype(np.uint8)
+        units, numbers = [], []
+        for base, d, s, c in ((0, data, size, self.counts), (buckets, spelt.ravel(), np.full(len(keys), TAIL + 1), counts)):
+            start = np.cumsum(s) - s
+            bucket = _bucket(d, start, s, buckets)
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            numbers.append(number)
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                i = order[cut[b] : cut[b + 1]]
+                units.append((base + b, int(cut[b]), gathered(d, start[i], s[i]).tobytes(), s[i].astype(np.uint32).tobytes(), c[i].tobytes()))
+        ends = np.empty_like(self.ends)
+        ends[numbers[0]] = self.ends
+        texts = [(ids, out.tolist(), many.tolist(), coded.tolist(), numbers[0][seq].tobytes(), None) for ids, out, many, coded, seq in self.rows]
+        layout = b"".join([np.array([len(ends), int(numbers[0][0])], np.int64).tobytes(), ends.tobytes(), keys.tobytes(), numbers[1].tobytes()])
+        return units, [*texts, (None, None, None, None, None, layout)]
+
+
+_SENT = "block string, bucket int, at long, bytes binary, sizes binary, train binary, ids array<long>, out array<boolean>, many array<long>, coded array<long>, seq binary, layout binary"
+_KINDS = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def blocks(docs: DataFrame, buckets: int, most: int = 600_000) -> DataFrame:
+    """First pass: rows of units and rows of texts of blocks of up to about `most` distinct
+    words and eight times as many words, none over two tasks."""
 
     def out(block: Block, name: str) -> Iterator[pa.RecordBatch]:
-        tokens, texts = block.done(buckets)
-        rows = [(name, *t, *[None] * 5) for t in tokens] + [(name, *[None] * 5, *t) for t in texts]
+        units, texts = block.done(buckets)
+        rows = [(name, *u, *[None] * 6) for u in units] + [(name, *[None] * 5, *t) for t in texts]
         for i in range(0, len(rows), 8):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 8], strict=True), _KINDS, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 8], strict=True), _KINDS, strict=True)], names=_names(_SENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, block = TaskContext.get().partitionId(), 0, Block()
@@ -136,7 +174,7 @@ def blocks(docs: DataFrame, buckets: int, most: int = 1_000_000) -> DataFrame:
             ids = b.column(0).to_pylist()
             for i, j in chunks(off, 1 << 21):
                 block.add(ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                if block.counts.shape[1] > most:
+                if len(block.counts) > most or block.tokens > 8 * most:
                     yield from out(block, f"{part}-{seq}")
                     seq, block = seq + 1, Block()
         if block.rows:
@@ -145,66 +183,96 @@ def blocks(docs: DataFrame, buckets: int, most: int = 1_000_000) -> DataFrame:
     return written(docs.mapInArrow(run, _SENT), "lm-blocks")
 
 
-_VOCAB = "bucket int, bytes binary, sizes binary, train binary, tune binary, blocks array<string>, maps array<binary>, tokens long, types long"
+_UNITS = "bucket int, sub int, block string, at long, places binary, bytes binary, sizes binary, train binary"
+
 
+def _dealt(sent: DataFrame) -> DataFrame:
+    """The rows of units with the part of the bucket they belong to: buckets of more than
+    MOST units are split by the units' hashes."""
+    units = sent.where("bucket is not null").select("bucket", "block", "at", "bytes", "sizes", "train")
+    large = {r.bucket: -(-r.n // MOST) for r in units.groupBy("bucket").agg(F.sum(F.octet_length("sizes") / 4).cast("long").alias("n")).where(f"n > {MOST}").collect()}
+    whole = units.where(~F.col("bucket").isin(list(large))) if large else units
+    whole = whole.select("bucket", F.lit(0).alias("sub"), "block", "at", F.lit(None).cast("binary").alias("places"), "bytes", "sizes", "train")
+    if not large:
+        return whole
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                data, size, n = np.frombuffer(r["bytes"], np.uint8), np.frombuffer(r["sizes"], np.uint32).astype(np.int64), np.frombuffer(r["train"], np.int64)
+                start = np.cumsum(size) - size
+                sub = (hash_ranges(data, start, start + size) % U(large[r["bucket"]])).astype(np.int64)
+                rows = []
+                for k in np.unique(sub).tolist():
+                    i = np.flatnonzero(sub == k)
+                    rows.append((r["bucket"], k, r["block"], r["at"], i.astype(np.uint32).tobytes(), gathered(data, start[i], size[i]).tobytes(), size[i].astype(np.uint32).tobytes(), n[i].tobytes()))
+                kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_UNITS))
 
-def vocabulary(sent: DataFrame) -> DataFrame:
-    """One row a bucket: its distinct tokens with their counts over all blocks, and for
-    each block the places of its tokens among these."""
+    return whole.union(units.where(F.col("bucket").isin(list(large))).mapInArrow(split, _UNITS))
+
+
+_VOCAB = "bucket int, sub int, bytes binary, sizes binary, train binary, blocks array<string>, at array<long>, places array<binary>, maps array<binary>, tokens long, types long"
+
+
+def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
+    """One row a bucket: its distinct units with their counts over all blocks, and for
+    each block the places of its units among these. tokens, types: of words in training."""
 
     def run(g: pa.Table) -> pa.Table:
-        rows = sorted(g.select(["block", "bytes", "sizes", "train", "tune"]).to_pylist(), key=lambda r: r["block"])
+        rows = sorted(g.to_pylist(), key=lambda r: r["block"])
         data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
         size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
-        counts = [np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("train", "tune")]
+        counts = np.concatenate([np.frombuffer(r["train"], np.int64) for r in rows])
         start = np.cumsum(size) - size
         _, first, inverse = np.unique(hash_ranges(data, start, start + size), return_index=True, return_inverse=True)
-        train, tune = (np.bincount(inverse, c, len(first)).astype(np.int64) for c in counts)
+        train = np.bincount(inverse, counts, len(first)).astype(np.int64)
         cuts = np.cumsum([len(r["sizes"]) // 4 for r in rows])[:-1]
         maps = [x.astype(np.uint32).tobytes() for x in np.split(inverse, cuts)]
-        cols = [[g["bucket"][0].as_py()], [gathered(data, start[first], size[first]).tobytes()], [size[first].astype(np.uint32).tobytes()], [train.tobytes()], [tune.tobytes()], [[r["block"] for r in rows]], [maps]]
-        cols += [[int(train.sum() + tune.sum())], [int((train + tune > 0).sum())]]
-        kinds = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string()), pa.list_(pa.binary()), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _VOCAB.split(", ")])
+        words = rows[0]["bucket"] < buckets
+        cols = [[rows[0]["bucket"]], [rows[0]["sub"]], [gathered(data, start[first], size[first]).tobytes()], [size[first].astype(np.uint32).tobytes()], [train.tobytes()]]
+        cols += [[[r[c] for r in rows]] for c in ("block", "at", "places")] + [[maps], [int(train.sum()) * words], [int((train > 0).sum()) * words]]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_VOCAB))
 
-    return written(sent.where("bucket is not null").groupBy("bucket").applyInArrow(run, _VOCAB), "lm-vocabulary")
+    return written(_dealt(sent).groupBy("bucket", "sub").applyInArrow(run, _VOCAB), "lm-vocabulary")
 
 
 class Shard:
-    """A bucket's tokens as the edges of their trie: bytes after a beginning, each once,
-    whatever the number of tokens that share it. All bits of all edges go in eight steps."""
+    """A bucket's units as edges: bytes after a beginning, each once, whatever the number of
+    units that share it. Words have edges from their second byte to the space behind them,
+    pairs one edge, their last byte. Units stand in the order of their hashes, and so do
+    their edges, each where it is first met."""
 
-    def __init__(self, data: bytes, sizes: bytes, train: bytes, tune: bytes):
+    def __init__(self, data: bytes, sizes: bytes, train: bytes, pairs: bool):
         raw, size = np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.uint32).astype(np.int64)
-        self.train, self.tune = np.frombuffer(train, np.int64), np.frombuffer(tune, np.int64)
-        start = np.cumsum(size) - size
-        full = size + ~((size == 1) & (raw[start] == _END))
+        self.train, self.n, self.set = np.frombuffer(train, np.int64), len(size), 8 * pairs
+        full = size if pairs else size + ~((size == 1) & (raw[np.cumsum(size) - size] == _END))
         at = np.cumsum(full) - full
-        token = np.repeat(np.arange(len(size)), full)
-        place = np.arange(len(token)) - at[token]
-        b = np.full(len(token), 32, np.uint8)
-        b[place < size[token]] = raw
-        size2 = 1 << max(16, len(b).bit_length())
-        sums = np.zeros(len(b) + 1, U)
-        np.cumsum(_byte_values()[b] * _powers(size2, _BASE)[: len(b)], dtype=U, out=sums[1:])
-        undo = _powers(size2, _UNDO)[at[token]]
-        _, first, self.edge = np.unique((sums[1:] - sums[at[token]]) * undo, return_index=True, return_inverse=True)
-        self.starts, self.n, self.size = at, len(size), len(first)
+        unit = np.repeat(np.arange(len(size)), full)
+        place = np.arange(len(unit)) - at[unit]
+        b = np.full(len(unit), 32, np.uint8)
+        b[place < size[unit]] = raw
+        power = np.full(int(full.max(initial=0)) + 1, _BASE, U)
+        power[0] = 1
+        power = np.cumprod(power, dtype=U)
+        sums = np.r_[U(0), np.cumsum(_byte_values()[b] * power[place], dtype=U)]
+        before = sums[:-1] - sums[at[unit]]  # hash of the unit's beginning
+        use = np.flatnonzero(place == TAIL if pairs else place > 0)
+        _, first, inverse = np.unique(mix(sums[use + 1] - sums[at[unit[use]]]), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.edge, self.unit, first = rank[inverse], unit[use], use[first[order]]
+        self.size = len(first)
         self.bytes, place = b[first], place[first]
-        self.edge_train, self.edge_tune = (np.bincount(self.edge, c[token], self.size) for c in (self.train, self.tune))
-        self.contexts = []
-        ctx = np.zeros(self.size, U)
-        for k in range(len(TABLE_BITS)):
+        self.weight = np.bincount(self.edge, self.train[self.unit], self.size)
+        self.contexts, ctx = [], np.zeros(self.size, U)
+        for k in range(ORDERS - 1):
             if k:
-                ctx = (ctx << U(8)) | np.where(place >= k, b[first - np.minimum(k, place)], 32).astype(U)
-            self.contexts.append(mix(ctx * U(8) + U(k)))
-        self.here = np.flatnonzero(place >= LOCAL)
-        i = first[self.here]
-        prefix = mix((sums[i] - sums[at[token[i]]]) * undo[i])
-        keys = np.concatenate([prefix + self.node(k)[self.here] * _NODE for k in range(8)])
-        _, inverse = np.unique(keys, return_inverse=True)
-        self.local = inverse.reshape(8, -1)
-        self.n_local = int(inverse.max()) + 1 if len(inverse) else 0
+                ctx = ctx << U(8) | np.where(place >= k, b[np.maximum(first - k, 0)], 0).astype(U)
+            self.contexts.append(mix(ctx * U(32) + U(2 * k + pairs)))
+        self.contexts.append(mix(before[first] * U(32) + U(2 * ORDERS + pairs)))
 
     def node(self, bit: int) -> np.ndarray:
         """The decisions of the byte so far, with a leading 1."""
@@ -217,240 +285,213 @@ class Shard:
         h = (self.contexts[order][at] + self.node(bit)[at] * _NODE) * _ODD[order]
         return (h >> U(64 - TABLE_BITS[order])).astype(np.int64) + OFFSETS[order]
 
-    def table(self, counts: np.ndarray, out: np.ndarray) -> None:
-        """Add to out (2, slots) how often a bit was 0 or 1 in each slot, by counts of edges."""
-        at = np.flatnonzero(counts > 0)
-        weight = counts[at].astype(float)
-        for bit in range(8):
-            one = self.bit(bit)[at] * weight
-            for order in range(len(TABLE_BITS)):
-                s = self.slots(order, bit, at)
-                np.add.at(out[1], s, one)
-                np.add.at(out[0], s, weight - one)
-
-    def beginnings(self, counts: np.ndarray) -> np.ndarray:
-        """As table, for the beginnings that are counted here."""
-        weight = counts[self.here].astype(float)
-        out = np.zeros((2, self.n_local))
+    def count(self, out: np.ndarray) -> None:
+        """Add to out (2 * slots) how often a bit was 0 or 1 in each slot."""
+        at = np.flatnonzero(self.weight > 0)
         for bit in range(8):
-            one = self.bit(bit)[self.here]
-            out[1] += np.bincount(self.local[bit], weight * one, self.n_local)
-            out[0] += np.bincount(self.local[bit], weight * (1 - one.astype(float)), self.n_local)
-        return out
-
-    def inputs(self, bit: int, table: np.ndarray, local: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(inputs, gate) of one decision of the edges `at` (in rising order)."""
-        x = np.empty((len(at), INPUTS), np.float32)
-        seen = np.zeros(len(at))
-        for order in range(len(TABLE_BITS)):
-            n = table[:, self.slots(order, bit, at)]
-            x[:, order] = np.log((n[1] + 0.4) / (n[0] + 0.4))
-            seen = n.sum(0)
-        x[:, -2] = 0
-        inside = np.isin(at, self.here, assume_unique=True) if len(at) < len(self.bytes) else None
-        rows = np.flatnonzero(inside) if inside is not None else self.here
-        where = np.searchsorted(self.here, at[rows]) if inside is not None else slice(None)
-        n = local[:, self.local[bit][where]]
-        x[rows, -2] = np.log((n[1] + 0.05) / (n[0] + 0.05))
-        seen[rows] = n.sum(0)
+            y = self.bit(bit)[at]
+            for order in range(ORDERS):
+                np.add.at(out, 2 * self.slots(order, bit, at) + y, self.weight[at])
+
+    def inputs(self, bit: int, table: np.ndarray, at=slice(None), own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, gate) of one decision of the edges `at`; with `own`, each without one
+        occurrence of its own. table: (slots, 2)."""
+        y = self.bit(bit)[at].astype(bool)
+        x = np.empty((len(y), INPUTS), np.float32)
+        for order in range(ORDERS):
+            n = table[self.slots(order, bit, at)]
+            if own:
+                n[:, 0] -= ~y
+                n[:, 1] -= y
+            low = np.float32(0.4 if order < ORDERS - 1 else 0.05)
+            x[:, order] = np.log((n[:, 1] + low) / (n[:, 0] + low))
         x[:, -1] = 0.3
-        return np.clip(x, -12, 12), np.searchsorted(GATE_EDGES, seen)
+        return np.clip(x, -12, 12), np.searchsorted(GATE_EDGES, n.sum(1))
 
 
 def squash(t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -20, 20)))
 
 
-Fit = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def fit_weights(s: Shard, table: np.ndarray, state: Fit | None = None, rate: float = 0.1, batch: int = 512) -> Fit:
-    """(weights, sums of squared errors, how much each set of weights has seen): one online
-    pass over the bits of the mixer's texts, in an order by hash, from even weights or from
-    where the last bucket left them. A batch's mean error moves the weights, each by a rate
-    that falls as its errors add up."""
-    even = np.full((8, GATES, INPUTS), 0.3), np.full((8, GATES, INPUTS), 1e-2), np.zeros((8, GATES))
-    w, power, used = state or even
-    at = np.flatnonzero(s.edge_tune > 0)
-    if not len(at):
-        return w, power, used
-    local = s.beginnings(s.edge_train)
-    order = np.argsort(mix(at.astype(U)), kind="stable")
-    weight = s.edge_tune[at][order] ** 0.75
-    for bit in range(8):
-        x, gate = s.inputs(bit, table, local, at)
-        x, gate, y = x[order].astype(float), gate[order], s.bit(bit)[at][order]
-        for i in range(0, len(at), batch):
-            c = slice(i, i + batch)
-            err = (y[c] - squash(np.einsum("ij,ij->i", x[c], w[bit][gate[c]]))) * weight[c]
-            many = np.bincount(gate[c], weight[c], GATES)
-            step = np.stack([np.bincount(gate[c], err * x[c, k], GATES) for k in range(INPUTS)], 1) / np.maximum(many, 1e-9)[:, None]
-            power[bit] += step**2
-            w[bit] += rate * step / np.sqrt(power[bit])
-            used[bit] += many
-    return w, power, used
-
-
-def _mixed(s: Shard, bit: int, table: np.ndarray, local: np.ndarray, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x, gate = s.inputs(bit, table, local, at)
-    return np.einsum("ij,ij->i", x, weights[bit].astype(np.float32)[gate]).astype(float), gate
-
-
 def _level(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     f = (np.clip(t, -7.999, 7.999) + 8) * (LEVELS - 1) / 16
     lo = f.astype(np.int64)
     return lo, f - lo
 
 
-def observe(s: Shard, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(2, bits, gates, levels): the mixer's texts' bits at each level of mixed probability."""
-    out = np.zeros((2, 8 * GATES * LEVELS))
-    at = np.flatnonzero(s.edge_tune > 0)
-    if len(at):
-        local, weight = s.beginnings(s.edge_train), s.edge_tune[at]
-        for bit in range(8):
-            t, gate = _mixed(s, bit, table, local, weights, at)
-            lo, part = _level(t)
-            y = s.bit(bit)[at]
-            for level, share in ((lo, 1 - part), (lo + 1, part)):
-                cell = (bit * GATES + gate) * LEVELS + level
-                for v in (0, 1):
-                    out[v] += np.bincount(cell, weight * share * (y == v), out.shape[1])
-    return out
+def learn(s: Shard, table: np.ndarray, rate: float = 0.01, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, how much each set of weights has seen, what the final table has seen): one
+    online pass over the bits of a bucket, from even weights. A batch's mean error moves the
+    weights, each by a rate that falls as its errors add up; before that, its bits are
+    counted at their levels of mixed probability."""
+    w, power, used = np.full((SETS, GATES, INPUTS), 0.3), np.full((SETS, GATES, INPUTS), 1e-2), np.zeros((SETS, GATES))
+    met = np.zeros((2, SETS, GATES * LEVELS))
+    at, eye = np.flatnonzero(s.weight > 0), np.eye(GATES)
+    weight = s.weight[at] ** 0.75
+    for bit in range(8 if len(at) else 0):
+        x, gate = s.inputs(bit, table, at, own=True)
+        y, mixed, k = s.bit(bit)[at], np.empty(len(at)), s.set + bit
+        for i in range(0, len(at), batch):
+            c = slice(i, i + batch)
+            mixed[c] = t = np.einsum("ij,ij->i", x[c], w[k][gate[c]])
+            to = eye[gate[c]] * weight[c, None]
+            many = to.sum(0)
+            step = to.T @ (x[c] * (y[c] - squash(t))[:, None]) / np.maximum(many, 1e-9)[:, None]
+            power[k] += step**2
+            w[k] += rate * step / np.sqrt(power[k])
+            used[k] += many
+        lo, part = _level(mixed)
+        for level, share in ((lo, 1 - part), (lo + 1, part)):
+            for v in (0, 1):
+                met[v, k] += np.bincount(gate * LEVELS + level, s.weight[at] * share * (y == v), GATES * LEVELS)
+    return w, used, met.reshape(2, SETS, GATES, LEVELS)
+
+
+def averaged(weights: np.ndarray, used: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, final table) from sums over buckets: of weights times what they have seen,
+    of that, and of what the final table has seen."""
+    prior = squash(np.linspace(-8, 8, LEVELS))
+    return np.where(used[:, :, None] > 0, weights / np.maximum(used, 1e-9)[:, :, None], 0.3), (met[1] + 20 * prior) / (met[0] + met[1] + 20)
 
 
 def costs(s: Shard, table: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability."""
-    local = s.beginnings(s.edge_train + s.edge_tune)
-    total, at = np.zeros(len(s.bytes)), np.arange(len(s.bytes))
-    for bit in range(8):
-        t, gate = _mixed(s, bit, table, local, weights, at)
+    """log10 of each unit's probability."""
+    total = np.zeros(s.size)
+    for bit in range(8 if s.size else 0):
+        x, gate = s.inputs(bit, table)
+        t = np.einsum("ij,ij->i", x, weights[s.set + bit][gate])
         lo, part = _level(t)
-        row = refined[bit, gate]
-        r = np.take_along_axis(row, lo[:, None], 1)[:, 0] * (1 - part) + np.take_along_axis(row, lo[:, None] + 1, 1)[:, 0] * part
+        row = refined[s.set + bit].ravel()
+        r = row[gate * LEVELS + lo] * (1 - part) + row[gate * LEVELS + lo + 1] * part
         p = np.clip((squash(t) + r) / 2, 1e-9, 1 - 1e-9)
         total += np.log10(np.where(s.bit(bit) == 1, p, 1 - p))
-    return np.add.reduceat(total[s.edge], s.starts) if s.n else np.zeros(0)
+    return np.bincount(s.unit, total[s.edge], s.n)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Shard]]:
+def _shards(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[dict, Shard]]:
     for b in batches:
         for i in range(len(b)):
             row = {n: b.column(k)[i] for k, n in enumerate(b.schema.names)}
-            yield row, Shard(*(row[c].as_buffer().to_pybytes() for c in ("bytes", "sizes", "train", "tune")))
+            yield row, Shard(*(row[c].as_buffer().to_pybytes() for c in ("bytes", "sizes", "train")), row["bucket"].as_py() >= buckets)
 
 
-def _tables(vocab: DataFrame) -> np.ndarray:
-    """(2, 2, slots): counts of the training texts without, and with, the mixer's. Buckets
-    send the slots that they use; ranges of slots are summed up apart."""
+def _table(vocab: DataFrame, buckets: int) -> np.ndarray:
+    """(slots, 2): counts of the training texts, of a size that the corpus doesn't change.
+    Tasks send the slots that they use; ranges of slots are summed up apart."""
     edge = np.linspace(0, OFFSETS[-1], RANGES + 1).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for _, s in _shards(batches):
-            total = np.zeros((4, OFFSETS[-1])) if total is None else total
-            s.table(s.edge_train, total[:2])
-            s.table(s.edge_tune, total[2:])
+        for _, s in _shards(batches, buckets):
+            total = np.zeros(2 * OFFSETS[-1]) if total is None else total
+            s.count(total)
         if total is not None:
-            used = np.flatnonzero(total.any(0))
-            cut = np.searchsorted(used, edge)
+            total = total.reshape(-1, 2)
             for r in range(RANGES):
-                u = used[cut[r] : cut[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([(u - edge[r]).astype(np.uint32).tobytes()]), pa.array([total[:, u].astype(np.int64).tobytes()])], names=["r", "slots", "n"])
+                part = total[edge[r] : edge[r + 1]]
+                used = np.flatnonzero(part.any(1))
+                n = part[used].astype(np.int64)
+                n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([used.astype(np.uint32).tobytes()]), pa.array([n.tobytes()])], names=["r", "slots", "n"])
 
     def add(g: pa.Table) -> pa.Table:
         r = g["r"][0].as_py()
-        out = np.zeros((4, edge[r + 1] - edge[r]))
-        for slots, n in zip(g["slots"].to_pylist(), g["n"].to_pylist(), strict=True):
-            u = np.frombuffer(slots, np.uint32)
-            out[:, u] += np.frombuffer(n, np.int64).reshape(4, -1)
+        out = np.zeros((edge[r + 1] - edge[r], 2), np.int64)
+        for slots, n in zip(g["slots"], g["n"], strict=True):
+            used, n = np.frombuffer(slots.as_buffer(), np.uint32), n.as_buffer()
+            out[used] += np.frombuffer(n, np.uint32 if len(n) == 8 * len(used) else np.int64).reshape(-1, 2)
         return pa.table([pa.array([r], pa.int32()), pa.array([b""]), pa.array([out.astype(np.float32).tobytes()])], names=["r", "slots", "n"])
 
     schema = "r int, slots binary, n binary"
-    got = vocab.mapInArrow(send, schema).groupBy("r").applyInArrow(add, schema).select("r", "n").collect()
-    parts = {x.r: np.frombuffer(x.n, np.float32).reshape(4, -1) for x in got}
-    whole = np.concatenate([parts.get(r, np.zeros((4, edge[r + 1] - edge[r]), np.float32)) for r in range(RANGES)], 1).reshape(2, 2, -1)
-    return np.stack([whole[0], whole[0] + whole[1]])
+    whole = np.zeros((OFFSETS[-1], 2), np.float32)
+    for x in vocab.mapInArrow(send, schema).groupBy("r").applyInArrow(add, schema).select("r", "n").toLocalIterator():
+        whole[edge[x.r] : edge[x.r + 1]] = np.frombuffer(x.n, np.float32).reshape(-1, 2)
+    return whole
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Scores of rows (doc_id, text), learned from the training rows among them: doc_id,
-    held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Scores of rows (doc_id, text), learned from the training rows among them: SCORES.
 
     base_score is that of counts of whole tokens with one added; score is log10 of the
-    mixed model's probability of all tokens and the end. Null texts are empty: only the
-    end is scored. A null doc_id has the empty string's checksum. Repeated rows count
-    each. What goes to the driver is bounded: the hashed tables (TABLE_BITS), weights and
-    the final table; all counts cover all training texts. `buckets` defaults to four times
-    the session's number of shuffle partitions.
+    mixed model's probability of all tokens and the end; bits_per_byte is the same in bits,
+    over the bytes that are coded (words, a space behind each, the end). Null texts are
+    empty: only the end is scored. A null doc_id has the empty string's checksum. Repeated
+    rows count each. What goes to the driver is bounded: the hashed tables (TABLE_BITS),
+    and a task's sums of weights and of the final table. `buckets` is found from the number
+    of bytes, so that results depend on the rows alone, but for the rounding of sums.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), buckets)
-    vocab = vocabulary(sent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if buckets is None:
+        held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(8, 1 << math.ceil(0.75 * math.log2(1 + held / 1e6)))
+    sent = blocks(docs, buckets)
+    vocab = vocabulary(sent, buckets)
     total, types = (int(x or 0) for x in vocab.agg(F.sum("tokens"), F.sum("types")).first())
-    inner = vocab.select("bytes", "sizes", "train", "tune")
-    table = _tables(inner)
-    first = spark.sparkContext.broadcast(table[0])
+    inner = vocab.select("bucket", "bytes", "sizes", "train")
+    table = spark.sparkContext.broadcast(_table(inner, buckets))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for _, s in _shards(batches):
-            state = fit_weights(s, first.value, state)
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array([state[0].tobytes()]), pa.array([state[2].tobytes()])], names=["w", "used"])
-
-    sums, seen = np.zeros((8, GATES, INPUTS)), np.zeros((8, GATES))
-    for r in sorted(inner.mapInArrow(fit, "w binary, used binary").collect(), key=lambda r: r.w):
-        u = np.frombuffer(r.used).reshape(8, GATES)
-        sums += np.frombuffer(r.w).reshape(8, GATES, INPUTS) * u[:, :, None]
-        seen += u
-    weights = np.where(seen[:, :, None] > 0, sums / np.maximum(seen, 1e-9)[:, :, None], 0.3)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _shards(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([observe(s, first.value, weights).tobytes()])], names=["n"])
-
-    met = sum((np.frombuffer(r.n) for r in sorted(inner.mapInArrow(look, "n binary").collect())), np.zeros(2 * 8 * GATES * LEVELS)).reshape(2, 8, GATES, LEVELS)
-    prior = squash(np.linspace(-8, 8, LEVELS))
-    refined = (met[1] + 20 * prior) / (met[0] + met[1] + 20)
-    last = spark.sparkContext.broadcast((table[1], weights, refined))
+        sums = None
+        for _, s in _shards(batches, buckets):
+            w, used, met = learn(s, table.value)
+            now = (w * used[:, :, None], used, met)
+            sums = now if sums is None else tuple(a + b for a, b in zip(sums, now, strict=True))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in sums], names=["w", "used", "met"])
+
+    shapes = {"w": (SETS, GATES, INPUTS), "used": (SETS, GATES), "met": (2, SETS, GATES, LEVELS)}
+    sums = [np.zeros(x) for x in shapes.values()]
+    for r in sorted(inner.mapInArrow(fit, "w binary, used binary, met binary").collect()):
+        for at, (c, shape) in zip(sums, shapes.items(), strict=True):
+            at += np.frombuffer(r[c]).reshape(shape)
+    last = spark.sparkContext.broadcast(averaged(*sums))
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, s in _shards(batches):
-            cost, count = costs(s, *last.value).astype(np.float32), (s.train + s.tune).astype(np.float64)
-            for block, places in zip(row["blocks"], row["maps"], strict=True):
-                at = np.frombuffer(places.as_buffer(), np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([row["bucket"].as_py()], pa.int32()), pa.array([cost[at].tobytes()]), pa.array([count[at].astype(np.float32 if total < 1 << 24 else np.float64).tobytes()])], names=["block", "bucket", "cost", "count"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        for row, s in _shards(batches, buckets):
+            cost = costs(s, table.value, *last.value)
+            known = s.train.astype(np.uint32) if s.train.max(initial=0) < 1 << 32 else s.train
+            for block, at, places, of in zip(*(row[c] for c in ("blocks", "at", "places", "maps")), strict=True):
+                i = np.frombuffer(of.as_buffer(), np.uint32)
+                cols = [pa.array([block.as_py()]), pa.array([row["bucket"].as_py()], pa.int32()), pa.array([at.as_py()], pa.int64()), pa.array([places.as_py()], pa.binary()), pa.array([cost[i].tobytes()]), pa.array([known[i].tobytes() if row["bucket"].as_py() < buckets else b""])]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "at", "places", "cost", "count"])
 
     def finish(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        replies = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        cost = np.concatenate([np.frombuffer(r["cost"], np.float32) for r in replies]).astype(float)
-        count = np.concatenate([np.frombuffer(r["count"], np.float32 if total < 1 << 24 else np.float64) for r in replies]).astype(float)
-        base = np.log10((count + 1) / (total + types + 1))
-        out: list[list] = [[] for _ in range(7)]
-        for i in range(texts.num_rows):
-            n = np.array(texts["words"][i].as_py(), np.int64)
-            t, end = np.frombuffer(texts["numbers"][i].as_buffer(), np.uint32), texts["last"][i].as_py()
-            cut = np.r_[0, np.cumsum(n)]
-            known = (count > 0).astype(float)
-            cols = [texts["ids"][i].as_py(), texts["out"][i].as_py(), n + 1, (_sums(known, t, cut) + known[end]).astype(np.int64), np.full(len(n), total), _sums(base, t, cut) + base[end], _sums(cost, t, cut) + cost[end]]
+        layout = next(x for x in texts["layout"] if x.is_valid).as_buffer()
+        n, end = np.frombuffer(layout, np.int64, 2).tolist()
+        ends = np.frombuffer(layout, np.int64, n, 16)
+        pairs = (len(layout) - 16 - 8 * n) // 12
+        keys, number = np.frombuffer(layout, np.int64, pairs, 16 + 8 * n), np.frombuffer(layout, np.uint32, pairs, 16 + 8 * (n + pairs))
+        cost, count, border = np.zeros(n), np.zeros(n), np.zeros(pairs)
+        for bucket, at, places, value, many in zip(*(replies[c] for c in ("bucket", "at", "places", "cost", "count")), strict=True):
+            v = np.frombuffer(value.as_buffer())
+            i = at.as_py() + (np.frombuffer(places.as_buffer(), np.uint32) if places.is_valid else np.arange(len(v)))
+            if bucket.as_py() < buckets:
+                cost[i], many = v, many.as_buffer()
+                count[i] = np.frombuffer(many, np.uint32 if len(many) == 4 * len(v) else np.int64)
+            else:
+                border[i] = v
+        border = border[number]
+        base, known = np.log10((count + 1) / (total + types + 1)), (count > 0).astype(np.int64)
+        out: list[list] = [[] for _ in range(8)]
+        for k in range(texts.num_rows):
+            if not texts["seq"][k].is_valid:
+                continue
+            seq = np.frombuffer(texts["seq"][k].as_buffer(), np.uint32).astype(np.int64)
+            many, coded = (np.array(texts[c][k].as_py(), np.int64) for c in ("many", "coded"))
+            first = np.cumsum(many) - many
+            u, of = _distinct(Block.pairs_of(ends, np.r_[end, seq]))
+            cost_at = cost[seq] + border[np.minimum(np.searchsorted(keys, u), max(0, pairs - 1))][of][1:]
+            points = np.add.reduceat(cost_at, first)
+            cols = [texts["ids"][k].as_py(), texts["out"][k].as_py(), many, np.add.reduceat(known[seq], first), np.full(len(many), total), np.add.reduceat(base[seq], first), points, -points / math.log10(2) / coded]
             for o, c in zip(out, cols, strict=True):
                 o.extend(c)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    replies = vocab.mapInArrow(reply, "block string, bucket int, cost binary, count binary")
-    texts = sent.where("numbers is not null").select("block", "ids", "words", "out", "numbers", "last")
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
-
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=_names(SCORES))
 
-def _sums(values: np.ndarray, t: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Sums of values[t] between the cuts, each added up by itself."""
-    out, v = np.zeros(len(cut) - 1), values[t]
-    some = np.flatnonzero(np.diff(cut))
-    if len(some):
-        out[some] = np.add.reduceat(v, cut[:-1][some])
-    return out
+    replies = vocab.mapInArrow(reply, "block string, bucket int, at long, places binary, cost binary, count binary")
+    texts = sent.where("bucket is null").select("block", "ids", "out", "many", "coded", "seq", "layout")
+    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORES)

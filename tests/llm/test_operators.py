@@ -250,7 +250,7 @@ def test_training_tells_junk_apart(spark):
 def test_lm_base_and_model(spark):
     ts = ODD + texts(200, 9)
     df = docs(spark, ts + [None], more=True)
-    got = {r.doc_id: r for r in mixing_lm.score(df, buckets=3).collect()}
+    got = {r.doc_id: r for r in mixing_lm.score(df).collect()}
     assert len(got) == len(ts) + 1
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(ts))}
     tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, t in enumerate(ts)}
@@ -263,33 +263,146 @@ def test_lm_base_and_model(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in ws), rel_tol=1e-9, abs_tol=1e-9)
         assert r.score < 0
-    again = {r.doc_id: r.score for r in mixing_lm.score(df.repartition(5), buckets=3).collect()}
-    assert all(math.isclose(again[i], got[i].score, rel_tol=1e-5, abs_tol=1e-4) for i in again)
+        coded = sum(len(w.encode()) + 1 for w in ws[:-1]) + 1
+        assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / coded, rel_tol=1e-9)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = {r.doc_id: r.score for r in mixing_lm.score(df.repartition(5)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(math.isclose(again[i], got[i].score, rel_tol=1e-9) for i in again)
     known = [i for i in tokens if held[i] and len(tokens[i]) > 20]
     assert sum(got[i].score for i in known) > 1.1 * sum(got[i].base_score for i in known)
-    empty = mixing_lm.score(df.where("false"), buckets=3)
+    empty = mixing_lm.score(df.where("false"))
     assert empty.count() == 0
 
 
+def test_lm_splits_large_buckets(spark, monkeypatch):
+    ts = texts(80, 3)
+    whole = {r.doc_id: r for r in mixing_lm.score(docs(spark, ts), buckets=2).collect()}
+    monkeypatch.setattr(mixing_lm, "MOST", 20)
+    for r in mixing_lm.score(docs(spark, ts), buckets=2).collect():
+        assert math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9) and (r.n_known, r.train_tokens) == (whole[r.doc_id].n_known, whole[r.doc_id].train_tokens) and abs(r.score / whole[r.doc_id].score - 1) < 0.2
+
+
+def plain_scores(ts, buckets):
+    """The model in loops over bits, without any sharing of work but the counts."""
+    M, u64 = mixing_lm, lambda x: x % (1 << 64)
+    mix1 = lambda x: int(words.mix(np.array([u64(x)], words.U))[0])
+    value = [int(x) for x in words._byte_values()]
+    spell = lambda b: u64(sum(value[x] * pow(words._BASE, i, 1 << 64) for i, x in enumerate(b)))
+    seqs = {i: [*(w.encode() for w in WORD.findall(lower(t))), b"\n"] for i, t in enumerate(ts)}
+    tail = lambda w: (b"" if w == b"\n" else w)[-M.TAIL :].rjust(M.TAIL, b"\0")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in seqs}
+    units = collections.Counter()
+    for i, ws in seqs.items():
+        for before, w in zip([b"\n", *ws], ws):
+            units[w, False] += not held[i]
+            units[tail(before) + w[:1], True] += not held[i]
+    shards = collections.defaultdict(list)
+    for (b, pair), c in units.items():
+        key = 0
+        for k in range(6):
+            key = u64(key * 257 + (b[k] + 1 if k < len(b) else 0))
+        shards[mix1(key) % buckets, pair].append((mix1(spell(b)), b, c))
+
+    def context(head, k):
+        """The byte k places before comes first in the step that adds it, and so last here."""
+        ctx = 0
+        for j in range(1, k + 1):
+            ctx = ctx << 8 | (head[-j] if j <= len(head) else 0)
+        return ctx
+
+    def slots(head, x, pair):
+        """Of each bit: the slots, in order, and the bit."""
+        for bit in range(8):
+            node, out = x >> (8 - bit) | 1 << bit, []
+            for k in range(M.ORDERS):
+                ctx = context(head, k)
+                h = mix1(ctx * 32 + 2 * k + pair) if k < M.ORDERS - 1 else mix1(spell(head) * 32 + 2 * M.ORDERS + pair)
+                h = u64((h + node * int(M._NODE)) * int(M._ODD[k]))
+                out.append((h >> (64 - M.TABLE_BITS[k])) + int(M.OFFSETS[k]))
+            yield bit, out, x >> (7 - bit) & 1
+
+    def edges(b, pair):
+        if pair:
+            return [(b[:-1], b[-1])]
+        return [] if b == b"\n" else [(b[:k], x) for k, x in enumerate(b + b" ") if k]
+
+    weight = {key: collections.Counter() for key in shards}
+    for key, us in shards.items():
+        for _, b, c in sorted(us):
+            for e in edges(b, key[1]):
+                weight[key][e] += c
+    table = collections.Counter()
+    for key, es in weight.items():
+        for (head, x), c in es.items():
+            for _, out, y in slots(head, x, key[1]):
+                for s in out:
+                    table[s, y] += c
+
+    def look(out, y, own):
+        n = [[table[s, 0] - (own and y == 0), table[s, 1] - (own and y == 1)] for s in out]
+        x = [max(-12, min(12, math.log((b + low) / (a + low)))) for (a, b), low in zip(n, [0.4] * (M.ORDERS - 1) + [0.05])]
+        return [*x, 0.3], sum(sum(n[-1]) > g for g in M.GATE_EDGES)
+
+    squash1 = lambda t: 1 / (1 + math.exp(-max(-20, min(20, t))))
+    place = lambda t: (max(-7.999, min(7.999, t)) + 8) * (M.LEVELS - 1) / 16
+    sums, used, met = np.zeros((M.SETS, M.GATES, M.INPUTS)), np.zeros((M.SETS, M.GATES)), np.zeros((2, M.SETS, M.GATES, M.LEVELS))
+    for (_, pair), es in weight.items():
+        seen = [(e, c) for e, c in es.items() if c]
+        for bit in range(8):
+            k, w, power = 8 * pair + bit, np.full((M.GATES, M.INPUTS), 0.3), np.full((M.GATES, M.INPUTS), 1e-2)
+            many, total = np.zeros((M.GATES, 1)), np.zeros((M.GATES, M.INPUTS))
+            for (head, x), c in seen:  # a bucket here is smaller than a batch
+                _, out, y = list(slots(head, x, pair))[bit]
+                xs, g = look(out, y, True)
+                t = sum(a * 0.3 for a in xs)
+                lo = int(place(t))
+                met[y, k, g, lo] += c * (1 - place(t) + lo)
+                met[y, k, g, lo + 1] += c * (place(t) - lo)
+                many[g] += c**0.75
+                total[g] += c**0.75 * (y - squash1(t)) * np.array(xs)
+            step = total / np.maximum(many, 1e-9)
+            w += 0.01 * step / np.sqrt(power + step**2)
+            sums[k] += w * many
+            used[k] += many[:, 0]
+    prior = np.array([squash1(v) for v in np.linspace(-8, 8, M.LEVELS)])
+    refined = (met[1] + 20 * prior) / (met.sum(0) + 20)
+    weights = np.where(used[:, :, None] > 0, sums / np.maximum(used, 1e-9)[:, :, None], 0.3)
+
+    def cost(b, pair):
+        total = 0
+        for head, x in edges(b, pair):
+            for bit, out, y in slots(head, x, pair):
+                xs, g = look(out, y, False)
+                k, t = 8 * pair + bit, float(np.dot(xs, weights[8 * pair + bit, g]))
+                lo = int(place(t))
+                r = refined[k, g, lo] * (1 - place(t) + lo) + refined[k, g, lo + 1] * (place(t) - lo)
+                p = min(1 - 1e-9, max(1e-9, (squash1(t) + r) / 2))
+                total += math.log10(p if y else 1 - p)
+        return total
+
+    return {i: sum(cost(w, False) + cost(tail(before) + w[:1], True) for before, w in zip([b"\n", *ws], ws)) for i, ws in seqs.items()}
+
+
+def test_lm_against_loops(spark):
+    ts = ["the cat sat on the mat", "The cats sat, the mat sat", "", None, "a mat on a cat\non the mat", "éa éa cat", "internationally the internationally", "cat cat cat", "on the mat", "the end", "sat on a"]
+    want = plain_scores(ts, 2)
+    for r in mixing_lm.score(docs(spark, ts), buckets=2).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-4), (r.doc_id, r.score, want[r.doc_id])
+
+
 def test_lm_costs_are_a_distribution():
-    """Over all next bytes after a beginning, coded probabilities add up to one."""
+    """Over all next bytes behind the same bytes, coded probabilities add up to one."""
     rng = random.Random(1)
-    vocab = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(200)})
-    n = np.array([rng.randint(0, 9) for _ in vocab], np.int64)
-    shard = lambda ws, c: mixing_lm.Shard("".join(ws).encode(), np.array([len(w) for w in ws], np.uint32).tobytes(), c.tobytes(), c.tobytes())
-    s = shard(vocab, n)
-    table = np.zeros((2, mixing_lm.OFFSETS[-1]))
-    s.table(s.edge_train, table)
-    weights = mixing_lm.fit_weights(s, table)[0]
-    met = mixing_lm.observe(s, table, weights).reshape(2, 8, mixing_lm.GATES, mixing_lm.LEVELS)
-    refined = (met[1] + 1) / (met.sum(0) + 2)
-    local = s.beginnings(s.edge_train)
-    for bit in range(8):
-        t, _ = mixing_lm._mixed(s, bit, table, local, weights, np.arange(s.size))
-        p = mixing_lm.squash(t)
-        assert ((p > 0) & (p < 1)).all()
-    cost = mixing_lm.costs(s, table, weights, refined)
-    assert (10.0**cost).sum() < 1 and (cost < 0).all()
+    units = [bytes([0, 0, 0, 97, 98, x]) for x in range(256)]
+    n = np.array([rng.choice([0, 0, 0, rng.randint(0, 9)]) for _ in units], np.int64)
+    s = mixing_lm.Shard(b"".join(units), np.full(256, 6, np.uint32).tobytes(), n.tobytes(), True)
+    table = np.zeros(2 * mixing_lm.OFFSETS[-1])
+    s.count(table)
+    table = table.reshape(-1, 2).astype(np.float32)
+    w, used, met = mixing_lm.learn(s, table)
+    cost = mixing_lm.costs(s, table, *mixing_lm.averaged(w * used[:, :, None], used, met))
+    assert math.isclose((10.0**cost).sum(), 1, rel_tol=1e-6)
 
 
 # 6 lines and sentences
