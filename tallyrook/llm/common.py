@@ -61,3 +61,22 @@ def string_buffers(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     off = np.frombuffer(offs, kind)[col.offset : col.offset + n + 1].astype(np.int64)
     buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
     return buf, off - off[0]
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by their bytes' places, compressed: small numbers take little room."""
+    kind = values.dtype.str.encode().ljust(4) + len(values).to_bytes(8, "little")
+    return kind + _CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), asbytes=True) if len(values) else kind
+
+
+def unpacked(data) -> np.ndarray:
+    """What packed() was given; data: bytes or a binary scalar of Arrow."""
+    view = memoryview(data.as_buffer() if isinstance(data, pa.Scalar) else data)
+    kind, n = np.dtype(bytes(view[:4]).decode().strip()), int.from_bytes(view[4:12], "little")
+    if not n:
+        return np.zeros(0, kind)
+    raw = _CODEC.decompress(pa.py_buffer(view[12:]), decompressed_size=n * kind.itemsize)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_buffers, written
+from .common import packed, string_buffers, unpacked, written
 from .words import _BASE, LOWER, U, Words, _byte_values, chunks, gathered, hash_ranges, mix
 
 TAIL = 5  # bytes of the word before
@@ -141,16 +141,18 @@ class Block:
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 i = order[cut[b] : cut[b + 1]]
-                units.append((base + b, int(cut[b]), gathered(d, start[i], s[i]).tobytes(), s[i].astype(np.uint32).tobytes(), c[i].tobytes()))
-        ends = np.empty_like(self.ends)
-        ends[numbers[0]] = self.ends
-        texts = [(ids, out.tolist(), many.tolist(), coded.tolist(), numbers[0][seq].tobytes(), None) for ids, out, many, coded, seq in self.rows]
-        layout = b"".join([np.array([len(ends), int(numbers[0][0])], np.int64).tobytes(), ends.tobytes(), keys.tobytes(), numbers[1].tobytes()])
+                units.append((base + b, int(cut[b]), len(i), gathered(d, start[i], s[i]).tobytes(), packed(s[i].astype(np.uint32)), packed(c[i])))
+        # texts count words from the most frequent one on, which takes less room
+        often = np.argsort(-np.bincount(np.concatenate([r[-1] for r in self.rows]), minlength=len(size)), kind="stable")
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        texts = [(ids, out.tolist(), many.tolist(), coded.tolist(), packed(rank[seq]), None) for ids, out, many, coded, seq in self.rows]
+        layout = [packed(x) for x in (np.array([rank[0]]), numbers[0][often], self.ends[often], np.diff(keys, prepend=0), numbers[1])]
         return units, [*texts, (None, None, None, None, None, layout)]
 
 
-_SENT = "block string, bucket int, at long, bytes binary, sizes binary, train binary, ids array<long>, out array<boolean>, many array<long>, coded array<long>, seq binary, layout binary"
-_KINDS = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+_SENT = "block string, bucket int, at long, n long, bytes binary, sizes binary, train binary, ids array<long>, out array<boolean>, many array<long>, coded array<long>, seq binary, layout array<binary>"
+_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
 
 
 def _names(schema: str) -> list[str]:
@@ -163,7 +165,7 @@ def blocks(docs: DataFrame, buckets: int, most: int = 600_000) -> DataFrame:
 
     def out(block: Block, name: str) -> Iterator[pa.RecordBatch]:
         units, texts = block.done(buckets)
-        rows = [(name, *u, *[None] * 6) for u in units] + [(name, *[None] * 5, *t) for t in texts]
+        rows = [(name, *u, *[None] * 6) for u in units] + [(name, *[None] * 6, *t) for t in texts]
         for i in range(0, len(rows), 8):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 8], strict=True), _KINDS, strict=True)], names=_names(_SENT))
 
@@ -189,8 +191,8 @@ _UNITS = "bucket int, sub int, block string, at long, places binary, bytes binar
 def _dealt(sent: DataFrame) -> DataFrame:
     """The rows of units with the part of the bucket they belong to: buckets of more than
     MOST units are split by the units' hashes."""
-    units = sent.where("bucket is not null").select("bucket", "block", "at", "bytes", "sizes", "train")
-    large = {r.bucket: -(-r.n // MOST) for r in units.groupBy("bucket").agg(F.sum(F.octet_length("sizes") / 4).cast("long").alias("n")).where(f"n > {MOST}").collect()}
+    units = sent.where("bucket is not null").select("bucket", "block", "at", "n", "bytes", "sizes", "train")
+    large = {r.bucket: -(-r.n // MOST) for r in units.groupBy("bucket").agg(F.sum("n").alias("n")).where(f"n > {MOST}").collect()}
     whole = units.where(~F.col("bucket").isin(list(large))) if large else units
     whole = whole.select("bucket", F.lit(0).alias("sub"), "block", "at", F.lit(None).cast("binary").alias("places"), "bytes", "sizes", "train")
     if not large:
@@ -199,13 +201,13 @@ def _dealt(sent: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                data, size, n = np.frombuffer(r["bytes"], np.uint8), np.frombuffer(r["sizes"], np.uint32).astype(np.int64), np.frombuffer(r["train"], np.int64)
+                data, size, n = np.frombuffer(r["bytes"], np.uint8), unpacked(r["sizes"]).astype(np.int64), unpacked(r["train"])
                 start = np.cumsum(size) - size
                 sub = (hash_ranges(data, start, start + size) % U(large[r["bucket"]])).astype(np.int64)
                 rows = []
                 for k in np.unique(sub).tolist():
                     i = np.flatnonzero(sub == k)
-                    rows.append((r["bucket"], k, r["block"], r["at"], i.astype(np.uint32).tobytes(), gathered(data, start[i], size[i]).tobytes(), size[i].astype(np.uint32).tobytes(), n[i].tobytes()))
+                    rows.append((r["bucket"], k, r["block"], r["at"], packed(i.astype(np.uint32)), gathered(data, start[i], size[i]).tobytes(), packed(size[i].astype(np.uint32)), packed(n[i])))
                 kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_UNITS))
 
@@ -222,15 +224,14 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
     def run(g: pa.Table) -> pa.Table:
         rows = sorted(g.to_pylist(), key=lambda r: r["block"])
         data = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
-        size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
-        counts = np.concatenate([np.frombuffer(r["train"], np.int64) for r in rows])
+        sizes = [unpacked(r["sizes"]) for r in rows]
+        size, counts = np.concatenate(sizes).astype(np.int64), np.concatenate([unpacked(r["train"]) for r in rows])
         start = np.cumsum(size) - size
         _, first, inverse = np.unique(hash_ranges(data, start, start + size), return_index=True, return_inverse=True)
         train = np.bincount(inverse, counts, len(first)).astype(np.int64)
-        cuts = np.cumsum([len(r["sizes"]) // 4 for r in rows])[:-1]
-        maps = [x.astype(np.uint32).tobytes() for x in np.split(inverse, cuts)]
+        maps = [packed(x.astype(np.uint32)) for x in np.split(inverse, np.cumsum(list(map(len, sizes)))[:-1])]
         words = rows[0]["bucket"] < buckets
-        cols = [[rows[0]["bucket"]], [rows[0]["sub"]], [gathered(data, start[first], size[first]).tobytes()], [size[first].astype(np.uint32).tobytes()], [train.tobytes()]]
+        cols = [[rows[0]["bucket"]], [rows[0]["sub"]], [gathered(data, start[first], size[first]).tobytes()], [packed(size[first].astype(np.uint32))], [packed(train)]]
         cols += [[[r[c] for r in rows]] for c in ("block", "at", "places")] + [[maps], [int(train.sum()) * words], [int((train > 0).sum()) * words]]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_VOCAB))
@@ -244,9 +245,9 @@ class Shard:
     pairs one edge, their last byte. Units stand in the order of their hashes, and so do
     their edges, each where it is first met."""
 
-    def __init__(self, data: bytes, sizes: bytes, train: bytes, pairs: bool):
-        raw, size = np.frombuffer(data, np.uint8), np.frombuffer(sizes, np.uint32).astype(np.int64)
-        self.train, self.n, self.set = np.frombuffer(train, np.int64), len(size), 8 * pairs
+    def __init__(self, raw: np.ndarray, size: np.ndarray, train: np.ndarray, pairs: bool):
+        size = size.astype(np.int64)
+        self.train, self.n, self.set = train, len(size), 8 * pairs
         full = size if pairs else size + ~((size == 1) & (raw[np.cumsum(size) - size] == _END))
         at = np.cumsum(full) - full
         unit = np.repeat(np.arange(len(size)), full)
@@ -372,7 +373,7 @@ def _shards(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[d
     for b in batches:
         for i in range(len(b)):
             row = {n: b.column(k)[i] for k, n in enumerate(b.schema.names)}
-            yield row, Shard(*(row[c].as_buffer().to_pybytes() for c in ("bytes", "sizes", "train")), row["bucket"].as_py() >= buckets)
+            yield row, Shard(np.frombuffer(row["bytes"].as_buffer(), np.uint8), unpacked(row["sizes"]), unpacked(row["train"]), row["bucket"].as_py() >= buckets)
 
 
 def _table(vocab: DataFrame, buckets: int) -> np.ndarray:
@@ -392,14 +393,13 @@ def _table(vocab: DataFrame, buckets: int) -> np.ndarray:
                 used = np.flatnonzero(part.any(1))
                 n = part[used].astype(np.int64)
                 n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([used.astype(np.uint32).tobytes()]), pa.array([n.tobytes()])], names=["r", "slots", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed(np.diff(used, prepend=0).astype(np.uint32))]), pa.array([packed(n.ravel())])], names=["r", "slots", "n"])
 
     def add(g: pa.Table) -> pa.Table:
         r = g["r"][0].as_py()
         out = np.zeros((edge[r + 1] - edge[r], 2), np.int64)
         for slots, n in zip(g["slots"], g["n"], strict=True):
-            used, n = np.frombuffer(slots.as_buffer(), np.uint32), n.as_buffer()
-            out[used] += np.frombuffer(n, np.uint32 if len(n) == 8 * len(used) else np.int64).reshape(-1, 2)
+            out[np.cumsum(unpacked(slots).astype(np.int64))] += unpacked(n).reshape(-1, 2)
         return pa.table([pa.array([r], pa.int32()), pa.array([b""]), pa.array([out.astype(np.float32).tobytes()])], names=["r", "slots", "n"])
 
     schema = "r int, slots binary, n binary"
@@ -455,36 +455,32 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             cost = costs(s, table.value, *last.value)
             known = s.train.astype(np.uint32) if s.train.max(initial=0) < 1 << 32 else s.train
             for block, at, places, of in zip(*(row[c] for c in ("blocks", "at", "places", "maps")), strict=True):
-                i = np.frombuffer(of.as_buffer(), np.uint32)
-                cols = [pa.array([block.as_py()]), pa.array([row["bucket"].as_py()], pa.int32()), pa.array([at.as_py()], pa.int64()), pa.array([places.as_py()], pa.binary()), pa.array([cost[i].tobytes()]), pa.array([known[i].tobytes() if row["bucket"].as_py() < buckets else b""])]
+                i = unpacked(of)
+                cols = [pa.array([block.as_py()]), pa.array([row["bucket"].as_py()], pa.int32()), pa.array([at.as_py()], pa.int64()), pa.array([places.as_py()], pa.binary()), pa.array([cost[i].tobytes()]), pa.array([packed(known[i]) if row["bucket"].as_py() < buckets else None], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "at", "places", "cost", "count"])
 
     def finish(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        layout = next(x for x in texts["layout"] if x.is_valid).as_buffer()
-        n, end = np.frombuffer(layout, np.int64, 2).tolist()
-        ends = np.frombuffer(layout, np.int64, n, 16)
-        pairs = (len(layout) - 16 - 8 * n) // 12
-        keys, number = np.frombuffer(layout, np.int64, pairs, 16 + 8 * n), np.frombuffer(layout, np.uint32, pairs, 16 + 8 * (n + pairs))
-        cost, count, border = np.zeros(n), np.zeros(n), np.zeros(pairs)
+        end, words, ends, keys, number = (unpacked(x) for x in next(x for x in texts["layout"] if x.is_valid))
+        keys = np.cumsum(keys)
+        cost, count, border = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(keys))
         for bucket, at, places, value, many in zip(*(replies[c] for c in ("bucket", "at", "places", "cost", "count")), strict=True):
             v = np.frombuffer(value.as_buffer())
-            i = at.as_py() + (np.frombuffer(places.as_buffer(), np.uint32) if places.is_valid else np.arange(len(v)))
+            i = at.as_py() + (unpacked(places).astype(np.int64) if places.is_valid else np.arange(len(v)))
             if bucket.as_py() < buckets:
-                cost[i], many = v, many.as_buffer()
-                count[i] = np.frombuffer(many, np.uint32 if len(many) == 4 * len(v) else np.int64)
+                cost[i], count[i] = v, unpacked(many)
             else:
                 border[i] = v
-        border = border[number]
+        cost, count, border = cost[words], count[words], border[number]
         base, known = np.log10((count + 1) / (total + types + 1)), (count > 0).astype(np.int64)
         out: list[list] = [[] for _ in range(8)]
         for k in range(texts.num_rows):
             if not texts["seq"][k].is_valid:
                 continue
-            seq = np.frombuffer(texts["seq"][k].as_buffer(), np.uint32).astype(np.int64)
+            seq = unpacked(texts["seq"][k]).astype(np.int64)
             many, coded = (np.array(texts[c][k].as_py(), np.int64) for c in ("many", "coded"))
             first = np.cumsum(many) - many
             u, of = _distinct(Block.pairs_of(ends, np.r_[end, seq]))
-            cost_at = cost[seq] + border[np.minimum(np.searchsorted(keys, u), max(0, pairs - 1))][of][1:]
+            cost_at = cost[seq] + border[np.minimum(np.searchsorted(keys, u), len(keys) - 1)][of][1:]
             points = np.add.reduceat(cost_at, first)
             cols = [texts["ids"][k].as_py(), texts["out"][k].as_py(), many, np.add.reduceat(known[seq], first), np.full(len(many), total), np.add.reduceat(base[seq], first), points, -points / math.log10(2) / coded]
             for o, c in zip(out, cols, strict=True):

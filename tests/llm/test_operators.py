@@ -396,7 +396,7 @@ def test_lm_costs_are_a_distribution():
     rng = random.Random(1)
     units = [bytes([0, 0, 0, 97, 98, x]) for x in range(256)]
     n = np.array([rng.choice([0, 0, 0, rng.randint(0, 9)]) for _ in units], np.int64)
-    s = mixing_lm.Shard(b"".join(units), np.full(256, 6, np.uint32).tobytes(), n.tobytes(), True)
+    s = mixing_lm.Shard(np.frombuffer(b"".join(units), np.uint8), np.full(256, 6), n, True)
     table = np.zeros(2 * mixing_lm.OFFSETS[-1])
     s.count(table)
     table = table.reshape(-1, 2).astype(np.float32)
