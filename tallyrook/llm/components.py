@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 #: Links that one task joins by itself before the steps over all links begin.
 PART = 500_000
@@ -50,7 +50,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges, "links")
     parts = -(-edges.count() // PART)
     if parts:
-        edges = written(edges.repartition(parts).mapInArrow(_stars, "u long, v long").distinct(), "links")
+        edges = written(edges.repartition(parts).mapInArrow(lean(_stars), "u long, v long").distinct(), "links")
     sign = _signature(edges)
     while sign[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import string_buffers
+from .common import lean, string_buffers
 from .words import Words, chunks, hash_ranges, mix, windows
 
 # The symbols that count as such.
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
             lists = [x.ravel().astype(np.int32) for x in np.split(m.buckets, cuts)] if len(b) else []
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "quality", "buckets"])
 
-    got = sorted(((r.doc_id, r.quality, r.buckets) for r in rows.mapInArrow(run, schema).collect() if r.buckets), key=lambda r: (r[0], r[2]))
+    got = sorted(((r.doc_id, r.quality, r.buckets) for r in rows.mapInArrow(lean(run), schema).collect() if r.buckets), key=lambda r: (r[0], r[2]))
     if not got:
         return Model.plain()
     sizes = [len(r[2]) // N_FEATURES for r in got]
@@ -275,4 +275,4 @@ def assess(docs: DataFrame, model: Model, min_share: float = 0.5, prefix: str =
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c.astype(t.to_pandas_dtype()), t, from_pandas=True) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_buffers, written
+from .common import lean, string_buffers, written
 from .components import components
 from .words import U, Words, chunks, mix, windows
 
@@ -145,7 +145,7 @@ def measured(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         cols = [info["ids"][0].values, info["sizes"][0].values.cast(pa.int64()), info["d1"][0].values, info["d2"][0].values, pa.array(shared)]
         return pa.table(cols, names=["doc_id", "n", "d1", "d2", "shared"])
 
-    counted = rows.mapInArrow(gather, sent).groupBy("bucket").applyInArrow(count, sent)
+    counted = rows.mapInArrow(lean(gather), sent).groupBy("bucket").applyInArrow(count, sent)
     return counted.groupBy("block").applyInArrow(add, "doc_id long, n long, d1 long, d2 long, shared long")
 
 
@@ -161,7 +161,7 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
                 cols = [b.column(0)[i:j], pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "d1", "d2", "n", "shingles"])
 
-    return docs.mapInArrow(run, "node long, d1 long, d2 long, n long, shingles array<long>")
+    return docs.mapInArrow(lean(run), "node long, d1 long, d2 long, n long, shingles array<long>")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 # Fixed value: the sign of a variable field.
 FIELD = "<*>"
@@ -34,7 +34,7 @@ def _masked(plain: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(row, doc, at, plain, leaf) of each line with min_tokens tokens or more. Each step is
+    """(__row, doc, at, plain, leaf) of each line with min_tokens tokens or more. Each step is
     done once a line, inside the array; behind the explode it would be done again for
     every filter and key that uses it."""
     plain = F.transform(F.split("text", "\n"), _plain)
@@ -45,7 +45,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_share: float = 0.5, min_tokens: int = 4) -> DataFrame:
-    """(__row, __drop): for rows (__row, doc_id, text), the places (from 0) of lines to drop.
+    """(__row, doc, __drop): for rows (__row, doc_id, text), the places (from 0) of lines to drop.
 
     A first pass counts leaves; only lines of leaves that several documents share are
     looked at further, and equal masked lines of these count as one with a weight. Where a
@@ -55,6 +55,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     """
     lines = _lines(docs, depth, min_tokens)
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where(f"n >= {min_docs} and a <> b").select("leaf")
+    leaves = written(leaves, "template-leaves")  # apart from the join, whose hot leaves adaptive execution can split then
     kept = written(lines.join(leaves.hint("shuffle_hash"), "leaf").select("__row", "doc", "at", "leaf", _masked(F.col("plain")).alias("masked")), "template-lines")
     kept = kept.withColumn("kind", F.xxhash64("leaf", "masked"))
     # one row for each kind of line, with the number of the documents that have no other in its leaf
@@ -79,7 +80,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     named = kept.join(templates.select("kind", template), "kind").select("__row", "doc", "at", "template")
     seen = named.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(f"docs >= {min_docs}")
     gone = named.join(seen.select("template", "first"), "template").where(~F.col("doc").eqNullSafe(F.col("first")))
-    return gone.groupBy("__row").agg(F.collect_set("at").alias("__drop"))
+    return gone.groupBy("__row", "doc").agg(F.collect_set("at").alias("__drop"))
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_share: float = 0.5, min_tokens: int = 4, report: str | None = None) -> DataFrame:
@@ -88,15 +89,17 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_
     The first document of a template (by doc_id, nulls last) keeps its lines, so that of
     copies of a document one stays whole; a document whose lines all go has an empty
     text. Null texts stay null. Equal rows are treated alike. Columns and their order
-    stay; with `report`, that column is added: the places of the dropped lines.
+    stay, whatever their names; with `report`, that column is added: the places of the dropped lines.
     """
     text = F.col("text").cast("string")
     row = F.xxhash64(F.col("doc_id"), F.lit("|"), text)
     lines = docs.select(row.alias("__row"), F.col("doc_id"), text.alias("text"))
     gone = dropped_lines(lines, min_docs, depth, constant_share, min_tokens)
-    joined = docs.withColumn("__row", row).join(gone.hint("shuffle_hash"), "__row", "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    columns = [F.when(F.col("__drop").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    own, other, of, drop = free(docs.columns, "row", "line_row", "line_doc", "drop")
+    gone = gone.select(F.col("__row").alias(other), F.col("doc").alias(of), F.col("__drop").alias(drop))
+    joined = docs.withColumn(own, row).join(gone.hint("shuffle_hash"), (F.col(own) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    columns = [F.when(F.col(drop).isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if report:
-        columns.append(F.sort_array(F.coalesce(F.col("__drop"), F.array().cast("array<int>"))).alias(report))
+        columns.append(F.sort_array(F.coalesce(F.col(drop), F.array().cast("array<int>"))).alias(report))
     return joined.select(*columns)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, string_buffers, unpacked, written
+from .common import lean, packed, string_buffers, unpacked, written
 from .words import _BASE, LOWER, U, Words, _byte_values, chunks, gathered, hash_ranges, mix
 
 TAIL = 5  # bytes of the word before
@@ -182,7 +182,7 @@ def blocks(docs: DataFrame, buckets: int, most: int = 600_000) -> DataFrame:
         if block.rows:
             yield from out(block, f"{part}-{seq}")
 
-    return written(docs.mapInArrow(run, _SENT), "lm-blocks")
+    return written(docs.mapInArrow(lean(run), _SENT), "lm-blocks")
 
 
 _UNITS = "bucket int, sub int, block string, at long, places binary, bytes binary, sizes binary, train binary"
@@ -211,7 +211,7 @@ def _dealt(sent: DataFrame) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_UNITS))
 
-    return whole.union(units.where(F.col("bucket").isin(list(large))).mapInArrow(split, _UNITS))
+    return whole.union(units.where(F.col("bucket").isin(list(large))).mapInArrow(lean(split), _UNITS))
 
 
 _VOCAB = "bucket int, sub int, bytes binary, sizes binary, train binary, blocks array<string>, at array<long>, places array<binary>, maps array<binary>, tokens long, types long"
@@ -404,7 +404,7 @@ def _table(vocab: DataFrame, buckets: int) -> np.ndarray:
 
     schema = "r int, slots binary, n binary"
     whole = np.zeros((OFFSETS[-1], 2), np.float32)
-    for x in vocab.mapInArrow(send, schema).groupBy("r").applyInArrow(add, schema).select("r", "n").toLocalIterator():
+    for x in vocab.mapInArrow(lean(send), schema).groupBy("r").applyInArrow(add, schema).select("r", "n").toLocalIterator():
         whole[edge[x.r] : edge[x.r + 1]] = np.frombuffer(x.n, np.float32).reshape(-1, 2)
     return whole
 
@@ -445,7 +445,7 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     shapes = {"w": (SETS, GATES, INPUTS), "used": (SETS, GATES), "met": (2, SETS, GATES, LEVELS)}
     sums = [np.zeros(x) for x in shapes.values()]
-    for r in sorted(inner.mapInArrow(fit, "w binary, used binary, met binary").collect()):
+    for r in sorted(inner.mapInArrow(lean(fit), "w binary, used binary, met binary").collect()):
         for at, (c, shape) in zip(sums, shapes.items(), strict=True):
             at += np.frombuffer(r[c]).reshape(shape)
     last = spark.sparkContext.broadcast(averaged(*sums))
@@ -488,6 +488,6 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=_names(SCORES))
 
-    replies = vocab.mapInArrow(reply, "block string, bucket int, at long, places binary, cost binary, count binary")
+    replies = vocab.mapInArrow(lean(reply), "block string, bucket int, at long, places binary, cost binary, count binary")
     texts = sent.where("bucket is null").select("block", "ids", "out", "many", "coded", "seq", "layout")
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORES)

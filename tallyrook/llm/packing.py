@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import string_buffers, written
+from .common import lean, string_buffers, written
 from .tokenize import coder
 
 #: So many offsets of parts, of 12 bytes each, are broadcast at most.
@@ -41,7 +41,7 @@ def tokens_by_part(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + rows], pa.array([part] * rows, pa.int32()), pa.array(total + ends[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array([wide] * rows, pa.bool_()), tokens], names=schema.names)
                 total, at = total + int(ends[-1]), at + rows
 
-    return written(rows.mapInArrow(run, schema), "tokens")
+    return written(rows.mapInArrow(lean(run), schema), "tokens")
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -95,4 +95,4 @@ def _cut(first: DataFrame, base: DataFrame, window: int, with_ids: bool) -> Data
                 out.append(pa.array(ids_out, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(lean(run), schema)

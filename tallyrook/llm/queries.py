@@ -11,6 +11,8 @@ from . import crf_quality, embedding_pairs, jaccard, line_templates, mixing_lm,
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
+#: Words of repeating units side by side that op6 takes out; shorter repeats are lines that many documents share.
+MIN_PASSAGE = 20
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op5_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report="removed")
+    return unit_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report="removed", min_passage=MIN_PASSAGE)
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

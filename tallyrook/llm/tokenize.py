@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import TrieBPE
-from .common import string_buffers
+from .common import lean, string_buffers
 
 
 @lru_cache(maxsize=1)
@@ -43,7 +43,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + n], lists, text], names=schema.names)
                 at += n
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,4 +65,4 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(text)], pa.array(np.diff(cut), pa.int64()), pa.array(hashes, pa.string()), pa.array(text, pa.string())], names=schema.names)
                 at += len(text)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

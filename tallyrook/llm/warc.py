@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import lean, scratch, written
 
 # What a gzip member and a WARC record begin with.
 MAGIC = b"\x1f\x8b\x08"
@@ -102,7 +102,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["file", "bytes", "records"])
 
     schema = "file string, bytes long, records long"
-    rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    rows.select("page_id", "url", "html", "refers_to").mapInArrow(lean(run), schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -215,7 +215,7 @@ def read(files: DataFrame, split: int = 32 << 20, payloads: bool = True) -> Data
                 if rows:
                     yield _batch(rows)
 
-    return tasks.repartition("file", "start").mapInArrow(run, RECORD)
+    return tasks.repartition("file", "start").mapInArrow(lean(run), RECORD)
 
 
 def _id(value: str | None) -> int | None:

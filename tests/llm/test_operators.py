@@ -33,7 +33,7 @@ def texts(n=150, seed=5):
 def docs(spark, rows, more=False):
     rows = list(enumerate(rows)) if not rows or not isinstance(rows[0], tuple) else rows
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for c in ("kept", "n", "row", "tokens", "removed", "drop", "doc", "part", "__text") if more else ():
+    for c in ("kept", "n", "row", "tokens", "removed", "drop", "doc", "part", "__text", "__row", "__drop", "__spans", "spans", "line_row", "unit_doc", "_row") if more else ():
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -413,12 +413,12 @@ def test_repeated_units_go_and_offsets_stay(spark):
     other = "Alpha beta gamma delta epsilon zeta eta theta iota."
     rows = [(2, f"keep me\n{long}\nend"), (1, f"start {other} {long}\nbye"), (3, f"{long.upper()}"), (4, f"x\n  {long}  \ny {other} z"), (5, None), (6, ""), (7, "short line\nshort line"), (None, long), (8, f"{other}\n{other}")]
     df = docs(spark, rows, more=True)
-    got = {r.doc_id: r for r in unit_dedup.drop_repeats(df, report="spans").collect()}
-    assert got[1].text == rows[1][1] and got[1].spans == []
-    assert got[2].text == "keep me\nend" and [rows[0][1][s.start : s.end] for s in got[2].spans] == [long + "\n"]
+    got = {r.doc_id: r for r in unit_dedup.drop_repeats(df, report="gone").collect()}
+    assert got[1].text == rows[1][1] and got[1].gone == []
+    assert got[2].text == "keep me\nend" and [rows[0][1][s.start : s.end] for s in got[2].gone] == [long + "\n"]
     assert got[3].text == "" and got[None].text == "" and got[4].text == f"x\ny {other} z" and got[5].text is None and got[6].text == "" and got[7].text == rows[6][1]
     assert got[8].text == f"{other}\n"[:-1] + "\n" or got[8].text == other + "\n"
-    assert set(got[1].asDict()) == {*df.columns, "spans"} and got[1].kept == "clash"
+    assert set(got[1].asDict()) == {*df.columns, "gone"} and {got[1][c] for c in df.columns[2:]} == {"clash"}
     assert unit_dedup.drop_repeats(df.where("false")).count() == 0
 
 
@@ -445,6 +445,74 @@ def test_paragraphs_of_short_lines_and_unspaced_text_go(spark):
     assert got == {1: rows[0][1], 2: "second\n\n\nend", 3: rows[2][1], 4: rows[3][1], 5: "他の話"}
 
 
+def test_units_of_sentences_and_passages_against_loops(spark):
+    """Sentences, lines and paragraphs in loops over a corpus, with long and repeated rows."""
+    rng = random.Random(17)
+    pool = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(4, 14))).capitalize() + "." for _ in range(30)]
+    rows = [(i, rng.choice(["\n", "\n\n"]).join(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    rows += [(70, " ".join(pool) * 200), rows[5], (5, "other " + rows[5][1]), (None, rows[7][1])]
+
+    def units(t):
+        """(start, end, words) by a plain search from each place."""
+        out, lines, at = [], [], 0
+        for line in t.split("\n"):
+            lines.append((at, line))
+            at += len(line) + 1
+        for a, line in lines:
+            if len(line.split()) >= 8:
+                out.append((a, a + len(line)))
+                ends = [m.end() for m in re.finditer(r"[.!?]+(?=\s|$)", line)]
+                cuts = [0, *ends] + ([len(line)] if not ends or line[ends[-1] :].strip() else [])
+                spans = [(a + x + len(line[x:y]) - len(line[x:y].lstrip()), a + y) for x, y in zip(cuts, cuts[1:])]
+                out += [s for s in spans if len(spans) > 1 and len(t[slice(*s)].split()) >= 8]
+        held = []
+        for a, line in [*lines, (0, "")]:
+            if line.split():
+                held.append((a, a + len(line)))
+            else:
+                if len(held) > 1 and len(t[held[0][0] : held[-1][1]].split()) >= 8:
+                    out.append((held[0][0], held[-1][1]))
+                held = []
+        return [(x, y, tuple(t[x:y].lower().split())) for x, y in out]
+
+    first = {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        for x, _, w in units(t):
+            first.setdefault(w, set()).add((d is None, d, x) if d != 5 else (False, 5, x, t))
+    least = {w: min(v, key=lambda k: k[:2]) for w, v in first.items()}
+    for passage in (0, 20):
+        got = unit_dedup.drop_repeats(docs(spark, rows), report="gone", min_passage=passage).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.doc_id == 5:  # two texts share this id: which is first goes by a hash
+                continue
+            t = next(t for d, t in rows if d == r.doc_id)
+            want = np.zeros(len(t), bool)
+            spans = sorted({(x, y) for x, y, w in units(t) if least[w][:2] != (r.doc_id is None, r.doc_id) or min(k[2] for k in first[w] if k[:2] == (r.doc_id is None, r.doc_id)) != x})
+            if passage:
+                size, group = 0, []
+                flat = []
+                for x, y in spans:
+                    if flat and x <= flat[-1][1]:
+                        flat[-1] = (flat[-1][0], max(y, flat[-1][1]))
+                    else:
+                        flat.append((x, y))
+                spans = []
+                for k, (x, y) in enumerate(flat):
+                    group.append((x, y))
+                    size += len(t[x:y].split())
+                    if k + 1 == len(flat) or len(t[y : flat[k + 1][0]].split()) >= 8:
+                        spans += group if size >= 20 else []
+                        size, group = 0, []
+            for x, y in spans:
+                want[x:y] = True
+            gone = np.zeros(len(t), bool)
+            for s in r.gone:
+                gone[s.start : s.end] = True
+            assert all(not t[i].strip() for i in np.flatnonzero(want != gone)), r.doc_id
+            assert r.text == "".join(c for c, g in zip(t, gone) if not g)
+
+
 # 7 templates
 
 
@@ -457,7 +525,7 @@ def test_templates_with_variable_fields_go(spark):
     assert got[0].text == rows[0][1] and got[0].lines == []
     for i in range(1, 6):
         assert got[i].text == rows[i][1].split("\n")[0] + f"\nshort {i}" and got[i].lines == [1, 2]
-    assert got[9].text is None and got[10].text == "" and got[None].text == "" and got[1].drop == "clash"
+    assert got[9].text is None and got[10].text == "" and got[None].text == "" and {got[1][c] for c in df.columns[2:]} == {"clash"}
     assert line_templates.drop_templates(df.where("false")).count() == 0
 
 
