@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .components import components
 
 
@@ -43,14 +43,19 @@ def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
+def _bounds(a: dict, other: dict) -> np.ndarray:
+    """An upper bound of each cosine of the rows of two tiles, from int8 values. Products of
+    them are whole numbers below 2 ** 24 up to 1,000 components, which float32 holds exactly."""
+    wide = np.float32 if a["q"].shape[1] <= 1000 else np.float64
+    close = a["scale"][:, None] * other["scale"][None] * (a["q"].astype(wide) @ other["q"].astype(wide).T).astype(np.float64)
+    return close + a["reach"][:, None] * other["error"][None] + a["error"][:, None] * (other["reach"] + other["error"])[None]
+
+
 def tile_links(a: dict, b: dict | None, threshold: float) -> tuple[list, list]:
     """Of tile a against tile b (None: against itself): (node, links) sums and (node, node)
     links that connect what all links of the two tiles connect."""
     other = b or a
-    wide = np.float32 if a["q"].shape[1] <= 1000 else np.float64  # sums of products stay exact
-    dots = a["q"].astype(wide) @ other["q"].astype(wide).T
-    close = a["scale"][:, None] * other["scale"][None] * dots.astype(np.float64)
-    close += a["reach"][:, None] * other["error"][None] + a["error"][:, None] * (other["reach"] + other["error"])[None]
+    close = _bounds(a, other)
     i, j = np.nonzero(close >= threshold - 1e-9)
     if b is None:
         i, j = i[i < j], j[i < j]
@@ -70,30 +75,69 @@ def tile_links(a: dict, b: dict | None, threshold: float) -> tuple[list, list]:
     return [x for x in sums if x[1]], links
 
 
+def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The int8 form of each vector of a column of vectors of any lengths."""
+    for b in batches:
+        size = np.array(b["embedding"].value_lengths(), np.int64)
+        flat, end = np.array(b["embedding"].flatten(), np.float64), np.cumsum(size)
+        q: list = [None] * len(b)
+        numbers = np.zeros((3, len(b)))
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            x, scale, error, _ = quantise(flat[(end[at] - d)[:, None] + np.arange(d)])
+            numbers[:, at] = scale, error, product_bound(scale, error, x)
+            for i, v in zip(at.tolist(), x, strict=True):
+                q[i] = v.tobytes()
+        yield pa.RecordBatch.from_arrays([b["node"], pa.array(q, pa.binary()), *map(pa.array, numbers)], names=["node", "q", "scale", "error", "reach"])
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row (vec_id, embedding, label).
 
     Vectors are compared where labels are equal and not null. Equal vectors count as one
-    with a weight. The others of a label go to tiles of about `tile` vectors by a hash;
-    each pair of tiles is a task's unit of work, so a label may hold a third of all rows.
-    A tile product of int8 values gives each cosine within a proven bound, and only pairs
-    that may reach the threshold are computed in double precision. A pair of tiles
-    returns sums and at most one link a vector, not all its links.
+    with a weight, whatever their ids. The others of a label go to tiles of about `tile`
+    vectors by a hash; each pair of tiles is a task's unit of work, so a label may hold a
+    third of all rows. Each tile goes to every other of its label in int8; the product
+    gives each cosine within a proven bound. Only vectors with a pair that may reach the
+    threshold go to the second step with their components, and only such pairs are computed
+    in double precision. A pair of tiles returns sums and at most one link a vector, not
+    all its links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
     vectors of different lengths, don't link. A null vec_id is counted but names no
-    component. Rows that repeat are copies: they link with each other.
+    component. Rows that repeat are copies: they link with each other. Rows that share an
+    id but not a vector are vectors of their own. An empty table gives an empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
     fine = "label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     keyed = rows.withColumn("key", F.when(F.expr(f"coalesce({fine}, false)"), F.sha2(F.to_json(F.struct(F.transform("embedding", lambda x: x + F.lit(0.0)).alias("e"))), 256)))
-    classes = keyed.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")).where("node is not null")
-    classes = written(classes, "vector-classes")
-    tiles = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = classes.withColumn("dim", F.size("embedding")).join(tiles, ["label", "dim"])
-    placed = placed.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    sent = placed.select("label", "dim", "node", "copies", "embedding", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-    sent = sent.select("label", "dim", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "node", "copies", "embedding")
+    classes = keyed.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "vector-classes")
+    tiles = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    small = written(classes.select("node", "embedding").mapInArrow(lean(_quantised), "node long, q binary, scale double, error double, reach double"), "vectors-int8")
+    placed = written(classes.select("node", "label", "dim").join(tiles, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")), "vector-tiles")
+    sent = placed.join(small, "node").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pair = [F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")]
+    sent = sent.select("label", "dim", *pair, "t", "node", "q", "scale", "error", "reach")
+
+    def near(g: pa.Table) -> pa.Table:
+        """The vectors of a pair of tiles that may link with one of the other tile."""
+        one = g["i"][0].as_py(), g["j"][0].as_py()
+        sides = []
+        for t in one:
+            own = g.filter(pa.compute.equal(g["t"], t))
+            q = np.frombuffer(b"".join(own["q"].to_pylist()), np.int8).reshape(own.num_rows, g["dim"][0].as_py())
+            sides.append({"q": q, "node": own["node"].combine_chunks()} | {c: np.array(own[c]) for c in ("scale", "error", "reach")})
+        may = _bounds(*sides) >= threshold - 1e-9
+        if one[0] == one[1]:
+            np.fill_diagonal(may, False)
+            sides.pop()
+        nodes = pa.concat_arrays([s["node"].filter(pa.array(may.any(1 - k))) for k, s in enumerate(sides)])
+        fixed = [pa.array([g[c][0].as_py()] * len(nodes), pa.int32()) for c in ("label", "dim", "i", "j")]
+        return pa.table([*fixed, nodes], names=["label", "dim", "i", "j", "node"])
+
+    able = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(near, "label int, dim int, i int, j int, node long"), "vectors-near")
+    full = able.join(placed.select("node", "t"), "node").join(classes.select("node", "copies", "embedding"), "node")
 
     def side(g: pa.Table, t: int) -> dict:
         own = g.filter(pa.compute.equal(g["t"], t)).sort_by("node")
@@ -108,11 +152,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
         nodes = [*(x[0] for x in sums), *(x[0] for x in links)]
         return pa.table([pa.array(nodes, pa.int64()), pa.array([*(x[1] for x in sums), *[None] * len(links)], pa.int64()), pa.array([*[None] * len(sums), *(x[1] for x in links)], pa.int64())], names=["node", "n", "other"])
 
-    found = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(work, "node long, n long, other long"), "tile-links")
+    found = written(full.groupBy("label", "dim", "i", "j").applyInArrow(work, "node long, n long, other long"), "tile-links")
     counts = found.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.where("other is not null"), "node", "other").withColumnRenamed("node", "part_of")
-    of = classes.select("label", "key", "node", "copies").join(counts, "node", "left").join(parts, F.col("node") == F.col("part_of"), "left")
-    of = of.where("n is not null or copies > 1").select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    of = classes.select("label", "key", "node", "copies", "least").join(counts, "node", "left").join(parts, F.col("node") == F.col("part_of"), "left")
+    names = of.where("component is not null").groupBy(F.col("component").alias("named")).agg(F.min("least").alias("name"))
+    of = of.join(names, F.col("component") == F.col("named"), "left").where("n is not null or copies > 1")
+    of = of.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("name", "least").alias("component"))
     out = keyed.select("vec_id", "label", "key").join(of, ["label", "key"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -26,6 +26,8 @@ from .common import lean, scratch, written
 # What a gzip member and a WARC record begin with.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+#: Of reading; a task has several ranges beyond that.
+MOST_TASKS = 50_000
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, position long"
 
@@ -111,7 +113,7 @@ class Found:
     position: int
     end: int
     headers: dict[str, str]
-    block: bytes
+    block: bytes | None  # None: a damaged member
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -127,8 +129,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
     return (headers, rest[:n]) if len(rest) >= n else None
 
 
+def _begins(data: bytes) -> bool:
+    """Does a record begin here, whatever comes of the rest?"""
+    try:
+        return zlib.decompressobj(31).decompress(data, len(VERSION)) == VERSION
+    except zlib.error:
+        return False
+
+
 def scan(f, start: int, end: int, step: int = 1 << 20) -> Iterator[Found]:
-    """Records of an open file that start in [start, end)."""
+    """Records of an open file that start in [start, end). A member that begins as a record
+    and doesn't decompress to a whole one comes out as damaged."""
     f.seek(start)
     base, buf, eof, at = start, b"", False, start
 
@@ -174,6 +185,8 @@ def scan(f, start: int, end: int, step: int = 1 << 20) -> Iterator[Found]:
                 checked = len(head) >= len(VERSION)
         got = None if bad else parse(b"".join(raw))
         if got is None:
+            if checked or _begins(buf[i : i + (1 << 16)]):
+                yield Found(at, at, {"warc-type": "damaged"}, None)
             at += 1
             continue
         size = used - i - len(z.unused_data)
@@ -196,7 +209,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.warc.gz") ->
 def read(files: DataFrame, split: int = 32 << 20, payloads: bool = True) -> DataFrame:
     """Records of archives (file, bytes): RECORD's columns. payload_bytes and
     payload_digest are of the full payload, also for revisits, whose payload is null.
-    Bytes that belong to no record are passed over. With payloads=False the payload is
+    Bytes that belong to no record are passed over; a damaged member is a row of the type
+    'damaged' with nothing but its file and position. With payloads=False the payload is
     checked against its digest and left out."""
     tasks = ranges(files, split)
 
@@ -208,14 +222,15 @@ def read(files: DataFrame, split: int = 32 << 20, payloads: bool = True) -> Data
                 with store.open_input_file(p) as f:
                     for r in scan(f, start, end):
                         rows.append((*_fields(r, payloads), path, r.position))
-                        held += len(r.block) if payloads else 0
+                        held += len(r.block or b"") if payloads else 0
                         if held > 8 << 20 or len(rows) >= 4096:
                             yield _batch(rows)
                             rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
-    return tasks.repartition("file", "start").mapInArrow(lean(run), RECORD)
+    # a number that is given is not made smaller by the few bytes that name the ranges
+    return tasks.repartition(max(1, min(tasks.count(), MOST_TASKS))).mapInArrow(lean(run), RECORD)
 
 
 def _id(value: str | None) -> int | None:
@@ -225,6 +240,8 @@ def _id(value: str | None) -> int | None:
 
 def _fields(r: Found, payloads: bool) -> tuple:
     h = r.headers
+    if r.block is None:
+        return (None, None, "damaged", *[None] * 4)
     http, _, body = r.block.partition(b"\r\n\r\n")
     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
     said = h.get("warc-payload-digest", "").partition(":")[2] or None
@@ -243,12 +260,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def round_trip(pages: DataFrame, split: int = 32 << 20) -> DataFrame:
     """Write every page as a record to archives in the shared folder, read these back,
     and return (page_id, payload_bytes, payload_digest, record_type, refers_to). It is an
-    error if other than the manifest's number of records is read."""
+    error if other than the manifest's number of records is read, or a damaged one."""
     folder = scratch(pages.sparkSession, "warc")
     manifest = write(with_revisits(pages), folder)
     found = read(manifest.select("file", "bytes"), split, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     found = written(found, "warc-records")
-    sent, got = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
-    if sent != got:
-        raise ValueError(f"{sent} records were written and {got} read")
+    sent, got = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.where("record_type <> 'damaged'").count()
+    if sent != got or found.where("record_type = 'damaged'").count():
+        raise ValueError(f"{sent} records were written and {got} read whole")
     return found

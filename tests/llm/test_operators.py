@@ -78,10 +78,23 @@ def test_warc_keeps_records_with_long_headers(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "u", "c")], "page_id long, url string, html string")
     assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 2, 3]
     monkeypatch.setattr(warc, "read", lambda *a, f=warc.read, **kw: f(*a, **kw).where("page_id <> 2"))
-    with pytest.raises(ValueError, match="3 records were written and 2 read"):
+    with pytest.raises(ValueError, match="3 records were written and 2 read whole"):
         warc.round_trip(pages)
 
 
+def test_warc_tells_damaged_members_and_reads_in_parallel(spark, tmp_path, monkeypatch):
+    members = [warc.record(i, "u", "".join(random.Random(i).choices("abcdefgh", k=4000)), None) for i in range(40)]
+    broken = bytearray(members[7])
+    broken[-600:-500] = bytes(100)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*members[:7], bytes(broken), *members[8:]]))
+    files = warc.list_files(spark, f"file://{tmp_path}")
+    df = warc.read(files, split=4000)
+    rows = df.collect()
+    assert df.rdd.getNumPartitions() == -(-sum(map(len, members)) // 4000)
+    assert sorted(r.page_id for r in rows if r.record_type == "response") == [i for i in range(40) if i != 7]
+    assert [r.position for r in rows if r.record_type == "damaged"] == [sum(map(len, members[:7]))]
+
+
 def test_warc_lists_and_reads_a_folder(spark, tmp_path):
     warc.write(spark.createDataFrame([(1, "u", "a", None), (2, "u", "a", 1)], "page_id long, url string, html string, refers_to long"), f"file://{tmp_path}/w")
     rows = warc.read(warc.list_files(spark, f"file://{tmp_path}/w")).collect()
@@ -611,16 +624,17 @@ def test_near_vectors(spark, tile):
     for i in range(90):
         base = rng.normal(size=8) if i % 3 == 0 or not rows else np.array(rows[-1][1]) + rng.normal(size=8) * rng.choice([0.05, 0.2, 0.5])
         rows.append((i, [float(np.float32(v)) for v in base], int(i % 2 + (i > 60))))
-    rows += [(100 + i, rows[0][1], rows[0][2]) for i in range(5)] + [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [], 1), (204, rows[0][1], None), (205, [None] * 8, 1), (206, [float("inf")] * 8, 1), (207, rows[0][1][:4], rows[0][2]), (3, rows[3][1], rows[3][2])]
+    rows += [(100 + i, rows[0][1], rows[0][2]) for i in range(5)] + [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [], 1), (204, rows[0][1], None), (205, [None] * 8, 1), (206, [float("inf")] * 8, 1), (207, rows[0][1][:4], rows[0][2]), (3, rows[3][1], rows[3][2]), (5, rows[8][1], rows[8][2]), (5, rows[2][1], rows[2][2]), (None, rows[0][1], rows[0][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash")).withColumn("key", F.lit("clash"))
     got = collections.Counter(map(tuple, embedding_pairs.near_vectors(df, tile=tile).collect()))
     n, fine = len(rows), [r[1] is not None and len(r[1]) > 0 and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1]) and r[2] is not None for r in rows]
     link = lambda i, j: i != j and fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and np.dot(rows[i][1], rows[j][1]) / (np.linalg.norm(rows[i][1]) * np.linalg.norm(rows[j][1])) >= 0.98
     links = [[j for j in range(n) if link(i, j)] for i in range(n)]
-    root = [r[0] for r in rows]
+    big = 1 << 60
+    root = [big if r[0] is None else r[0] for r in rows]
     for _ in range(n):
         root = [min([root[i], *(root[j] for j in links[i])]) for i in range(n)]
-    assert got == collections.Counter((rows[i][0], len(links[i]), root[i], rows[i][0] == root[i]) for i in range(n))
+    assert got == collections.Counter((rows[i][0], len(links[i]), root[i], None if rows[i][0] is None else rows[i][0] == root[i]) for i in range(n))
     assert embedding_pairs.near_vectors(df.where("false")).count() == 0
 
 
