@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, string_buffers
+from .common import free, lean, string_buffers
 from .words import Words, chunks, hash_ranges, mix, windows
 
 # The symbols that count as such.
@@ -110,17 +110,19 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> Measured:
 @dataclass
 class Model:
     """weights[f, v]: how much value v of feature f speaks for boilerplate; step[a, b]:
-    for label b (1: boilerplate) after label a; bias: for boilerplate at any line."""
+    for label b (1: boilerplate) after label a; bias: for boilerplate at any line; fitted:
+    whether labelled documents of both kinds were there to learn from."""
 
     weights: np.ndarray
     step: np.ndarray
     bias: float
+    fitted: bool = True
 
     @classmethod
     def plain(cls) -> Model:
         """What holds without labelled documents: many symbols, capitals, repeats speak
         for boilerplate."""
-        m = cls(np.zeros((N_FEATURES, N_BUCKETS)), np.array([[0.5, -0.5], [-0.5, 0.5]]), -2.0)
+        m = cls(np.zeros((N_FEATURES, N_BUCKETS)), np.array([[0.5, -0.5], [-0.5, 0.5]]), -2.0, False)
         for k, name in enumerate(_EDGES):
             if name in ("symbols", "upper", "mark", "same", "repeat"):
                 m.weights[k, 3:] = 2.0
@@ -163,14 +165,49 @@ def viterbi(model: Model, line_doc: np.ndarray, buckets: np.ndarray) -> np.ndarr
     return out
 
 
-def train(line_doc: np.ndarray, buckets: np.ndarray, bad: np.ndarray, rounds: int = 200, ridge: float = 2e-3) -> Model:
-    """Fit by gradient steps on the chains' likelihood (forward-backward, all in step).
-    bad: for each line, whether its text is labelled as poor; its lines count as boilerplate."""
+def line_labels(line_doc: np.ndarray, line_words: np.ndarray, buckets: np.ndarray, bad: np.ndarray, turns: int = 3) -> np.ndarray:
+    """Which lines are boilerplate, where only texts are labelled (bad: for each line, whether
+    its text is): a classifier of single lines is fitted to the texts' labels, lines get its
+    answer, and it is fitted to these again. Of a good text the half of the words that
+    speaks least for boilerplate stays content, of a poor one the half that speaks most
+    for it stays boilerplate."""
+    y, flat = bad.astype(float), buckets + np.arange(N_FEATURES) * N_BUCKETS
+    total = np.bincount(line_doc, line_words)[line_doc]
+    for _ in range(turns):
+        w, bias = _line_classifier(flat, y)
+        score = w[flat].sum(1) + bias
+        for poor in (False, True):
+            at = np.flatnonzero(bad == poor)
+            at = at[np.lexsort((-score[at] if poor else score[at], line_doc[at]))]
+            words = np.cumsum(line_words[at]) - line_words[at]
+            first = np.r_[True, line_doc[at][1:] != line_doc[at][:-1]] if len(at) else np.zeros(0, bool)
+            before = words - np.maximum.accumulate(np.where(first, words, 0))
+            held = 2 * before <= total[at]
+            y[at] = held | (score[at] > 0) if poor else ~held & (score[at] > 0)
+    return y.astype(bool)
+
+
+def _line_classifier(flat: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Logistic regression of lines by gradient steps; both labels weigh the same."""
+    w, bias, size = np.zeros(N_FEATURES * N_BUCKETS), 0.0, max(1, len(y))
+    share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    for _ in range(steps):
+        d = (y - 1 / (1 + np.exp(-(w[flat].sum(1) + bias)))) * weight
+        w += 0.5 * (np.bincount(flat.ravel(), np.repeat(d, N_FEATURES), len(w)) / size - ridge * w)
+        bias += 0.5 * d.sum() / size
+    return w, bias
+
+
+def train(line_doc: np.ndarray, line_words: np.ndarray, buckets: np.ndarray, bad: np.ndarray, rounds: int = 200, ridge: float = 2e-3) -> Model:
+    """Fit by gradient steps on the likelihood (forward-backward, all in step) of the chains
+    of lines, as line_labels labels them. bad: for each line, whether its text is labelled
+    as poor."""
     start, size = _chains(line_doc)
     if not len(line_doc) or bad.all() or not bad.any():
         return Model.plain()
     m = Model(np.zeros((N_FEATURES, N_BUCKETS)), np.zeros((2, 2)), 0.0)
-    y, longest = bad.astype(int), int(size[0])
+    y, longest = line_labels(line_doc, line_words, buckets, bad).astype(int), int(size[0])
     active = [int(np.searchsorted(-size, -t, "left")) for t in range(longest)]
     flat = buckets + np.arange(N_FEATURES) * N_BUCKETS
     total, chains = len(y), len(start)
@@ -217,13 +254,14 @@ def train(line_doc: np.ndarray, buckets: np.ndarray, bad: np.ndarray, rounds: in
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, most_lines: int = 1000) -> Model:
     """Train on at most `sample` labelled documents, chosen by a hash of their id (a
     classifier's bounded sample; the texts' line features, not the texts, come to the
-    driver). Without labels of both kinds: Model.plain()."""
+    driver); those of more than most_lines lines are no examples. Without labels of both
+    kinds: Model.plain(), which says so in `fitted`."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    schema = "doc_id long, quality int, buckets array<int>"
+    schema = "doc_id long, quality int, buckets array<int>, words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,32 +269,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
             m = measure(buf, off)
             n = np.bincount(m.line_doc, minlength=len(b)) if len(m.line_doc) else np.zeros(len(b), np.int64)
             cuts = np.cumsum(n)[:-1]
-            lists = [x.ravel().astype(np.int32) for x in np.split(m.buckets, cuts)] if len(b) else []
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "quality", "buckets"])
+            n = n.tolist()
+            lists = [x.ravel().astype(np.int32) if k <= most_lines else None for x, k in zip(np.split(m.buckets, cuts), n, strict=True)] if len(b) else []
+            words = [x.astype(np.int32) if k <= most_lines else None for x, k in zip(np.split(m.line_words, cuts), n, strict=True)] if len(b) else []
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "quality", "buckets", "words"])
 
-    got = sorted(((r.doc_id, r.quality, r.buckets) for r in rows.mapInArrow(lean(run), schema).collect() if r.buckets), key=lambda r: (r[0], r[2]))
+    got = sorted(((r.doc_id, r.quality, r.buckets, r.words) for r in rows.mapInArrow(lean(run), schema).collect() if r.buckets), key=lambda r: (r[0], r[2]))
     if not got:
         return Model.plain()
     sizes = [len(r[2]) // N_FEATURES for r in got]
     doc = np.repeat(np.arange(len(got)), sizes)
     buckets = np.concatenate([np.array(r[2]).reshape(-1, N_FEATURES) for r in got])
-    return train(doc, buckets, np.repeat([r[1] == 0 for r in got], sizes))
+    return train(doc, np.concatenate([r[3] for r in got]), buckets, np.repeat([r[1] == 0 for r in got], sizes))
 
 
 def assess(docs: DataFrame, model: Model, min_share: float = 0.5, prefix: str = "") -> DataFrame:
     """Judge whole texts. Returns the columns of docs and n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), content_share (double:
-    words in content lines among all; null without words), each name after `prefix`;
-    a column of docs that has such a name gives way.
+    words in content lines among all; null without words), n_boilerplate_lines (long),
+    model_fitted (boolean: false if there were no labels to learn from), each name after
+    `prefix`; a column of docs that has such a name gets underscores before its own.
 
     Null and empty texts have no words and fail. Rows that repeat are judged each; an
     empty table gives an empty one.
     """
     add = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    add += [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType())]
+    add += [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("n_boilerplate_lines", T.LongType()), T.StructField("model_fitted", T.BooleanType())]
     for field in add:
         field.name = prefix + field.name
-    docs = docs.drop(*(f.name for f in add)).withColumn("text", F.col("text").cast("string"))
+    names = {f.name.lower() for f in add}
+    clashing = [c for c in docs.columns if c.lower() in names]
+    docs = docs.withColumnsRenamed(dict(zip(clashing, free([*docs.columns, *names], *clashing), strict=True))).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, *add])
     text = docs.columns.index("text")
 
@@ -270,9 +313,9 @@ def assess(docs: DataFrame, model: Model, min_share: float = 0.5, prefix: str =
                 content = np.bincount(m.line_doc, m.line_words * ~junk, j - i) if len(junk) else np.zeros(j - i)
                 share = np.divide(content, m.n_words, out=np.full(j - i, np.nan), where=m.n_words > 0)
                 failed = (m.n_words < 20) | (100 * m.n_repeat_words > 30 * m.n_words)
-                parts.append([m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, ~failed & (share >= min_share), share])
+                parts.append([m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, ~failed & (share >= min_share), share, np.bincount(m.line_doc[junk], minlength=j - i) if len(junk) else np.zeros(j - i), np.full(j - i, model.fitted)])
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(add)
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c.astype(t.to_pandas_dtype()), t, from_pandas=True) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)

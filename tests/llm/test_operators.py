@@ -254,7 +254,24 @@ def test_training_tells_junk_apart(spark):
     model = crf_quality.fit(df, labels)
     held_out = [r for r in crf_quality.assess(df, model).collect() if r.doc_id >= 120]
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in held_out) >= 0.95 * len(held_out)
-    assert crf_quality.fit(df, labels.where("false")).bias == crf_quality.Model.plain().bias
+    plain = crf_quality.fit(df, labels.where("false"))
+    assert plain.bias == crf_quality.Model.plain().bias and not plain.fitted and model.fitted
+    # a clean body with a footer of junk has both labels, whatever the order, and stays
+    lines = lambda make, n: [x for x in "\n".join(make() for _ in range(9)).split("\n") if len(x.split()) > 3][:n]
+    mixed = [(i, "\n".join([*lines(clean, 9), *lines(junk, 3)] if i % 2 else [*lines(junk, 3), *lines(clean, 9)])) for i in range(60)]
+    for r in crf_quality.assess(docs(spark, mixed), model).collect():
+        assert r.kept and r.n_boilerplate_lines == 3 and 0.5 < r.content_share < 1
+
+
+def test_line_labels_keep_half_of_a_text():
+    rng = np.random.default_rng(1)
+    doc = np.repeat(np.arange(40), rng.integers(1, 9, 40))
+    bad, words = (np.arange(40) % 3 == 0)[doc], rng.integers(1, 30, len(doc))
+    y = crf_quality.line_labels(doc, words, rng.integers(0, 5, (len(doc), crf_quality.N_FEATURES)), bad)
+    for d in range(40):
+        at = doc == d
+        share = words[at & (y == bad)].sum() / words[at].sum()
+        assert share >= 0.5 or (at.sum() > 1 and share + words[at].max() / words[at].sum() > 0.5)
 
 
 # 5 language model
