@@ -79,7 +79,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant_s
     template = F.xxhash64("leaf", "n", "shape", "constants").alias("template")
     named = kept.join(templates.select("kind", template), "kind").select("__row", "doc", "at", "template")
     seen = named.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("doc").alias("docs"), F.min("doc").alias("first")).where(f"docs >= {min_docs}")
-    gone = named.join(seen.select("template", "first"), "template").where(~F.col("doc").eqNullSafe(F.col("first")))
+    first = written(seen.select("template", "first"), "template-firsts")  # so that the join's hot templates can be split
+    gone = named.join(first, "template").where(~F.col("doc").eqNullSafe(F.col("first")))
     return gone.groupBy("__row", "doc").agg(F.collect_set("at").alias("__drop"))
 
 
