@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .config import CORRECTION_REGEX
+from .config import CORRECTION_REGEX, ClusterConfig
 
 G = "/g/CLAUDE.md"
 
@@ -20,7 +20,8 @@ ie AS (SELECT md5(tu.session_id || ':' || tu.turn || ':inefficiency') AS inciden
   CASE WHEN total_lines >= 2000 THEN 'high' WHEN total_lines >= 1500 THEN 'medium' ELSE 'low' END AS confidence, tu.turn FROM tu JOIN tr USING (session_id, tuid) WHERE tool = 'Read' AND rd_offset IS NULL AND total_lines >= 1000),
 re AS (SELECT DISTINCT md5(b.session_id || ':' || b.turn || ':retry') AS incident_id, b.session_id, b.ts, 'retry' AS signal_type, 'low' AS confidence, b.turn
   FROM tu a JOIN tr ra ON ra.session_id = a.session_id AND ra.tuid = a.tuid AND ra.is_error JOIN tu b ON b.session_id = a.session_id AND b.tool = a.tool AND b.input_str = a.input_str AND b.turn > a.turn AND b.turn - a.turn <= 5),
-allof AS (SELECT * FROM te UNION ALL SELECT * FROM ie UNION ALL SELECT * FROM re),
+uc AS (SELECT md5(session_id || ':' || turn || ':user_correction') AS incident_id, session_id, ts, 'user_correction' AS signal_type, 'medium' AS confidence, turn FROM ev WHERE k % 11 = 5 AND turn > 1),
+allof AS (SELECT * FROM te UNION ALL SELECT * FROM ie UNION ALL SELECT * FROM re UNION ALL SELECT * FROM uc),
 inc AS (SELECT incident_id, session_id, project, ts, signal_type, implicated_artifact, candidates, confidence, turn FROM allof JOIN am USING (session_id)),
 win AS (SELECT i.incident_id, string_agg(rt.turn || ':' || rt.type || ':' || rt.excerpt, '|' ORDER BY rt.turn) AS "window", string_agg(CASE WHEN rt.turn > least(i.turn + 4, mx.m) - 4 THEN rt.turn || ':' || rt.type || ':' || rt.excerpt END, '|' ORDER BY rt.turn) AS tail
   FROM inc i JOIN rt ON rt.session_id = i.session_id AND rt.turn BETWEEN i.turn - 3 AND i.turn + 4 JOIN (SELECT session_id, max(turn) AS m FROM ev GROUP BY session_id) mx ON mx.session_id = i.session_id GROUP BY i.incident_id),
@@ -33,7 +34,25 @@ cl AS (SELECT signal_type || '::' || artifact AS cluster_id, signal_type, artifa
   FROM sa WHERE pick <= 20 GROUP BY signal_type, artifact, distinct_sessions, total_incidents)
 """
 
-_CONTENT = "ct AS (SELECT '/home/p' || doc_id || '/CLAUDE.md' AS artifact, text FROM documents WHERE doc_id < 40 AND doc_id % 3 <> 0)"
+_BYTES = ClusterConfig().max_content_bytes
+_CONTENT = f"""ct0 AS (SELECT '/home/p' || (doc_id * 2) || '/CLAUDE.md' AS artifact, text FROM documents),
+ct AS (SELECT *, (SELECT max(i) FROM range(1, {_BYTES + 1}) r(i) WHERE octet_length(encode(substr(text, 1, i))) <= {_BYTES}) AS fit FROM ct0 WHERE artifact IN (SELECT artifact FROM cl)),
+cut AS (SELECT artifact, CASE WHEN octet_length(encode(text)) <= {_BYTES} THEN text ELSE substr(text, 1, fit) || CASE WHEN octet_length(encode(substr(text, 1, fit))) < {_BYTES} THEN chr(65533) ELSE '' END || '{ClusterConfig().truncation_mark}' END AS content FROM ct)"""
+
+_LINES = """
+c AS (SELECT *, CAST(conv_id AS VARCHAR) AS session_id, 'c' || conv_id || '-' || turn AS uuid, lpad(CAST(turn AS VARCHAR), 6, '0') AS ts, (conv_id * 7 + turn) % 40 * 100 AS total_lines, '"/f/' || ((conv_id + turn) % 5) || '"' AS file FROM conversations),
+n AS (SELECT * EXCLUDE (turn), turn AS said_at, row_number() OVER (PARTITION BY session_id ORDER BY ts, uuid) AS turn, CASE WHEN conv_id % 7 <> 0 AND turn > 0 THEN '/home/p' || (conv_id % 12) END AS cwd, CASE WHEN role <> 'assistant' AND turn = 0 THEN 'string' ELSE 'array' END AS content_kind,
+  '{"file_path":' || file || CASE WHEN turn % 4 = 3 THEN ',"offset":1' ELSE '' END || '}' AS input_str, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'Bash' ELSE 'Read' END AS tool FROM c),
+tu AS (SELECT session_id, turn, ts, uuid AS tuid, tool, trim(file, '"') AS file_path, CASE WHEN said_at % 4 = 3 THEN '1' END AS rd_offset, CAST(NULL AS VARCHAR) AS rd_limit, input_str FROM n WHERE role = 'assistant'),
+tr AS (SELECT session_id, turn, ts, 'c' || conv_id || '-' || (said_at - 1) AS tuid, CASE WHEN conv_id % 5 <> 0 THEN (conv_id + said_at) % 4 = 0 END AS is_error, total_lines FROM n WHERE role = 'user' AND said_at > 0),
+ut AS (SELECT session_id, turn, ts, content_kind, CASE WHEN content_kind = 'string' THEN text ELSE replace(text, chr(10), ' ') END AS text FROM n WHERE role = 'user'),
+sm AS (SELECT session_id, arg_min(cwd, turn) FILTER (WHERE cwd IS NOT NULL) AS cwd, bool_or(conv_id % 9 = 4) AS is_subagent FROM n GROUP BY session_id),
+am AS (SELECT *, COALESCE(cwd || '/CLAUDE.md', '/g/CLAUDE.md') AS implicated_artifact FROM sm),
+ev AS (SELECT r.session_id, r.ts, 'tool_error' AS signal_type, 'medium' AS confidence, r.turn FROM tr r JOIN tu USING (session_id, tuid) WHERE is_error
+  UNION SELECT u.session_id, u.ts, 'inefficiency', CASE WHEN total_lines >= 2000 THEN 'high' WHEN total_lines >= 1500 THEN 'medium' ELSE 'low' END, u.turn FROM tu u JOIN tr USING (session_id, tuid) WHERE tool = 'Read' AND rd_offset IS NULL AND total_lines >= 1000
+  UNION SELECT b.session_id, b.ts, 'retry', 'low', b.turn FROM tu a JOIN tr ra ON ra.session_id = a.session_id AND ra.tuid = a.tuid AND ra.is_error JOIN tu b ON b.session_id = a.session_id AND b.tool = a.tool AND b.input_str = a.input_str AND b.turn > a.turn AND b.turn - a.turn <= 5
+  UNION SELECT u.session_id, u.ts, 'user_correction', 'medium', u.turn FROM ut u WHERE (regexp_matches(lower(u.text), '{words}') OR lower(u.text) LIKE '%request interrupted%') AND EXISTS (SELECT 1 FROM tu a WHERE a.session_id = u.session_id AND a.turn < u.turn AND u.turn - a.turn <= 2))
+""".replace("{words}", CORRECTION_REGEX.replace("'", "''"))
 
 _LEDGER = """
 le AS (SELECT '/l/' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '.md' AS path, 'fix-' || (s_suppkey % 97) AS id,
@@ -76,10 +95,16 @@ def _ev(body: str, *more: str) -> str:
 ORACLES: dict[str, str] = {
     "turn_numbering": _ev("SELECT session_id, event_id, turn, k FROM ev"),
     "since_filter": _ev(f"SELECT {_FLAT} FROM inc WHERE signal_type = 'tool_error' AND ts >= '2024-01-15'"),
-    "excerpt_projection": "SELECT conv_id, turn, substr(text, 1, 300) AS excerpt FROM conversations",
-    "content_union": "SELECT conv_id, turn, 'user' AS kind, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 'assistant', text FROM conversations WHERE role = 'assistant'",
-    "block_explode": "SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos, unnest(string_split(text, chr(10))) AS block FROM conversations",
-    "string_agg_per_turn": "SELECT conv_id, turn, string_agg(block, ' ' ORDER BY pos) AS text FROM (SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos, unnest(string_split(text, chr(10))) AS block FROM conversations) GROUP BY conv_id, turn",
+    "transcript_records": f"WITH {_LINES} SELECT session_id, turn, uuid, ts, role AS type, cwd, conv_id % 9 = 4 AS is_sidechain, content_kind, total_lines FROM n",
+    "excerpt_projection": f"""WITH {_LINES} SELECT session_id, turn, role AS type, substr('{{"role":"' || role || '","content":' || CASE WHEN role = 'assistant' THEN '[{{"type":"text","text":' || to_json(text) || '}},{{"type":"tool_use","id":"' || uuid || '","name":"' || tool || '","input":' || input_str || '}}]'
+  WHEN said_at = 0 THEN CAST(to_json(text) AS VARCHAR) ELSE '[{{"type":"tool_result","tool_use_id":"c' || conv_id || '-' || (said_at - 1) || '"' || CASE WHEN conv_id % 5 <> 0 THEN ',"is_error":' || CASE WHEN (conv_id + said_at) % 4 = 0 THEN 'true' ELSE 'false' END ELSE '' END || '}}' || list_aggregate(list_transform(string_split(text, chr(10)), lambda x: ',{{"type":"text","text":' || to_json(x) || '}}'), 'string_agg', '') || ']' END || '}}', 1, 300) AS excerpt FROM n""",
+    "content_union": f"WITH {_LINES} SELECT session_id, turn, text FROM ut",
+    "block_explode": f"WITH {_LINES} SELECT session_id, turn, tuid, tool, file_path, rd_offset, rd_limit, input_str FROM tu",
+    "tool_result_blocks": f"WITH {_LINES} SELECT session_id, turn, tuid, is_error, total_lines FROM tr",
+    "string_agg_per_turn": f"WITH {_LINES} SELECT session_id, turn, text FROM ut WHERE content_kind = 'array'",
+    "transcript_sessions": f"WITH {_LINES} SELECT session_id, cwd, is_subagent, implicated_artifact FROM am",
+    "transcript_incidents": f"""WITH {_LINES} SELECT md5(e.session_id || ':' || e.turn || ':' || signal_type) AS incident_id, e.session_id, am.cwd AS project, e.ts, signal_type, implicated_artifact, '{G},' || implicated_artifact AS candidates, confidence, string_agg(n.turn || ':' || n.role, '|' ORDER BY n.turn) AS turns
+  FROM ev e JOIN am USING (session_id) JOIN n ON n.session_id = e.session_id AND n.turn BETWEEN e.turn - 3 AND e.turn + 4 GROUP BY ALL""",
     "session_meta": _ev("SELECT session_id, cwd, is_subagent FROM sm"),
     "artifact_candidates": _ev("SELECT session_id, implicated_artifact, candidates FROM am"),
     "tool_error": _ev('SELECT incident_id, session_id, project, ts, implicated_artifact, turn, "window" FROM inc JOIN win USING (incident_id) WHERE signal_type = \'tool_error\''),
@@ -101,8 +126,8 @@ FROM c u WHERE u.role = 'user' AND (regexp_matches(lower(u.text), '{_PLAIN_WORD}
     "nested_caps": _ev('SELECT signal_type || \'::\' || artifact AS cluster_id, pick - 1 AS pos, incident_id, tail AS "window" FROM sa JOIN win USING (incident_id) WHERE pick <= 5'),
     "cluster_index": _ev("SELECT cluster_id, signal_type, artifact, distinct_sessions, total_incidents, sampled_incidents FROM cl"),
     "byte_truncate": "SELECT o_orderkey, CASE WHEN length(o_orderstatus || '-' || o_orderpriority) <= 6 THEN o_orderstatus || '-' || o_orderpriority ELSE substr(o_orderstatus || '-' || o_orderpriority, 1, 6) || '[cut]' END AS cut FROM orders",
-    "artifact_exists": _ev("SELECT cluster_id, artifact, substr(text, 1, 80) AS head FROM cl JOIN ct USING (artifact)", _CONTENT),
-    "artifact_missing": _ev("SELECT cluster_id, artifact FROM cl WHERE artifact NOT IN (SELECT artifact FROM ct)", _CONTENT),
+    "artifact_exists": _ev("SELECT cluster_id, artifact, md5(content) AS digest, length(content) AS chars FROM cl JOIN cut USING (artifact)", _CONTENT),
+    "artifact_missing": _ev("SELECT cluster_id, artifact FROM cl WHERE artifact NOT IN (SELECT artifact FROM ct0)", _CONTENT),
     "ledger_parse": f"WITH {_LEDGER} SELECT path, id, artifact, signal_type, outcome_raw, CASE WHEN outcome_raw = '' THEN 'open' ELSE outcome_raw END AS outcome_or_open, pr_url FROM le",
     "declined_anti_join": _ev("SELECT cluster_id FROM cl WHERE NOT EXISTS (SELECT 1 FROM dk WHERE dk.artifact = cl.artifact AND dk.signal_type = cl.signal_type)", _LEDGER),
     "declined_skipped": _ev("SELECT cluster_id FROM cl WHERE EXISTS (SELECT 1 FROM dk WHERE dk.artifact = cl.artifact AND dk.signal_type = cl.signal_type)", _LEDGER),
@@ -121,7 +146,7 @@ SELECT proposal_id, CASE WHEN COALESCE(by_pr, by_entry) IS NULL THEN 'ready' ELS
     "pr_reconcile": f"""WITH {_LEDGER}, st AS (SELECT 'https://github.com/own' || (s_suppkey % 4) || '/rep' || (s_suppkey % 2) || '/pull/' || s_suppkey AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'merged' WHEN s_suppkey % 4 = 1 THEN 'closed' ELSE 'open' END AS outcome FROM supplier)
 SELECT path, outcome, outcome AS written FROM le JOIN st ON st.url = le.pr_url WHERE outcome <> 'open' AND outcome_raw <> '' AND outcome_raw <> outcome""",
     "entry_repos": f"WITH {_LEDGER} SELECT DISTINCT split_part(pr_url, '/', 4) || '/' || split_part(pr_url, '/', 5) AS repo FROM le WHERE pr_url <> ''",
-    "preflight_diff": "SELECT DISTINCT 'f' || (o_custkey % 500) AS file FROM orders WHERE o_custkey % 500 NOT IN (SELECT o_custkey % 500 FROM orders WHERE o_orderstatus = 'P')",
+    "preflight_diff": "SELECT DISTINCT 'f' || (o_custkey % 500) AS file FROM orders WHERE o_custkey % 500 NOT IN (SELECT o_custkey % 500 FROM orders WHERE o_custkey % 500 < 300)",
     "slug_hash": f"SELECT p_partkey, {_SLUG.format('n')} AS slug, md5(n) AS md5, substr(sha1(n), 1, 8) AS sha FROM (SELECT p_partkey, '-' || p_name || ' / ' || p_brand || '!' AS n FROM part)",
     "project_dirs": "SELECT page_id, translate(url, '/.', '--') AS dir, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS path FROM (SELECT page_id, url, regexp_replace(split_part(url, '#', 1), '/{2,}', '/', 'g') AS p FROM pages)",
     "artifact_counts": _ev("SELECT signal_type, implicated_artifact, count(*) AS incidents, count(DISTINCT session_id) AS sessions FROM inc GROUP BY ALL"),

@@ -1,9 +1,9 @@
 """Named queries: the engine's operators over the driver's tables.
 
-Events stand for calls (a session for each user, a turn for each event, an error where the
-type says so), conversations for transcripts, orders for proposals, suppliers for ledger
-entries and pull requests. Each query applies the operator itself; SQL_* in oracles says
-the same in SQL.
+Conversations are written as transcript lines and read by the normaliser; for clusters, events
+stand for calls and for what users say (a session for each user, a turn for each event, an
+error where the type says so). Orders stand for proposals, suppliers for ledger entries and
+pull requests. Each query applies the operator itself; oracles has the same in SQL.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .functions import text as X
 from .operators import cluster as C
 from .operators import detectors as D
 from .operators import ledger as L
+from .operators import normalize as N
 from .operators.normalize import Tables, artifacts, number_turns
 from .operators.windows import attach_window
 from .plans import proposals as P
@@ -60,11 +61,37 @@ def event_tables(spark: SparkSession, d: str) -> Tables:
     results = e.select("session_id", "turn", "ts", F.col("event_id").cast("string").alias("tuid"), (F.col("type") == "error").alias("is_error"), F.floor(F.col("value") * 10).cast("long").alias("total_lines"))
     turns = e.select("session_id", "turn", "type", F.substring(_s("k", k, " of ", F.col("session_id")), 1, 300).alias("excerpt"))
     meta = e.groupBy("session_id").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("turn"))).alias("cwd"), F.bool_or("is_sidechain").alias("is_subagent"))
-    return Tables(turns, uses, results, _no_text(e), artifacts(meta, MINE))
-
-
-def _no_text(e: DataFrame) -> DataFrame:
-    return e.where("false").select("session_id", "turn", "ts", F.col("type").alias("text"))
+    said = e.select("session_id", "turn", "ts", F.when(k % 11 == 5, _s("no, use ", k)).otherwise(_s("fine ", k)).alias("text"))
+    return Tables(turns, uses, results, said, artifacts(meta, MINE))
+
+
+def transcript(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as transcript lines (value, filename): an assistant's turn has its text and
+    a call, a user's later turn the call's result and the lines of the text as blocks."""
+    c, t = F.col("conv_id"), F.col("turn")
+    ident = lambda turn: _s("c", c, "-", turn)
+    block = lambda **f: F.to_json(F.struct(*(v.alias(k) for k, v in f.items())))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(xs, ","), F.lit("]"))
+    given = F.struct(_s("/f/", (c + t) % 5).alias("file_path"), F.when(t % 4 == 3, F.lit(1)).alias("offset"))
+    call = block(type=F.lit("tool_use"), id=ident(t), name=F.when((c + t) % 3 == 0, "Bash").otherwise("Read"), input=given)
+    result = block(type=F.lit("tool_result"), tool_use_id=ident(t - 1), is_error=F.when(c % 5 != 0, (c + t) % 4 == 0))
+    words = F.transform(F.split("text", "\n"), lambda x: block(type=F.lit("text"), text=x))
+    content = F.when(F.col("role") == "assistant", listed(F.concat(F.array(block(type=F.lit("text"), text=F.col("text"))), F.array(call)))).when(t > 0, listed(F.concat(F.array(result), words)))
+    plain = block(s=F.col("text"))  # the string in JSON is what stands behind the name
+    content = F.coalesce(content, F.expr("substring(j, 6, length(j) - 6)"))
+    message = F.concat(F.lit('{"role":"'), "role", F.lit('","content":'), content, F.lit("}"))
+    head = F.to_json(F.struct(
+        F.col("role").alias("type"), c.cast("string").alias("sessionId"), ident(t).alias("uuid"), F.lpad(t.cast("string"), 6, "0").alias("timestamp"), F.when((c % 7 != 0) & (t > 0), _s("/home/p", c % 12)).alias("cwd"),
+        (c % 9 == 4).alias("isSidechain"), F.struct(F.struct(((c * 7 + t) % 40 * 100).alias("totalLines")).alias("file")).alias("toolUseResult"),
+    ))
+    line = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"message":'), message, F.lit("}"))
+    rows = _table(spark, d, "conversations").withColumn("j", plain).withColumn("h", head).select(line.alias("value"))
+    broken = spark.range(3).select(F.element_at(F.array(F.lit("no json"), F.lit('{"type":"user"}'), F.lit("[1]")), (F.col("id") + 1).cast("int")).alias("value"))
+    return rows.unionByName(broken).withColumn("filename", F.lit("t.jsonl"))
+
+
+def read_records(spark: SparkSession, d: str) -> DataFrame:
+    return N.records(transcript(spark, d), MINE)
 
 
 def conversation_tables(spark: SparkSession, d: str) -> Tables:
@@ -99,23 +126,40 @@ def since_filter(spark, d):
     return _flat(D.detect(event_tables(spark, d), config)).where("signal_type = 'tool_error'")
 
 
+def transcript_records(spark, d):
+    return read_records(spark, d).select("session_id", "turn", "uuid", "ts", "type", "cwd", "is_sidechain", "content_kind", "total_lines")
+
+
 def excerpt_projection(spark, d):
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, MINE.excerpt_chars).alias("excerpt"))
+    return N.tables(read_records(spark, d), MINE).turns
 
 
 def content_union(spark, d):
-    c = _table(spark, d, "conversations")
-    part = lambda r: c.where(F.col("role") == r).select("conv_id", "turn", F.lit(r).alias("kind"), "text")
-    return part("user").unionByName(part("assistant"))
+    """Users' text, from strings and from blocks."""
+    return N.user_text(read_records(spark, d)).select("session_id", "turn", "text")
 
 
 def block_explode(spark, d):
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
+    return N.tool_uses(read_records(spark, d)).select("session_id", "turn", "tuid", "tool", "file_path", "rd_offset", "rd_limit", "input_str")
+
+
+def tool_result_blocks(spark, d):
+    return N.tool_results(read_records(spark, d)).select("session_id", "turn", "tuid", "is_error", "total_lines")
 
 
 def string_agg_per_turn(spark, d):
-    """The blocks of a turn joined in their order, without a shuffle."""
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.split("text", "\n"), " ").alias("text"))
+    """The text blocks of a turn joined in their order, without a shuffle."""
+    return N.user_text(read_records(spark, d).where("content_kind = 'array'")).select("session_id", "turn", "text")
+
+
+def transcript_sessions(spark, d):
+    return N.session_meta(read_records(spark, d), MINE).select("session_id", "cwd", "is_subagent", "implicated_artifact")
+
+
+def transcript_incidents(spark, d):
+    """From lines to incidents of all signals, with their windows' turns."""
+    found = D.detect(N.tables(read_records(spark, d), MINE), MINE)
+    return _flat(found, F.array_join(F.transform("window", lambda w: _s(w["turn"], ":", w["type"])), "|").alias("turns"))
 
 
 def session_meta(spark, d):
@@ -201,11 +245,13 @@ def byte_truncate(spark, d):
 
 
 def contents(spark, d) -> DataFrame:
-    return _table(spark, d, "documents").where("doc_id < 40 and doc_id % 3 <> 0").select(_s("/home/p", F.col("doc_id")).alias("home"), F.col("text").alias("content")).select(_s(F.col("home"), "/CLAUDE.md").alias("artifact"), "content")
+    """Every document as an artifact, of every second folder."""
+    return _table(spark, d, "documents").select(_s("/home/p", F.col("doc_id") * 2, "/CLAUDE.md").alias("artifact"), F.col("text").alias("content"))
 
 
 def artifact_exists(spark, d):
-    return C.with_content(C.clusters(incidents(spark, d), CLUSTER), contents(spark, d), CLUSTER)[0].select("cluster_id", "artifact", F.substring("artifact_content", 1, 80).alias("head"))
+    kept = C.with_content(C.clusters(incidents(spark, d), CLUSTER), contents(spark, d), CLUSTER)[0]
+    return kept.select("cluster_id", "artifact", F.md5("artifact_content").alias("digest"), F.length("artifact_content").cast("long").alias("chars"))
 
 
 def artifact_missing(spark, d):
@@ -315,7 +361,7 @@ def entry_repos(spark, d):
 def preflight_diff(spark, d):
     o = _table(spark, d, "orders")
     changed = o.select(_s("f", F.col("o_custkey") % 500).alias("file")).distinct()
-    allowed = o.where("o_orderstatus = 'P'").select(_s("f", F.col("o_custkey") % 500).alias("file")).distinct()
+    allowed = o.where("o_custkey % 500 < 300").select(_s("f", F.col("o_custkey") % 500).alias("file")).distinct()
     return unreported_files(changed, allowed)
 
 
@@ -345,7 +391,7 @@ def rate_trend(spark, d):
 
 @cache
 def registry() -> dict[str, Query]:
-    own = [turn_numbering, since_filter, excerpt_projection, content_union, block_explode, string_agg_per_turn, session_meta, artifact_candidates, user_correction, context_window, incidents_union, insert_ignore, signal_summary]
+    own = [turn_numbering, since_filter, transcript_records, excerpt_projection, content_union, block_explode, tool_result_blocks, string_agg_per_turn, transcript_sessions, transcript_incidents, session_meta, artifact_candidates, user_correction, context_window, incidents_union, insert_ignore, signal_summary]
     own += [cluster_gate, cluster_bundle, top_clusters, nested_caps, cluster_index, byte_truncate, artifact_exists, artifact_missing, ledger_parse, proposal_validate, proposal_dedup, plan_status, plan_groups, dedup_gate, pr_messages]
     own += [pr_reconcile, entry_repos, preflight_diff, slug_hash, fnv_hash, project_dirs, artifact_counts, rate_trend]
     named = {f.__name__: f for f in own}
