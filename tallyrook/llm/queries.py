@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import crf_quality, embedding_pairs, jaccard, line_templates, mixing_lm, packing, preference, tokenize, unit_dedup, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 BPE_FILE = "byte_bpe_50k.json"
 #: Words of repeating units side by side that op6 takes out; shorter repeats are lines that many documents share.
@@ -68,4 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
