@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyrook.llm import crf_quality, jaccard, line_templates, packing, unit_dedup
 from tallyrook.llm.common import table, written
+from tallyrook.llm.queries import MIN_PASSAGE
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -39,8 +40,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines and sentences that occur earlier."""
-    return _sized(unit_dedup.drop_repeats(docs))
+    """All documents, without lines, sentences and paragraphs that occur earlier, where those
+    side by side make up MIN_PASSAGE words or more."""
+    return _sized(unit_dedup.drop_repeats(docs, min_passage=MIN_PASSAGE))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
