@@ -32,6 +32,7 @@ from .components import components
 from .words import U, Words, chunks, mix, windows
 
 POSITIONS = 16  # of an index block
+SEVERAL = 0xFFFFFFFF  # the owner of a key that more than one set of its block has
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -69,16 +70,16 @@ def measured(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     its shingles also occur in a different set. `shared` may be too large by chance, never
     too small: within a bucket, 32 bits stand for a shingle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = "bucket int, block string, ids array<long>, sizes array<int>, d1 array<long>, d2 array<long>, found array<int>, keys binary, owners binary"
+    sent = "bucket int, block string, ids array<long>, sizes array<int>, d1 array<long>, d2 array<long>, found array<int>, keys binary, owners binary, counts binary, marks binary"
     names = [x.split()[0] for x in sent.split(", ")]
-    kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             buf, off = string_buffers(b.column(1))
-            for i, j in chunks(off, 3 << 20):
-                sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
+            for a, z in chunks(off, 3 << 20):
+                sets = shingle_sets(buf[off[a] : off[z]], off[a : z + 1] - off[a], k)
                 dig = digests(sets)
                 _, reps, own = np.unique(dig[:, 0] ^ mix(dig[:, 1]), return_index=True, return_inverse=True)
                 h = np.concatenate([sets[r] for r in reps])
@@ -89,15 +90,21 @@ def measured(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 size = np.diff(np.r_[start, len(h)])
                 several = np.repeat(size > 1, size)
                 found = np.bincount(owner[several], minlength=len(reps))  # shared inside the block
-                h, owner = h[start], np.where(size > 1, len(reps), owner[start]).astype(np.uint32)
+                h, owner = h[start], np.where(size > 1, SEVERAL, owner[start]).astype(np.uint32)
                 to = ((h >> U(32)) % U(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(buckets + 1))
-                keys, block = (h & U(0xFFFFFFFF)).astype(np.uint32), f"{part}-{seq}"
-                full = np.flatnonzero(np.diff(ends))
-                rep_dig = dig[reps, 0].view(np.int64)
-                got = [(int(x), block, None, None, rep_dig, None, None, keys[s := order[ends[x] : ends[x + 1]]].tobytes(), owner[s].tobytes()) for x in full]
-                got.append((seq % buckets, block, b.column(0)[i:j].to_pylist(), [len(s) for s in sets], dig[:, 0].view(np.int64), dig[:, 1].view(np.int64), np.r_[found[own], own].astype(np.int32), None, None))
+                order = np.lexsort((owner, to))
+                keys, owner, to, block = (h[order] & U(0xFFFFFFFF)).astype(np.uint32), owner[order], to[order], f"{part}-{seq}"
+                # a bucket gets its keys by their sets, and of these only the ones it has keys of
+                run = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (owner[1:] != owner[:-1])]) if len(to) else np.zeros(0, np.int64)
+                who, many = owner[run], np.diff(np.r_[run, len(to)]).astype(np.uint32)
+                mark = np.r_[dig[reps, 0], U(0)][np.minimum(who, len(reps))]
+                full, first = np.unique(to, return_index=True)
+                cuts, runs = np.r_[first, len(to)], np.searchsorted(run, np.r_[first, len(to)])
+                got = [
+                    (int(x), block, None, None, None, None, None, keys[cuts[i] : cuts[i + 1]].tobytes(), *(v[runs[i] : runs[i + 1]].tobytes() for v in (who, many, mark)))
+                    for i, x in enumerate(full)
+                ]
+                got.append((seq % buckets, block, b.column(0)[a:z].to_pylist(), [len(s) for s in sets], dig[:, 0].view(np.int64), dig[:, 1].view(np.int64), np.r_[found[own], own].astype(np.int32), None, None, None, None))
                 seq += 1
                 for x in range(0, len(got), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[x : x + 64], strict=True), kinds, strict=True)], names=names)
@@ -109,39 +116,37 @@ def measured(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         rows = group.filter(group["keys"].is_valid())
         out = [x for x in zip(*(info[c].to_pylist() for c in names), strict=True)]
         if rows.num_rows:
-            keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["keys"]]
-            owners = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["owners"]]
-            dig = [np.r_[x.values.to_numpy(zero_copy_only=False), 0] for x in rows["d1"]]
-            all_keys = np.concatenate(keys)
-            sets = np.concatenate([d[o] for d, o in zip(dig, owners, strict=True)])
-            multi = np.concatenate([o == len(d) - 1 for d, o in zip(dig, owners, strict=True)])
+            keys, owners, counts = ([np.frombuffer(x.as_buffer(), np.uint32) for x in rows[c]] for c in ("keys", "owners", "counts"))
+            marks = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in rows["marks"]])
+            all_keys, owner, many = np.concatenate(keys), np.concatenate(owners), np.concatenate(counts)
             order = np.argsort(all_keys, kind="stable")
-            k, s, m = all_keys[order], sets[order], multi[order]
+            k, s, m = all_keys[order], np.repeat(marks, many)[order], np.repeat(owner == SEVERAL, many)[order]
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             size = np.diff(np.r_[start, len(k)])
             shared = np.logical_or.reduceat(m | (s != np.repeat(s[start], size)), start)
             flag = np.zeros(len(k), bool)
             flag[order] = np.repeat(shared, size)
+            n = np.add.reduceat(flag, np.r_[0, np.cumsum(many[:-1], dtype=np.int64)], dtype=np.uint32)
+            n[owner == SEVERAL] = 0  # the block knows of these
             at = 0
-            for block, o, d in zip(rows["block"].to_pylist(), owners, dig, strict=True):
-                f = flag[at : at + len(o)]
+            for block, o in zip(rows["block"].to_pylist(), owners, strict=True):
+                some = np.flatnonzero(n[at : at + len(o)])
+                if len(some):
+                    out.append((None, block, None, None, None, None, None, None, o[some].tobytes(), n[at + some].tobytes(), None))
                 at += len(o)
-                n = np.bincount(o[f], minlength=len(d))[: len(d) - 1]
-                if n.any():
-                    out.append((None, block, None, None, None, None, n.astype(np.int32), None, None))
         cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def add(group: pa.Table) -> pa.Table:
         """A block: the counts of its buckets together."""
         info = group.filter(group["sizes"].is_valid())
-        total = None
-        for x in group.filter(group["sizes"].is_null())["found"]:
-            n = x.values.to_numpy(zero_copy_only=False)
-            total = n.astype(np.int64) if total is None else total + n
         n = len(info["sizes"][0])
         first = info["found"][0].values.to_numpy(zero_copy_only=False)
-        shared = first[:n].astype(np.int64) + (total[first[n:]] if total is not None else 0)
+        own, total = first[n:], np.zeros(n, np.int64)
+        rows = group.filter(group["sizes"].is_null())
+        for o, c in zip(rows["owners"], rows["counts"], strict=True):
+            total[np.frombuffer(o.as_buffer(), np.uint32)] += np.frombuffer(c.as_buffer(), np.uint32)
+        shared = first[:n].astype(np.int64) + total[own]
         cols = [info["ids"][0].values, info["sizes"][0].values.cast(pa.int64()), info["d1"][0].values, info["d2"][0].values, pa.array(shared)]
         return pa.table(cols, names=["doc_id", "n", "d1", "d2", "shared"])
 
@@ -186,11 +191,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, buckets: int | None = N
     connected already, so that groups cost little where only components are asked for.
     Null texts and texts without words have no shingles and
     link with nothing, and so do rows with a null doc_id. Rows that share a doc_id count
-    as one node, with the largest overlap of their texts. `buckets` defaults to the session's number of shuffle partitions.
+    as one node, with the largest overlap of their texts. `buckets`, of which a task holds one
+    at a time, default to eight for each of the session's shuffle partitions.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(measured(docs, k, buckets), "shingle-sets")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("shared").alias("shared"))
     members = written(classes.where(f"copies > 1 or 100 * shared >= {percent} * n"), "shingle-classes")

@@ -698,6 +698,22 @@ def test_jaccard_groups_and_edge_cases(spark):
     assert jaccard.near_groups(docs(spark, rows).where("false")).count() == 0
 
 
+def test_jaccard_measures_alike_in_any_number_of_buckets(spark):
+    """Repeated, null and empty texts, and shingles of one, two and all sets of a block."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join([passage, *(f"w{i // 2}x{k}" for k in range(i % 7))])) for i in range(40)] + [(i, f"only {i} has these six words") for i in range(40, 60)] + [(0, passage), (60, None), (61, ""), (None, passage)]
+    sets = [sets_of(t) for _, t in rows]
+    owners = collections.defaultdict(set)
+    for s in sets:
+        for x in s:
+            owners[x].add(frozenset(s))
+    want = collections.Counter((d, len(s), sum(len(owners[x]) > 1 for x in s)) for (d, _), s in zip(rows, sets, strict=True))
+    for parts in (1, 5):
+        for buckets in (1, 300):
+            got = jaccard.measured(docs(spark, rows).repartition(parts), 5, buckets).select("doc_id", "n", "shared").collect()
+            assert collections.Counter(map(tuple, got)) == want
+
+
 def test_jaccard_chains_and_lists_of_several_parts(spark):
     """Sets that drift: neighbours link, ends do not; and texts that share most of a long
     passage without being similar."""
