@@ -36,8 +36,10 @@ def summary(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("signal_type").count().withColumnRenamed("count", "n").orderBy("signal_type")
 
 
-def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_dir: str = "", config: ClusterConfig | None = None) -> dict[str, int]:
-    """Write the clusters' files and index; returns how many were written and left out."""
+def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_dir: str = "", config: ClusterConfig | None = None, repo: str = "") -> dict[str, int]:
+    """Write the clusters' files and index; returns how many were written and left out, and
+    where `top` cut, the weakest cluster that stayed. With `repo`, the index has only the
+    clusters of artifacts below that folder."""
     config = config or ClusterConfig()
     found = C.clusters(sinks.read_incidents(spark, incidents_path), config).persist()
     try:
@@ -47,7 +49,8 @@ def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_di
         if ledger_dir:
             kept, skipped = split_declined(kept, documents.read_ledger(spark, ledger_dir))
         best, cut = C.top(C.capped(kept, config), config.top)
-        return {"written": sinks.write_clusters(best, index_path), "missing": missing.count(), "declined": skipped.count() if skipped is not None else 0, "cut": cut}
+        weakest = C.cutoff(best) if cut else {}
+        return weakest | {"written": sinks.write_clusters(C.below(best, repo) if repo else best, index_path), "missing": missing.count(), "declined": skipped.count() if skipped is not None else 0, "cut": cut}
     finally:
         found.unpersist()
 
@@ -68,7 +71,7 @@ def prepare(proposals: DataFrame, facts: DataFrame, out: str, config: PlanConfig
 
 def suggest(plan: DataFrame, proposals: DataFrame, out: str) -> None:
     with open(out, "w", encoding="utf-8") as f:
-        f.write(suggestions(plan, proposals))
+        f.writelines(suggestions(plan, proposals))
 
 
 def reconcile_ledger(spark: SparkSession, ledger_dir: str, states: DataFrame) -> int:

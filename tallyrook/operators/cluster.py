@@ -68,5 +68,16 @@ def top(found: DataFrame, n: int) -> tuple[DataFrame, int]:
     return found.orderBy(F.desc("distinct_sessions"), F.desc("total_incidents"), "cluster_id").limit(n), many - n
 
 
+def cutoff(best: DataFrame) -> dict[str, int]:
+    """Sessions and incidents of the weakest of the clusters that top() kept."""
+    last = best.select("distinct_sessions", "total_incidents", "cluster_id").orderBy("distinct_sessions", "total_incidents", F.desc("cluster_id")).first()
+    return {"cutoff_sessions": last["distinct_sessions"], "cutoff_incidents": last["total_incidents"]} if last else {}
+
+
+def below(found: DataFrame, folder: str) -> DataFrame:
+    """The clusters whose artifact lies below a folder."""
+    return found.where(F.col("artifact").startswith(folder.rstrip("/") + "/"))
+
+
 def index(found: DataFrame) -> DataFrame:
     return found.select("cluster_id", "signal_type", "artifact", "artifact_exists", "distinct_sessions", "total_incidents", F.size("incidents").alias("sampled_incidents"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def attach_window(events: DataFrame, turns: DataFrame, before: int = 3, after: int = 4) -> DataFrame:
     """events (session_id, turn, ...) with `window`: the turns from `before` turns earlier to
-    `after` turns later, in order. Turns are dense in a session, so the band is a frame of
-    rows over the session's order, not a join on a range; events then join by equality."""
-    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-before, after)
-    framed = turns.select("session_id", "turn", F.collect_list(F.struct("turn", "type", "excerpt")).over(w).alias("window"))
-    return events.join(framed, ["session_id", "turn"], "left")
+    `after` turns later, in order. Events name the turns they need, so that the join is by
+    equality and only turns near an event are gathered; events are few against turns."""
+    at = events.select("session_id", F.col("turn").alias("at")).distinct()
+    wanted = at.withColumn("turn", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)))
+    near = wanted.join(turns.select("session_id", "turn", "type", "excerpt"), ["session_id", "turn"])
+    windows = near.groupBy("session_id", "at").agg(F.array_sort(F.collect_list(F.struct("turn", "type", "excerpt"))).alias("window"))
+    return events.join(windows.withColumnRenamed("at", "turn"), ["session_id", "turn"], "left")

@@ -146,6 +146,7 @@ SELECT proposal_id, CASE WHEN COALESCE(by_pr, by_entry) IS NULL THEN 'ready' ELS
     "pr_reconcile": f"""WITH {_LEDGER}, st AS (SELECT 'https://github.com/own' || (s_suppkey % 4) || '/rep' || (s_suppkey % 2) || '/pull/' || s_suppkey AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'merged' WHEN s_suppkey % 4 = 1 THEN 'closed' ELSE 'open' END AS outcome FROM supplier)
 SELECT path, outcome, outcome AS written FROM le JOIN st ON st.url = le.pr_url WHERE outcome <> 'open' AND outcome_raw <> '' AND outcome_raw <> outcome""",
     "entry_repos": f"WITH {_LEDGER} SELECT DISTINCT split_part(pr_url, '/', 4) || '/' || split_part(pr_url, '/', 5) AS repo FROM le WHERE pr_url <> ''",
+    "fnv_hash": """SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(octet_length(encode(p_name))), lambda i: ('0x' || substr(hex(p_name), 2 * i + 1, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)) AS fnv FROM part""",
     "preflight_diff": "SELECT DISTINCT 'f' || (o_custkey % 500) AS file FROM orders WHERE o_custkey % 500 NOT IN (SELECT o_custkey % 500 FROM orders WHERE o_custkey % 500 < 300)",
     "slug_hash": f"SELECT p_partkey, {_SLUG.format('n')} AS slug, md5(n) AS md5, substr(sha1(n), 1, 8) AS sha FROM (SELECT p_partkey, '-' || p_name || ' / ' || p_brand || '!' AS n FROM part)",
     "project_dirs": "SELECT page_id, translate(url, '/.', '--') AS dir, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS path FROM (SELECT page_id, url, regexp_replace(split_part(url, '#', 1), '/{2,}', '/', 'g') AS p FROM pages)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,30 @@ def title(summary: Column, diagnosis: Column, fix_type: Column) -> Column:
     return F.when(s.rlike(TYPED_SUBJECT), s).otherwise(F.concat(commit_type(fix_type), F.lit(": "), s))
 
 
+def _lines(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in parts))
+
+
 def messages(plan: DataFrame, proposals: DataFrame, results: DataFrame) -> DataFrame:
     """(group_id, branch_name, items, title, body, files_changed) of each ready group, from
-    what editors applied (id, applied, files_changed, summary)."""
-    item = plan.where("status = 'ready'").join(proposals.withColumnRenamed("id", "proposal_id").drop("reason"), "proposal_id").join(results.where("applied").withColumnRenamed("id", "proposal_id").drop("reason"), "proposal_id")
-    evidence = F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("- "), e, F.lit("\n"))), "")
-    block = F.concat(F.col("diagnosis"), F.lit("\n\nEvidence:\n"), evidence, F.lit("\n"), F.col("reason_log"), F.lit("\n\nProposal "), F.col("proposal_id"), F.lit(" ("), F.col("fix_type"), F.lit(")\n"))
+    what editors applied (id, applied, files_changed, summary). A group that no editor has
+    worked on is left out; one of which only a part has a proposal and an editor's result
+    is an error."""
+    known = proposals.withColumnRenamed("id", "proposal_id").drop("reason").withColumn("known", F.lit(True))
+    edited = results.withColumnRenamed("id", "proposal_id").drop("reason").withColumn("edited", F.lit(True))
+    item = plan.where("status = 'ready'").join(known, "proposal_id", "left").join(edited, "proposal_id", "left")
     said = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.col("summary")).otherwise(first_line("diagnosis"))
+    block = _lines("What is wrong: ", F.col("diagnosis"), "\n\nSeen in: ", F.array_join("evidence", "; "), "\n\nWhy this helps: ", F.col("reason_log"), "\n\n(", F.col("proposal_id"), ", ", F.col("fix_type"), ")\n")
     one = F.struct(F.col("proposal_id").alias("id"), block.alias("block"), said.alias("said"), title(F.col("summary"), F.col("diagnosis"), F.col("fix_type")).alias("title"))
-    g = item.groupBy("group_id", "branch_name", "file_path").agg(F.array_sort(F.collect_list(one)).alias("i"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files_changed")))).alias("files_changed"))
+    applied = lambda x: F.collect_list(F.when(F.col("applied"), x))
+    lost = F.array_sort(F.collect_list(F.when(F.col("known").isNull() | F.col("edited").isNull(), F.col("proposal_id"))))
+    g = item.groupBy("group_id", "branch_name", "file_path").agg(F.array_sort(applied(one)).alias("i"), F.array_sort(F.array_distinct(F.flatten(applied(F.col("files_changed"))))).alias("files_changed"), lost.alias("lost"), F.count("edited").alias("n"))
+    refused = F.raise_error(F.concat(F.lit("no proposal or no editor's result of "), F.array_join("lost", ", ")))
+    g = g.where("n > 0").withColumn("i", F.when(F.size("lost") == 0, F.col("i")).otherwise(refused)).where(F.size("i") > 0)
     name, many = F.substring_index("file_path", "/", -1), F.size("i")
-    listed = F.array_join(F.transform("i", lambda x: F.concat(F.lit("- "), x["id"], F.lit(": "), x["said"], F.lit("\n"))), "")
-    blocks = F.array_join(F.transform("i", lambda x: F.concat(F.lit("\n---\n\n## "), x["id"], F.lit("\n\n"), x["block"])), "")
+    blocks = F.array_join(F.transform("i", lambda x: _lines("\n", x["said"], "\n\n", x["block"])), "\n")
     group_title = F.concat(F.substring_index("branch_name", "/", 1), F.lit(": apply "), many.cast("string"), F.lit(" proposals to "), name)
-    group_body = F.concat(F.lit("Grouped "), many.cast("string"), F.lit(" proposals for "), name, F.lit(":\n\n"), listed, blocks)
+    group_body = _lines("Changes to ", name, " by ", F.array_join(F.transform("i", lambda x: x["id"]), ", "), ".\n", blocks)
     return g.select("group_id", "branch_name", many.alias("items"), F.when(many == 1, F.col("i")[0]["title"]).otherwise(group_title).alias("title"), F.when(many == 1, F.col("i")[0]["block"]).otherwise(group_body).alias("body"), "files_changed")
 
 
@@ -40,28 +52,24 @@ def unreported_files(changed: DataFrame, allowed: DataFrame) -> DataFrame:
     return left.join(allowed.limit(1).select(F.lit(1).alias("some")), how="left_semi")
 
 
-def suggestions(plan: DataFrame, proposals: DataFrame) -> str:
-    """A readable index of a plan (bounded by the number of proposals)."""
-    p = proposals.select(F.col("id").alias("proposal_id"), F.struct("fix_type", "confidence", "diagnosis", "proposed_change").alias("p")).dropDuplicates(["proposal_id"])
-    rows = [r.asDict(recursive=True) for r in plan.join(p, "proposal_id", "left").orderBy("proposal_id").toLocalIterator()]
-    groups: dict[str, list[dict]] = {}
-    for r in rows:
-        if r["status"] == "ready":
-            groups.setdefault(r["group_id"], []).append(r)
-    skipped = [r for r in rows if r["status"] != "ready"]
-    out = ["# Suggested changes", "", f"{len(groups)} PR(s) across grouped proposals; {len(skipped)} skipped."]
-    for members in groups.values():
-        h = members[0]
-        out += ["", f"## PR `{h['branch_name']}` — {len(members)} proposal(s)", "", f"**Artifact:** {h['file_path']}  ", f"**Owner:** {h['owner']} · **Base:** `{h['base']}` · **Repo:** `{h['repo_root']}`"]
-        for r in members:
-            out += ["", f"### {r['proposal_id']}", ""]
-            if (d := r["p"]) is None:
-                out.append("_(no matching proposal)_")
-            else:
-                out += [f"**Fix type:** {d['fix_type']} · **Confidence:** {d['confidence']}", "", f"**Diagnosis:** {d['diagnosis']}", "", "**Proposed change:**", "", "```", d["proposed_change"] or "", "```"]
-    if skipped:
-        out += ["", "## Skipped", ""]
-        for r in skipped:
-            why = f" (supersedes {r['supersedes']})" if r["supersedes"] else f" ({r['reason']})" if r["reason"] else ""
-            out.append(f"- `{r['proposal_id']}` — {r['status']}{why}")
-    return "\n".join(out) + "\n"
+def overview(plan: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(held, key, proposals, text): a paragraph for each branch that is ready, with its
+    proposals, and one for each other status with those it holds back and why."""
+    known = proposals.select(F.col("id").alias("proposal_id"), "fix_type", "confidence", "diagnosis", "proposed_change", F.lit(True).alias("known")).dropDuplicates(["proposal_id"])
+    change = F.regexp_replace(F.coalesce("proposed_change", F.lit("")), "(?m)^", "    ")
+    told = _lines("* ", F.col("proposal_id"), " (", F.col("fix_type"), ", confidence ", F.col("confidence"), "): ", F.col("diagnosis"), "\n\n", change, "\n")
+    told = F.when(F.col("known"), told).otherwise(_lines("* ", F.col("proposal_id"), ": not among the proposals\n"))
+    ready = plan.where("status = 'ready'").join(known, "proposal_id", "left").groupBy("branch_name", "repo_root", "file_path", "owner", "base").agg(F.array_sort(F.collect_list(F.struct("proposal_id", told.alias("told")))).alias("p"))
+    head = _lines(F.col("branch_name"), " -> ", F.col("base"), "\n", F.col("file_path"), " in ", F.col("repo_root"), ", owned by ", F.col("owner"), "\n\n")
+    branches = ready.select(F.lit(False).alias("held"), F.col("branch_name").alias("key"), F.size("p").alias("proposals"), F.concat(head, F.array_join(F.transform("p", lambda x: x["told"]), "\n")).alias("text"))
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    why = F.when(~none("supersedes"), _lines(" for ", F.col("supersedes"))).when(~none("reason"), _lines(", ", F.col("reason"))).otherwise("")
+    held = plan.where("status <> 'ready'").groupBy("status").agg(F.array_sort(F.collect_list(F.struct("proposal_id", why.alias("why")))).alias("p"))
+    listed = F.array_join(F.transform("p", lambda x: _lines("* ", x["proposal_id"], x["why"], "\n")), "")
+    return branches.unionByName(held.select(F.lit(True).alias("held"), F.col("status").alias("key"), F.size("p").alias("proposals"), _lines("Held back as ", F.col("status"), "\n\n", listed).alias("text")))
+
+
+def suggestions(plan: DataFrame, proposals: DataFrame) -> Iterator[str]:
+    """The overview as text, a paragraph at a time, what is ready first."""
+    for r in overview(plan, proposals).orderBy("held", "key").toLocalIterator():
+        yield f"{r['text']}\n"

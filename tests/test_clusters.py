@@ -164,8 +164,11 @@ def test_plan_statuses_groups_and_gate(spark):
     rows, gated = plan_of(spark, props, open_prs=prs, ledger=prior)
     got = {r.proposal_id: (r.status, r.supersedes) for r in gated.collect()}
     assert got["h"] == ("skip-duplicate", "open PR #3 (u3)") and got["a"] == ("skip-duplicate", 'reason-log entry "old" (PR u)') and got["b"] == ("ready", "")
-    text = R.suggestions(gated, rows)
-    assert "2 PR(s) across grouped proposals; 7 skipped." in text and "- `h` — skip-duplicate (supersedes open PR #3 (u3))" in text
+    told = R.overview(gated, rows).collect()
+    assert sorted((r.held, r.proposals) for r in told if not r.held) == [(False, 1), (False, 1)] and sum(r.proposals for r in told if r.held) == 7
+    text = "".join(R.suggestions(gated, rows))
+    assert "* h for open PR #3 (u3)\n" in text and max(text.index(r.key) for r in told if not r.held) < text.index("Held back as ")
+    assert "not among the proposals" in "".join(R.suggestions(gated, rows.where("id <> 'b'")))
 
 
 def test_messages_and_preflight(spark):
@@ -173,7 +176,13 @@ def test_messages_and_preflight(spark):
     done = spark.createDataFrame([("a", True, ["x"], "did a", ""), ("b", True, ["y", "x"], "", ""), ("h", True, ["z"], "feat(x): new", "")], "id string, applied boolean, files_changed array<string>, summary string, reason string")
     got = {r["items"]: r for r in R.messages(plan, rows, done).collect()}
     assert got[1].title == "feat(x): new" and got[2].title == "docs: apply 2 proposals to CLAUDE.md" and got[2].files_changed == ["x", "y"]
-    assert "- a: did a\n- b: d\n" in got[2].body
+    assert got[2].body.startswith("Changes to CLAUDE.md by a, b.\n") and "\ndid a\n\nWhat is wrong: d\n" in got[2].body
+    assert [r["items"] for r in R.messages(plan, rows, done.where("id = 'h'")).collect()] == [1]  # nobody has edited the other group
+    for lost in (R.messages(plan, rows, done.where("id <> 'b'")), R.messages(plan, rows.where("id <> 'b'"), done)):
+        with pytest.raises(Exception, match="no proposal or no editor's result of b"):
+            lost.collect()
+    left = done.withColumn("applied", F.col("id") != "b")
+    assert [r["items"] for r in R.messages(plan, rows, left).collect()] == [1, 1]
     titles = spark.createDataFrame([("chore: feat(x): y",), ("docs: z",)], "title string")
     assert R.doubled_titles(titles).count() == 1
     f = lambda *x: spark.createDataFrame([(y,) for y in x], "file string")
@@ -193,3 +202,37 @@ def test_text_functions(spark, expr, value, want):
 def test_ascii_boundaries_see_letters_beyond_ascii_as_edges(spark):
     row = spark.createDataFrame([("éno",), ("ano",)], "x string").select(F.col("x").rlike(X.ascii_boundaries(r"\bno\b")).alias("y"))
     assert [r.y for r in row.collect()] == [True, False]
+
+
+def test_cutoff_and_folder(spark):
+    rows = [incident(f"{a}{s}{i}", f"s{s}", (a,)) for a, n in (("/r/a", 3), ("/r/b", 2), ("/rx/c", 2)) for s in range(n) for i in range(2)] + [incident("x", "s0", ("/r/b",))]
+    found = C.clusters(table(spark, rows), ClusterConfig(min_sessions=2))
+    best, cut = C.top(found, 2)
+    assert cut == 1 and C.cutoff(best) == {"cutoff_sessions": 2, "cutoff_incidents": 5} and C.cutoff(found.where("false")) == {}
+    assert sorted(r.artifact for r in C.below(found, "/r/").collect()) == ["/r/a", "/r/b"] == sorted(r.artifact for r in C.below(found, "/r").collect())
+
+
+def test_command_line(spark, tmp_path):
+    """From proposal files to suggestions; the commands report what they did."""
+    from tallyrook.__main__ import parser, run
+
+    def call(*args):
+        return run(spark, parser().parse_args([str(a) for a in args]))
+
+    d = tmp_path / "proposals"
+    d.mkdir()
+    for i in ("a", "b"):
+        (d / f"{i}.json").write_text(json.dumps(proposal(i)))
+    assert call("assemble", "--proposals", d, "--out", tmp_path / "all.json", "--ledger", tmp_path / "log", "--date", "2026-01-01") == {"valid": 2, "invalid": 0, "new": 2}
+    (tmp_path / "facts.json").write_text(json.dumps([{"path": "/r/CLAUDE.md", "real_path": "/r/CLAUDE.md", "exists": True, "repo_root": "/r", "origin_url": "", "base": "main"}]))
+    assert call("prepare", "--proposals", tmp_path / "all.json", "--facts", tmp_path / "facts.json", "--out", tmp_path / "plan.json", "--ledger", tmp_path / "log", "--no-dedup") == {"ready": 2}
+    call("suggest", "--plan", tmp_path / "plan.json", "--proposals", tmp_path / "all.json", "--out", tmp_path / "s.md")
+    assert "* a (" in (tmp_path / "s.md").read_text()
+    (tmp_path / "states.json").write_text("[]")
+    assert call("reconcile", "--ledger", tmp_path / "log", "--states", tmp_path / "states.json") == {"changed": 0}
+    sinks.insert_or_ignore(table(spark, [incident(f"i{s}", f"s{s}", (str(d / "a.json"),)) for s in range(3)]), str(tmp_path / "inc"))
+    assert call("summary", "--incidents", tmp_path / "inc") == {"retry": 3}
+    told = call("cluster", "--incidents", tmp_path / "inc", "--out", tmp_path / "index.json", "--min-sessions", 3, "--repo", tmp_path)
+    assert told["written"] == 1 and told["cut"] == 0
+    with pytest.raises(SystemExit):
+        call("cluster")
