@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def attach_window(events: DataFrame, turns: DataFrame, before: int = 3, after: int = 4) -> DataFrame:
     """events (session_id, turn, ...) with `window`: the turns from `before` turns earlier to
-    `after` turns later, in order. Events name the turns they need, so that the join is by
-    equality and only turns near an event are gathered; events are few against turns."""
-    at = events.select("session_id", F.col("turn").alias("at")).distinct()
-    wanted = at.withColumn("turn", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)))
-    near = wanted.join(turns.select("session_id", "turn", "type", "excerpt"), ["session_id", "turn"])
-    windows = near.groupBy("session_id", "at").agg(F.array_sort(F.collect_list(F.struct("turn", "type", "excerpt"))).alias("window"))
-    return events.join(windows.withColumnRenamed("at", "turn"), ["session_id", "turn"], "left")
+    `after` turns later, in order, null where there are none. Each event goes to the turns
+    it needs, so that the join is by equality, only turns near an event are gathered, and
+    events are computed once. Equal events are one."""
+    near = F.sequence(F.col("turn") - before, F.col("turn") + after)
+    around = turns.select("session_id", F.col("turn").alias("__near"), F.struct("turn", "type", "excerpt").alias("__told"))
+    found = events.withColumn("__near", F.explode_outer(near)).join(around, ["session_id", "__near"], "left")
+    told = found.groupBy(*events.columns).agg(F.array_sort(F.array_distinct(F.collect_list("__told"))).alias("window"))
+    return told.withColumn("window", F.when(F.size("window") > 0, F.col("window")))
