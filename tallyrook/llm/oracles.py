@@ -50,4 +50,15 @@ reach AS (SELECT node AS a, node AS b FROM cls UNION SELECT r.a, l.b FROM reach
 comp AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, COALESCE(component, s.doc_id) AS component_id FROM s LEFT JOIN sets USING (doc_id) LEFT JOIN cls USING (key) LEFT JOIN comp ON comp.a = cls.node"""
 
-ORACLES: dict[str, str] = {"op1_warc": WARC, "op2_preference": PREFERENCE, "op8_embeddings": EMBEDDINGS, "op10_jaccard": JACCARD}
+_LEAK_WORDS = r"regexp_extract_all(translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION = f"""WITH d AS (SELECT doc_id, {_LEAK_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_LEAK_WORDS.format("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, item_id, i, n FROM grams JOIN win USING (n, k)),
+marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, CAST(COALESCE(len(l), 0) AS BIGINT) AS n_items, sha256(COALESCE(array_to_string(l, ','), '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_warc": WARC, "op2_preference": PREFERENCE, "op8_embeddings": EMBEDDINGS, "op10_jaccard": JACCARD, "op13_decontaminate": CONTAMINATION}

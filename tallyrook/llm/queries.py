@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf_quality, embedding_pairs, jaccard, line_templates, mixing_lm, packing, preference, tokenize, unit_dedup, warc
+from . import crf_quality, decontaminate, embedding_pairs, jaccard, line_templates, mixing_lm, packing, periodic, preference, tokenize, turn_repair, unit_dedup, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -57,6 +57,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents").select("doc_id", periodic.looped().alias("text")))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preference": op2_preference,
@@ -68,4 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_packing": op9_packing,
     "op10_jaccard": op10_jaccard,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontaminate": op13_decontaminate,
 }
