@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,16 +45,66 @@ def ascii_boundaries(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
 
 
+_WORD = "[0-9A-Za-z_]"
+
+
+def found_in(x: Column | str, pattern: str, *more: str) -> Column:
+    """Whether a text has a match of the pattern, as ascii_boundaries has it, or any of some plain
+    texts. A list of phrases is searched faster than as one pattern: those with \\b at both ends
+    together, from one boundary on, and others as plain text, or, with wildcards, only where their
+    longest plain part is. The text is computed once."""
+    inside = pattern[1:-1] if pattern.startswith("(") and pattern.endswith(")") else pattern
+    whole, parts, slow = [], list(more), []
+    for phrase in inside.split("|"):
+        core = re.fullmatch(rf"\\b({_WORD}(?:(?![?*+])[^\\()\[\]{{}}|]*{_WORD})?)\\b", phrase)
+        if core:
+            whole.append(core[1])
+        elif re.fullmatch(r"[^\\()\[\]{}|^$?*+][^\\()\[\]{}|^$]*", phrase):
+            parts.append(phrase)
+        else:
+            slow, whole, parts = [ascii_boundaries(pattern)], [], list(more)
+            break
+    if whole:
+        slow.append(rf"\W(?:{'|'.join(whole)})(?!\w)")  # in Java, \w is ASCII only
+
+    def search(t: Column) -> Column:
+        found = [t.contains(p) if p in more or p == _plain(p) else t.contains(_plain(p)) & t.rlike(p) for p in parts] + [t.rlike(p) for p in slow]
+        return reduce(lambda a, b: a | b, found)
+
+    return F.exists(F.array(F.concat(F.lit(" "), _c(x)) if whole else _c(x)), search)
+
+
+def _plain(pattern: str) -> str:
+    """The longest part of a pattern of characters and . ? * + that stands in all its matches."""
+    return max(re.split(r".[?*+]+|[.]", pattern, flags=re.S), key=len)
+
+
 def canonical_artifact(x: Column | str) -> Column:
     """Paths below <repo>/.worktrees/<name>/ are those of <repo>; the first such part only."""
     return F.regexp_replace(_c(x), r"(?s)^(.*?)/\.worktrees/[^/]+/(.*)$", "$1/$2")
 
 
+def clean_path(x: Column | str) -> Column:
+    """The shortest equal path by its text alone: no doubled or final slash, no `.`, and `..` taken
+    together with the part before it; at the root it goes away. An empty path is `.`."""
+    s = _c(x)
+    rooted = s.startswith("/")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        back = F.when((F.size(done) > 0) & (last != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    folded = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(F.split(s, "/"), none, step), "/"))
+    # most paths are clean already
+    odd = s.rlike(r"//|(?:^|/)\.\.?(?:/|$)|./$|^$")
+    return F.when(~odd, s).otherwise(F.when(folded == "", ".").otherwise(folded))
+
+
 def artifact_path(x: Column | str) -> Column:
-    """What stands before the first #, cleaned: no doubled or final slash, no /./."""
-    p = F.substring_index(_c(x), "#", 1)
-    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "/(\\./)+", "/"), "/{2,}", "/"), "(?<=.)/\\.?$", "")
-    return F.when(p == "", ".").otherwise(p)
+    """What stands before the first #, cleaned."""
+    return clean_path(F.substring_index(_c(x), "#", 1))
 
 
 def artifact_section(x: Column | str) -> Column:
@@ -118,4 +169,4 @@ def glob_parts(glob: str) -> tuple[str, str]:
     return "/".join(parts[:cut]) or "/", re.sub(r"^\*\*$", "*", parts[-1])
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "re", "Column", "F"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "re", "reduce", "Column", "F"}]

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import artifact_path, repo_of_url, with_outcome
+from .paths import with_real
 
 
-def declined_keys(entries: DataFrame) -> DataFrame:
+def declined_keys(entries: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(artifact, signal_type) of entries that were closed or rejected."""
-    return entries.where("outcome_or_open in ('closed', 'rejected')").select(artifact_path("artifact").alias("artifact"), "signal_type").distinct()
+    told = entries.where("outcome_or_open in ('closed', 'rejected')").select(artifact_path("artifact").alias("artifact"), "signal_type")
+    return with_real(told, "artifact", links, existing_only=True).distinct()
 
 
-def split_declined(clusters: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters to go on with, clusters that were declined before)."""
-    keys = declined_keys(entries).select(F.col("artifact").alias("__artifact"), F.col("signal_type").alias("__signal"))
-    same = (artifact_path(clusters["artifact"]) == F.col("__artifact")) & (clusters["signal_type"] == F.col("__signal"))
-    return clusters.join(keys, same, "left_anti"), clusters.join(keys, same, "left_semi")
+def split_declined(clusters: DataFrame, entries: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters to go on with, clusters that were declined before). With `links`, paths that
+    exist are compared by where they lead."""
+    keys = declined_keys(entries, links).select(F.col("artifact").alias("__artifact"), F.col("signal_type").alias("__signal"))
+    rows = with_real(clusters.withColumn("__is", artifact_path("artifact")), "__is", links, existing_only=True)
+    same = (F.col("__is") == F.col("__artifact")) & (F.col("signal_type") == F.col("__signal"))
+    return tuple(rows.join(keys, same, how).drop("__is") for how in ("left_anti", "left_semi"))
 
 
 def outcome_of_state(state: str = "state") -> Column:

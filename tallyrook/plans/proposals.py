@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import PlanConfig
 from ..functions.text import artifact_path, artifact_section, commit_type, slug
+from ..operators.paths import with_real
 
 # What a proposal may say.
 FIX_TYPES = ("add", "strengthen", "fix-stale", "remove", "escalate-out-of-instructions", "skip")
@@ -51,9 +52,10 @@ def owner(url: Column, config: PlanConfig) -> Column:
     return out
 
 
-def plan(proposals: DataFrame, facts: DataFrame, config: PlanConfig, open_prs: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+def plan(proposals: DataFrame, facts: DataFrame, config: PlanConfig, open_prs: DataFrame | None = None, ledger: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """schemas.PLAN of proposals. `facts` (schemas.TARGET_FACT) says what is known of the
-    artifacts' paths, and of the settings repository under its own path. Statuses are one
+    artifacts' paths, and of the settings repository under its own path; target_facts() makes
+    them. `links` (schemas.LINK) tells where the ledger's paths lead. Statuses are one
     CASE over joined facts; a group's branch prefix is a window over its ready members."""
     f = facts.select(F.col("path").alias("__path"), F.struct(*schemas.TARGET_FACT.names[1:]).alias("f"))
     rows = proposals.withColumn("__path", F.when(F.col("fix_type") == "escalate-out-of-instructions", F.lit(config.settings_repo)).otherwise(F.substring_index("implicated_artifact", "#", 1)))
@@ -74,7 +76,7 @@ def plan(proposals: DataFrame, facts: DataFrame, config: PlanConfig, open_prs: D
         of(owner(F.coalesce("f.origin_url", F.lit("")), config)).alias("owner"), of(F.coalesce("f.base", F.lit("main"))).alias("base"), "status", reason.alias("reason"),
     )
     rows = with_groups(rows, config)
-    return gate(rows, open_prs, ledger).select(*schemas.PLAN.names).orderBy("proposal_id")
+    return gate(rows, open_prs, ledger, links).select(*schemas.PLAN.names).orderBy("proposal_id")
 
 
 def with_groups(rows: DataFrame, config: PlanConfig) -> DataFrame:
@@ -87,7 +89,7 @@ def with_groups(rows: DataFrame, config: PlanConfig) -> DataFrame:
     return rows.withColumn("group_id", group).withColumn("branch_name", F.when(ready, F.concat(prefix, F.lit(f"/{config.branch_name}-"), F.col("group_id"))).otherwise(""))
 
 
-def gate(rows: DataFrame, open_prs: DataFrame | None, ledger: DataFrame | None) -> DataFrame:
+def gate(rows: DataFrame, open_prs: DataFrame | None, ledger: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
     """Ready rows that repeat pending work become skip-duplicate with `supersedes`: an open
     pull request of the branch, else an open ledger entry with a link for the same file and
     section but another proposal. The first of several counts: by number, by path."""
@@ -99,6 +101,7 @@ def gate(rows: DataFrame, open_prs: DataFrame | None, ledger: DataFrame | None)
     if ledger is not None:
         told = F.concat(F.lit('reason-log entry "'), F.col("id"), F.lit('" (PR '), F.col("pr_url"), F.lit(")"))
         prior = ledger.where("pr_url <> '' and outcome_raw = 'open'").select(artifact_path("artifact").alias("__p"), slug(artifact_section("artifact")).alias("__s"), F.col("id").alias("__id"), F.col("path").alias("__at"), told.alias("__told"))
+        prior = with_real(prior, "__p", links)
         same = (F.col("file_path") == F.col("__p")) & (slug("section") == F.col("__s")) & (F.col("proposal_id") != F.col("__id"))
         hits = rows.where("status = 'ready'").join(prior, same).groupBy("proposal_id").agg(F.min_by("__told", "__at").alias("__hit"))
         rows = rows.join(hits, "proposal_id", "left").withColumn("__by_entry", F.col("__hit")).drop("__hit")

@@ -172,24 +172,26 @@ def artifact_candidates(spark, d):
 
 def _detector(f) -> Query:
     def query(spark, d):
-        return _flat(f(event_tables(spark, d), MINE), "turn")
+        t = event_tables(spark, d)
+        return _flat(D.incidents_of(D.call_events(t, MINE, f(MINE)).distinct(), t), "turn")
 
     return query
 
 
 def user_correction(spark, d):
-    return _flat(D.user_correction(conversation_tables(spark, d), MINE), "turn", F.get_json_object("detail", "$.text").alias("text"))
+    t = conversation_tables(spark, d)
+    return _flat(D.incidents_of(D.user_correction(t, MINE), t), "turn", F.get_json_object("detail", "$.text").alias("text"))
 
 
 def context_window(spark, d):
     t = event_tables(spark, d)
-    return attach_window(D.tool_error(t, MINE), t.turns).select("incident_id", "turn", _window())
+    return D.incidents_of(attach_window(D.call_events(t, MINE, D.failures(MINE)), t.turns), t).select("incident_id", "turn", _window())
 
 
 def tool_error_incidents(spark, d):
     """The flagship: errors as incidents, each with its window."""
     t = event_tables(spark, d)
-    return attach_window(D.tool_error(t, MINE), t.turns).select("incident_id", "session_id", "project", "ts", "implicated_artifact", "turn", _window())
+    return D.incidents_of(attach_window(D.call_events(t, MINE, D.failures(MINE)), t.turns), t).select("incident_id", "session_id", "project", "ts", "implicated_artifact", "turn", _window())
 
 
 def incidents_union(spark, d):
@@ -395,6 +397,6 @@ def registry() -> dict[str, Query]:
     own += [cluster_gate, cluster_bundle, top_clusters, nested_caps, cluster_index, byte_truncate, artifact_exists, artifact_missing, ledger_parse, proposal_validate, proposal_dedup, plan_status, plan_groups, dedup_gate, pr_messages]
     own += [pr_reconcile, entry_repos, preflight_diff, slug_hash, fnv_hash, project_dirs, artifact_counts, rate_trend]
     named = {f.__name__: f for f in own}
-    named |= {"tool_error": tool_error_incidents, "tool_error_events": _detector(D.tool_error), "inefficiency_tiers": _detector(D.inefficiency), "retry_after_error": _detector(D.retry)}
+    named |= {"tool_error": tool_error_incidents, "tool_error_events": _detector(D.failures), "inefficiency_tiers": _detector(D.large_reads), "retry_after_error": _detector(D.retries)}
     named |= {"stratified_sample": _sampled(CLUSTER), "uncapped_sample": _sampled(ClusterConfig(min_sessions=3, max_incidents=0)), "declined_anti_join": _declined(0), "declined_skipped": _declined(1)}
     return reduce(lambda a, k: a | {k: named[k]}, sorted(named), {})

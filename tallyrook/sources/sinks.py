@@ -12,38 +12,38 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import fnv1a32, slug_or_hash
+from .table import PARTS, LogTable
+
+
+def incident_table(spark: SparkSession, path: str, parts: int = PARTS) -> LogTable:
+    return LogTable(spark, path, schemas.INCIDENT, "incident_id", parts)
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
     """The incident table; empty before the first insert."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schemas.INCIDENT)
-    return spark.read.schema(schemas.INCIDENT).parquet(path)
+    return incident_table(spark, path).read()
 
 
-def first_by_id(rows: DataFrame, key: str = "incident_id") -> DataFrame:
-    """One row an id: the first by detail, then session and time."""
-    order = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in ("detail", "session_id", "ts")))
+def first_by_id(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of keys (incident_id): the first by detail, then session and time.
+    With session_id among the keys, rows that lie by session stay where they are."""
+    order = Window.partitionBy(*(keys or ("incident_id",))).orderBy(*(F.col(c).asc_nulls_last() for c in ("detail", "session_id", "ts")))
     return rows.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
 
 
-def new_rows(rows: DataFrame, there: DataFrame, key: str = "incident_id") -> DataFrame:
-    """What insert-or-ignore would add: rows with an id that is not there, each id once."""
-    return first_by_id(rows, key).join(there.select(key), key, "left_anti").select(rows.columns)
+def new_rows(rows: DataFrame, there: DataFrame, unique: bool = False) -> DataFrame:
+    """What insert-or-ignore would add: rows with an incident_id that is not there, each id once.
+    unique: it is known that rows have each id once, as detectors' have. An id is of one session,
+    so that rows that lie by session are compared where they are."""
+    first = rows if unique else first_by_id(rows, "session_id", "incident_id")
+    return first.join(there.select("session_id", "incident_id"), ["session_id", "incident_id"], "left_anti").select(rows.columns)
 
 
-def insert_or_ignore(incidents: DataFrame, path: str) -> int:
-    """Append incidents whose id the table does not have; returns how many."""
-    spark = incidents.sparkSession
-    fresh = new_rows(incidents, read_incidents(spark, path)).persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.select(*schemas.INCIDENT.names).write.mode("append").partitionBy("signal_type").parquet(path)
-        return n
-    finally:
-        fresh.unpersist()
+def insert_or_ignore(incidents: DataFrame, path: str, sessions: DataFrame | None = None, placed: bool = False) -> int:
+    """Append incidents whose id the table does not have; returns how many. Only the parts of the
+    incidents' sessions are read, and of two runs at once no id comes in twice. placed: incidents
+    are detectors', unique and lying by session."""
+    return incident_table(incidents.sparkSession, path).add(incidents, lambda rows, there: new_rows(rows, there, placed), sessions, placed)
 
 
 def read_marker(path: str) -> str:
