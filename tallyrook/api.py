@@ -15,6 +15,7 @@ from .operators.normalize import tables
 from .plans import proposals as P
 from .plans.render import suggestions
 from .sources import documents, sinks
+from .sources.files import write_text
 from .sources.store import stored
 from .sources.transcripts import read_transcripts
 
@@ -23,10 +24,10 @@ def extract(spark: SparkSession, glob: str, out: str, config: MineConfig | None
     """Mine transcripts into the incident table at `out`; returns how many are new. Without
     `since` the marker beside the table counts; it is set to the start of this run at the end."""
     began, marker = datetime.datetime.now(datetime.UTC), f"{out.rstrip('/')}.last-run"
-    config = replace(config or MineConfig(), since=sinks.read_marker(marker) if since is None else since)
+    config = replace(config or MineConfig(), since=sinks.read_marker(spark, marker) if since is None else since)
     with stored(read_transcripts(spark, glob), config) as rec:
         n = sinks.insert_or_ignore(detect(tables(rec, config), config), out, rec.select("session_id").distinct(), placed=True)
-    sinks.write_marker(marker, began)
+    sinks.write_marker(spark, marker, began)
     return n
 
 
@@ -41,8 +42,7 @@ def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_di
     config = config or ClusterConfig()
     found = C.clusters(sinks.read_incidents(spark, incidents_path), config).persist()
     try:
-        names = [r.artifact for r in found.select("artifact").distinct().toLocalIterator()]
-        kept, missing = C.with_content(found, documents.read_artifacts(spark, names), config)
+        kept, missing = C.with_content(found, documents.read_artifacts(found.select("artifact"), config.max_content_bytes), config)
         skipped = None
         if ledger_dir:
             kept, skipped = split_declined(kept, documents.read_ledger(spark, ledger_dir))
@@ -68,8 +68,7 @@ def prepare(proposals: DataFrame, facts: DataFrame, out: str, config: PlanConfig
 
 
 def suggest(plan: DataFrame, proposals: DataFrame, out: str) -> None:
-    with open(out, "w", encoding="utf-8") as f:
-        f.writelines(suggestions(plan, proposals))
+    write_text(plan.sparkSession, out, "".join(suggestions(plan, proposals)))
 
 
 def reconcile_ledger(spark: SparkSession, ledger_dir: str, states: DataFrame) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ClusterConfig
 from ..functions.text import canonical_artifact, confidence_rank, truncate_bytes
+from .ranking import ranked
 
 
 def exploded(incidents: DataFrame) -> DataFrame:
@@ -23,21 +24,26 @@ def sample(rows: DataFrame, gated: DataFrame, cap: int) -> DataFrame:
     """The first `cap` incidents of each cluster (all, if cap is 0 or less) with `pick`, in
     turn over sessions: each session's best before any one's second. Each session is cut
     to `cap` before the cluster's order is made, so a cluster of a third of all rows needs
-    its own order only over what can be picked."""
+    its own order only over what can be picked. Without a cap, both orders are made by ranges,
+    so that no task orders a whole session or cluster."""
     strength = [confidence_rank("confidence").desc(), F.col("ts").asc_nulls_last(), F.col("incident_id")]
+    found = rows.join(gated, ["artifact", "signal_type"])
+    if cap <= 0:
+        inner = ranked(found, ["artifact", "signal_type", "session_id"], strength, "rn_in_session")
+        return ranked(inner, ["artifact", "signal_type"], [F.col("rn_in_session"), *strength], "pick")
     inner = Window.partitionBy("artifact", "signal_type", "session_id").orderBy(*strength)
-    ranked = rows.join(gated, ["artifact", "signal_type"]).withColumn("rn_in_session", F.row_number().over(inner))
-    if cap > 0:
-        ranked = ranked.where(F.col("rn_in_session") <= cap)
+    best = found.withColumn("rn_in_session", F.row_number().over(inner)).where(F.col("rn_in_session") <= cap)
     outer = Window.partitionBy("artifact", "signal_type").orderBy("rn_in_session", *strength)
-    picked = ranked.withColumn("pick", F.row_number().over(outer))
-    return picked.where(F.col("pick") <= cap) if cap > 0 else picked
+    return best.withColumn("pick", F.row_number().over(outer)).where(F.col("pick") <= cap)
 
 
 def clusters(incidents: DataFrame, config: ClusterConfig) -> DataFrame:
-    """(cluster_id, signal_type, artifact, distinct_sessions, total_incidents, incidents)."""
+    """(cluster_id, signal_type, artifact, distinct_sessions, total_incidents, incidents). Without
+    a cap on a cluster's sample its row has what its file may have, max_incidents_per_cluster;
+    all others can be had from sample(), a row each."""
     rows = exploded(incidents)
-    picked = sample(rows, gate(rows, config.min_sessions), config.max_incidents)
+    cap = config.max_incidents if config.max_incidents > 0 else config.max_incidents_per_cluster
+    picked = sample(rows, gate(rows, config.min_sessions), cap)
     fields = ["incident_id", "session_id", "ts", "confidence", "detail", "window"]
     grouped = picked.groupBy("artifact", "signal_type", "distinct_sessions", "total_incidents").agg(F.array_sort(F.collect_list(F.struct("pick", *fields))).alias("i"))
     listed = F.transform("i", lambda x: F.struct(*(x[f].alias(f) for f in fields)))

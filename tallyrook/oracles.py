@@ -54,12 +54,22 @@ ev AS (SELECT r.session_id, r.ts, 'tool_error' AS signal_type, 'medium' AS confi
   UNION SELECT u.session_id, u.ts, 'user_correction', 'medium', u.turn FROM ut u WHERE (regexp_matches(lower(u.text), '{words}') OR lower(u.text) LIKE '%request interrupted%') AND EXISTS (SELECT 1 FROM tu a WHERE a.session_id = u.session_id AND a.turn < u.turn AND u.turn - a.turn <= 2))
 """.replace("{words}", CORRECTION_REGEX.replace("'", "''"))
 
-_LEDGER = """
+
+def _clean(x: str) -> str:
+    """A path, cleaned: a fold over its parts."""
+    last = "d[1 : len(d) - 1]"
+    folded = f"list_reduce(list_transform(string_split({x}, '/'), lambda p: [p]), lambda d, p: CASE WHEN p[1] IN ('', '.') THEN d WHEN p[1] <> '..' THEN list_concat(d, p) WHEN len(d) > 0 AND d[len(d)] <> '..' THEN {last} WHEN starts_with({x}, '/') THEN d ELSE list_concat(d, p) END, CAST([] AS VARCHAR[]))"
+    return f"COALESCE(NULLIF(CASE WHEN starts_with({x}, '/') THEN '/' ELSE '' END || array_to_string({folded}, '/'), ''), '.')"
+
+
+_LEDGER = f"""
 le AS (SELECT '/l/' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '.md' AS path, 'fix-' || (s_suppkey % 97) AS id,
-  CASE WHEN s_suppkey % 2 = 0 THEN '/home/p' || (s_suppkey % 12) || '/CLAUDE.md' ELSE '/repo/r' || (s_suppkey % 7) || '/docs/f' || ((s_suppkey + 1) % 31) || '.md#Section ' || (s_suppkey % 4) END AS artifact,
+  CASE WHEN s_suppkey % 4 = 0 THEN '/home/./x/../p' || (s_suppkey % 12) || '//CLAUDE.md' WHEN s_suppkey % 2 = 0 THEN '/home/p' || (s_suppkey % 12) || '/CLAUDE.md'
+    ELSE '/repo/r' || (s_suppkey % 7) || CASE WHEN s_suppkey % 3 = 0 THEN '/src/..' ELSE '' END || '/docs/f' || ((s_suppkey + 1) % 31) || '.md#Section ' || (s_suppkey % 4) END AS artifact,
   list_value('tool_error', 'retry', 'inefficiency')[s_suppkey % 3 + 1] AS signal_type, list_value('open', 'closed', 'rejected', 'merged', '')[s_suppkey % 5 + 1] AS outcome_raw,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'https://github.com/own' || (s_suppkey % 4) || '/rep' || (s_suppkey % 2) || '/pull/' || s_suppkey END AS pr_url FROM supplier),
-dk AS (SELECT DISTINCT split_part(artifact, '#', 1) AS artifact, signal_type FROM le WHERE outcome_raw IN ('closed', 'rejected'))
+lc AS (SELECT *, {_clean("split_part(artifact, '#', 1)")} AS clean FROM le),
+dk AS (SELECT DISTINCT clean AS artifact, signal_type FROM lc WHERE outcome_raw IN ('closed', 'rejected'))
 """
 
 _PROPOSALS = """
@@ -92,7 +102,31 @@ def _ev(body: str, *more: str) -> str:
     return "WITH " + ",".join([_EV, *more]) + body
 
 
+_INCIDENTS = f"""WITH {_LINES} SELECT md5(e.session_id || ':' || e.turn || ':' || signal_type) AS incident_id, e.session_id, am.cwd AS project, e.ts, signal_type, implicated_artifact, '{G},' || implicated_artifact AS candidates, confidence, string_agg(n.turn || ':' || n.role, '|' ORDER BY n.turn) AS turns
+  FROM ev e JOIN am USING (session_id) JOIN n ON n.session_id = e.session_id AND n.turn BETWEEN e.turn - 3 AND e.turn + 4 GROUP BY ALL"""
+
+_TARGETS = f"""li AS (SELECT DISTINCT unnest(list_filter([{{'path': '/w/l' || (c_custkey % 5), 'real': CASE WHEN c_custkey % 5 < 4 THEN '/real/r' || (c_custkey % 5) END}}, {{'path': '/w', 'real': '/w'}},
+    CASE WHEN c_custkey % 5 < 4 THEN {{'path': '/w/l' || (c_custkey % 5) || '/d' || (c_custkey % 2), 'real': '/real/r' || (c_custkey % 5) || '/d' || (c_custkey % 2)}} END,
+    CASE WHEN c_custkey % 5 < 4 AND c_custkey % 2 = 0 AND c_custkey % 11 < 6 THEN {{'path': '/w/l' || (c_custkey % 5) || '/d0/n' || (c_custkey % 11) || '.md', 'real': '/real/r' || (c_custkey % 5) || '/d0/n' || (c_custkey % 11) || '.md'}} END], lambda x: x IS NOT NULL), recursive := true) FROM customer),
+tg AS (SELECT DISTINCT list_value('/w/', '/w/./', '/w/x/../', '/v/')[o_custkey % 4 + 1] || 'l' || (o_custkey % 5) || '/d' || (o_custkey % 3) || '/n' || (o_custkey % 11) || '.md' AS path FROM orders),
+tc AS (SELECT path, list_filter(string_split({_clean("path")}, '/'), lambda x: x <> '') AS p FROM tg),
+an AS (SELECT path, k, len(p) - k AS below, '/' || array_to_string(p[1 : k], '/') AS at, array_to_string(p[k + 1 :], '/') AS rest FROM tc, unnest(range(0, len(p) + 1)) AS r(k)),
+rs AS (SELECT an.path, arg_max({{'real': real, 'rest': rest, 'below': below}}, k) AS b FROM an JOIN li ON li.path = an.at WHERE below = 0 OR real IS NOT NULL GROUP BY an.path),
+re AS (SELECT path, CASE WHEN b.rest = '' THEN b.real ELSE b.real || '/' || b.rest END AS real_path, COALESCE(b.below = 0, false) AS there FROM tg LEFT JOIN rs USING (path))"""
+
 ORACLES: dict[str, str] = {
+    "extract_files": _INCIDENTS,
+    "incremental_incidents": _INCIDENTS,
+    "path_clean": f"""SELECT *, {_clean("path")} AS clean FROM (SELECT p_partkey, list_value('/' || a || '/' || b || '/../c.md', './' || a, a || '/..', '/..', '//' || a || '///' || b || '/', '/' || a || '/./' || b || '/../../..//c', '../' || a || '/../../' || b, a || '/' || b || '/../..', '', '/', a || '//' || b || '/./', '/' || a || '/../' || b || '/c/..')[p_partkey % 12 + 1] AS path
+  FROM (SELECT p_partkey, 'a' || (p_partkey % 7) AS a, 'b' || (p_partkey % 5) AS b FROM part))""",
+    "path_resolve": f"WITH {_TARGETS} SELECT path, real_path, there FROM re",
+    "path_facts": f"""WITH {_TARGETS}, rp AS (SELECT DISTINCT '/real/r' || (c_custkey % 4) AS root, CASE WHEN c_custkey % 4 = 3 THEN '/real/r0' ELSE '/real/r' || (c_custkey % 4) END AS main, 'git@h:o/r' || (c_custkey % 4) AS url, CASE WHEN c_custkey % 4 = 1 THEN 'trunk' ELSE 'main' END AS base FROM customer)
+SELECT path, real_path, there AND real_path IS NOT NULL AS exists, COALESCE(main, '') AS repo_root, url AS origin_url, base FROM re LEFT JOIN rp ON starts_with(re.real_path, rp.root || '/')""",
+    "windowed_rates": _ev("""SELECT implicated_artifact AS artifact, signal_type, w * 604800 AS start, count(*) AS incidents, round(count(*) / 7.0, 6) AS per_day FROM (SELECT *, CAST(floor(epoch(CAST(ts AS TIMESTAMP)) / 604800) AS BIGINT) AS w FROM inc) GROUP BY ALL"""),
+    "merge_trend": _ev("""SELECT m.artifact, m.signal_type, m.url, mt AS merged_at, count(*) FILTER (WHERE s < mt) AS before, count(*) FILTER (WHERE s >= mt) AS after, round(count(*) FILTER (WHERE s >= mt) / NULLIF(count(*) FILTER (WHERE s < mt), 0), 6) AS ratio
+  FROM (SELECT DISTINCT lc.clean AS artifact, lc.signal_type, lc.pr_url AS url, 1704067200 + s_suppkey % 29 * 86400 + s_suppkey % 24 * 3600 AS mt FROM lc JOIN supplier ON lc.pr_url = 'https://github.com/own' || (s_suppkey % 4) || '/rep' || (s_suppkey % 2) || '/pull/' || s_suppkey WHERE s_suppkey % 4 = 0) m
+  LEFT JOIN (SELECT implicated_artifact AS artifact, signal_type, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM inc) i ON i.artifact = m.artifact AND i.signal_type = m.signal_type AND s >= mt - 9 * 86400 AND s < mt + 9 * 86400 GROUP BY ALL""", _LEDGER),
+    "hooked": f"WITH {_PROPOSALS} SELECT id, CASE WHEN id LIKE '%7' THEN NULL ELSE CAST(length(diagnosis) AS BIGINT) END AS words, CASE WHEN id LIKE '%7' THEN 'ValueError: no answer' END AS error FROM pr WHERE id LIKE '%7' OR confidence <> 'low'",
     "turn_numbering": _ev("SELECT session_id, event_id, turn, k FROM ev"),
     "since_filter": _ev(f"SELECT {_FLAT} FROM inc WHERE signal_type = 'tool_error' AND ts >= '2024-01-15'"),
     "transcript_records": f"WITH {_LINES} SELECT session_id, turn, uuid, ts, role AS type, cwd, conv_id % 9 = 4 AS is_sidechain, content_kind, total_lines FROM n",
@@ -103,8 +137,7 @@ ORACLES: dict[str, str] = {
     "tool_result_blocks": f"WITH {_LINES} SELECT session_id, turn, tuid, is_error, total_lines FROM tr",
     "string_agg_per_turn": f"WITH {_LINES} SELECT session_id, turn, text FROM ut WHERE content_kind = 'array'",
     "transcript_sessions": f"WITH {_LINES} SELECT session_id, cwd, is_subagent, implicated_artifact FROM am",
-    "transcript_incidents": f"""WITH {_LINES} SELECT md5(e.session_id || ':' || e.turn || ':' || signal_type) AS incident_id, e.session_id, am.cwd AS project, e.ts, signal_type, implicated_artifact, '{G},' || implicated_artifact AS candidates, confidence, string_agg(n.turn || ':' || n.role, '|' ORDER BY n.turn) AS turns
-  FROM ev e JOIN am USING (session_id) JOIN n ON n.session_id = e.session_id AND n.turn BETWEEN e.turn - 3 AND e.turn + 4 GROUP BY ALL""",
+    "transcript_incidents": _INCIDENTS,
     "session_meta": _ev("SELECT session_id, cwd, is_subagent FROM sm"),
     "artifact_candidates": _ev("SELECT session_id, implicated_artifact, candidates FROM am"),
     "tool_error": _ev('SELECT incident_id, session_id, project, ts, implicated_artifact, turn, "window" FROM inc JOIN win USING (incident_id) WHERE signal_type = \'tool_error\''),
@@ -138,11 +171,15 @@ FROM c u WHERE u.role = 'user' AND (regexp_matches(lower(u.text), '{_PLAIN_WORD}
     "dedup_gate": f"""WITH {_PROPOSALS}, {_LEDGER},
 op AS (SELECT s_suppkey AS number, CASE WHEN s_suppkey % 2 = 0 THEN 'docs' ELSE 'chore' END || '/tallyrook-r' || (s_suppkey % 7) || '-docs-f' || (s_suppkey % 31) || '-md-' || substr(sha1('/repo/r' || (s_suppkey % 7)), 1, 8) AS head, 'https://github.com/o/r/pull/' || s_suppkey AS url FROM supplier),
 a AS (SELECT head AS branch_name, min_by('open PR #' || number || ' (' || url || ')', number) AS by_pr FROM op GROUP BY head),
-b AS (SELECT proposal_id, min_by('reason-log entry "' || le.id || '" (PR ' || pr_url || ')', le.path) AS by_entry FROM pl JOIN le ON pl.file_path = split_part(le.artifact, '#', 1) AND {_SLUG.format("section")} = {_SLUG.format("split_part(le.artifact, '#', 2)")} AND le.id <> proposal_id
+b AS (SELECT proposal_id, min_by('reason-log entry "' || le.id || '" (PR ' || pr_url || ')', le.path) AS by_entry FROM pl JOIN lc AS le ON pl.file_path = le.clean AND {_SLUG.format("section")} = {_SLUG.format("split_part(le.artifact, '#', 2)")} AND le.id <> proposal_id
   WHERE status = 'ready' AND pr_url <> '' AND outcome_raw = 'open' GROUP BY proposal_id)
 SELECT proposal_id, CASE WHEN COALESCE(by_pr, by_entry) IS NULL THEN 'ready' ELSE 'skip-duplicate' END AS status, COALESCE(by_pr, by_entry, '') AS supersedes FROM pl LEFT JOIN a USING (branch_name) LEFT JOIN b USING (proposal_id) WHERE status = 'ready'""",
-    "pr_messages": f"""WITH {_PROPOSALS} SELECT group_id, CAST(count(*) AS INTEGER) AS items, CASE WHEN count(*) = 1 THEN CASE WHEN bool_or(fix_type = 'escalate-out-of-instructions') THEN 'chore: ' ELSE 'docs: ' END || min(diagnosis) ELSE split_part(branch_name, '/', 1) || ': apply ' || count(*) || ' proposals to ' || split_part(min(file_path), '/', -1) END AS title,
-  string_agg(DISTINCT signal_type, ',' ORDER BY signal_type) AS files FROM pl WHERE status = 'ready' GROUP BY group_id, branch_name""",
+    "pr_messages": f"""WITH {_PROPOSALS},
+ap AS (SELECT p.*, pr.reason_log, right(id, 1) IN ('1', '2', '4') AS told FROM pl p JOIN pr ON pr.id = p.proposal_id WHERE status = 'ready' AND right(id, 1) NOT IN ('3', '6', '9')),
+bl AS (SELECT *, CASE WHEN told THEN 'docs: about ' || proposal_id ELSE diagnosis END AS said, CASE WHEN told THEN '' WHEN fix_type = 'escalate-out-of-instructions' THEN 'chore: ' ELSE 'docs: ' END AS kind,
+  'What is wrong: ' || diagnosis || chr(10) || chr(10) || 'Seen in: ' || signal_type || chr(10) || chr(10) || 'Why this helps: ' || reason_log || chr(10) || chr(10) || '(' || proposal_id || ', ' || fix_type || ')' || chr(10) AS block FROM ap)
+SELECT group_id, CAST(count(*) AS INTEGER) AS items, CASE WHEN count(*) = 1 THEN min(kind || said) ELSE split_part(branch_name, '/', 1) || ': apply ' || count(*) || ' proposals to ' || split_part(min(file_path), '/', -1) END AS title, string_agg(DISTINCT signal_type, ',' ORDER BY signal_type) AS files,
+  md5(CASE WHEN count(*) = 1 THEN min(block) ELSE 'Changes to ' || split_part(min(file_path), '/', -1) || ' by ' || string_agg(proposal_id, ', ' ORDER BY proposal_id) || '.' || chr(10) || string_agg(chr(10) || said || chr(10) || chr(10) || block, chr(10) ORDER BY proposal_id) END) AS body FROM bl GROUP BY group_id, branch_name""",
     "pr_reconcile": f"""WITH {_LEDGER}, st AS (SELECT 'https://github.com/own' || (s_suppkey % 4) || '/rep' || (s_suppkey % 2) || '/pull/' || s_suppkey AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'merged' WHEN s_suppkey % 4 = 1 THEN 'closed' ELSE 'open' END AS outcome FROM supplier)
 SELECT path, outcome, outcome AS written FROM le JOIN st ON st.url = le.pr_url WHERE outcome <> 'open' AND outcome_raw <> '' AND outcome_raw <> outcome""",
     "entry_repos": f"WITH {_LEDGER} SELECT DISTINCT split_part(pr_url, '/', 4) || '/' || split_part(pr_url, '/', 5) AS repo FROM le WHERE pr_url <> ''",

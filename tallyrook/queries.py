@@ -13,6 +13,7 @@ from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from .config import ClusterConfig, MineConfig, PlanConfig
 from .functions import text as X
@@ -20,11 +21,16 @@ from .operators import cluster as C
 from .operators import detectors as D
 from .operators import ledger as L
 from .operators import normalize as N
+from .operators import trend as T
+from .operators.hook import transform_rows
 from .operators.normalize import Tables, artifacts, number_turns
+from .operators.paths import resolved, target_facts
 from .operators.windows import attach_window
 from .plans import proposals as P
 from .plans.render import messages, unreported_files
 from .sources import documents, sinks
+from .sources.shared import scratch
+from .streaming.stream import mine_batch
 
 GLOBAL = "/g/CLAUDE.md"
 MINE = MineConfig(global_artifact=GLOBAL, large_file_lines=1000, medium_lines=1500, high_lines=2000)
@@ -158,10 +164,34 @@ def transcript_sessions(spark, d):
 
 def transcript_incidents(spark, d):
     """From lines to incidents of all signals, with their windows' turns."""
-    found = D.detect(N.tables(read_records(spark, d), MINE), MINE)
+    return _told(D.detect(N.tables(read_records(spark, d), MINE), MINE))
+
+
+def _told(found: DataFrame) -> DataFrame:
     return _flat(found, F.array_join(F.transform("window", lambda w: _s(w["turn"], ":", w["type"])), "|").alias("turns"))
 
 
+def extract_files(spark, d):
+    """Lines in files, read by the recursive reader, through the bucketed record store into the
+    incident table: what the command extract does."""
+    from .api import extract
+
+    folder = scratch(spark, "transcripts")
+    transcript(spark, d).select("value").write.text(f"{folder}/in/p/deep")
+    extract(spark, f"{folder}/in/**/*.txt", f"{folder}/incidents", MINE, since="")
+    return _told(sinks.read_incidents(spark, f"{folder}/incidents"))
+
+
+def incremental_incidents(spark, d):
+    """The same from three batches, in which lines come early and late: each batch reads its own
+    lines and the records of the sessions that these touch."""
+    folder, lines = scratch(spark, "increments"), transcript(spark, d)
+    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    for i in range(3):
+        mine_batch(lines.where(part == i), str(i), f"{folder}/records", f"{folder}/incidents", MINE)
+    return _told(sinks.read_incidents(spark, f"{folder}/incidents"))
+
+
 def session_meta(spark, d):
     return event_tables(spark, d).sessions.select("session_id", "cwd", "is_subagent")
 
@@ -268,7 +298,8 @@ def ledger(spark, d) -> DataFrame:
     s = F.col("s_suppkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     outcome = pick(["open", "closed", "rejected", "merged", ""], s % 5)
-    artifact = F.when(s % 2 == 0, _s("/home/p", s % 12, "/CLAUDE.md")).otherwise(_s("/repo/r", s % 7, "/docs/f", (s + 1) % 31, ".md#Section ", s % 4))
+    home = F.when(s % 4 == 0, _s("/home/./x/../p", s % 12, "//CLAUDE.md")).otherwise(_s("/home/p", s % 12, "/CLAUDE.md"))
+    artifact = F.when(s % 2 == 0, home).otherwise(_s("/repo/r", s % 7, F.when(s % 3 == 0, "/src/..").otherwise(""), "/docs/f", (s + 1) % 31, ".md#Section ", s % 4))
     link = F.when(s % 3 == 0, "").otherwise(_s("**PR:** https://github.com/own", s % 4, "/rep", s % 2, "/pull/", s, "\n"))
     mark = F.when(outcome == "", "").otherwise(_s("<!-- outcome: ", outcome, " -->\n"))
     text = _s("# fix-", s % 97, "\n\n**Artifact:** ", artifact, "  \n**Signal:** ", pick(SIGNALS, s % 3), "  \n\n", link, "\n", mark)
@@ -340,10 +371,13 @@ def dedup_gate(spark, d):
 
 
 def pr_messages(spark, d):
-    """Titles of the groups' pull requests, all of whose proposals were applied."""
+    """Pull requests of the groups: some proposals were refused, some results have no summary, and
+    a group of which nothing was applied has none."""
     good = P.load(proposal_files(spark, d))[0]
-    results = good.select("id", F.lit(True).alias("applied"), F.array(F.col("signal_type")).alias("files_changed"), F.lit("").alias("summary"), F.lit("").alias("reason"))
-    return messages(P.plan(good, facts(spark, d), PLAN), good, results).select("group_id", "items", "title", F.array_join("files_changed", ",").alias("files"))
+    last = F.substring("id", -1, 1)
+    results = good.select("id", (~last.isin("3", "6", "9")).alias("applied"), F.array(F.col("signal_type")).alias("files_changed"), F.when(last.isin("1", "2", "4"), _s("docs: about ", F.col("id"))).otherwise("").alias("summary"), F.lit("").alias("reason"))
+    found = messages(P.plan(good, facts(spark, d), PLAN), good, results)
+    return found.select("group_id", "items", "title", F.array_join("files_changed", ",").alias("files"), F.md5("body").alias("body"))
 
 
 def states(spark, d) -> DataFrame:
@@ -385,6 +419,70 @@ def artifact_counts(spark, d):
     return incidents(spark, d).groupBy("signal_type", "implicated_artifact").agg(F.count("*").alias("incidents"), F.count_distinct("session_id").alias("sessions"))
 
 
+def path_clean(spark, d):
+    """Paths spelled in twelve ways, cleaned."""
+    k = F.col("p_partkey")
+    a, b = _s("a", k % 7), _s("b", k % 5)
+    spelled = [_s("/", a, "/", b, "/../c.md"), _s("./", a), _s(a, "/.."), F.lit("/.."), _s("//", a, "///", b, "/"), _s("/", a, "/./", b, "/../../..//c"), _s("../", a, "/../../", b), _s(a, "/", b, "/../.."), F.lit(""), F.lit("/"), _s(a, "//", b, "/./"), _s("/", a, "/../", b, "/c/..")]
+    path = F.element_at(F.array(*spelled), (k % 12 + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", path.alias("path")).withColumn("clean", X.clean_path("path"))
+
+
+def links(spark, d) -> DataFrame:
+    """Folders and files that exist: /w/l0 to /w/l3 lead to /real, /w/l4 leads nowhere."""
+    c = F.col("c_custkey")
+    rows = _table(spark, d, "customer")
+    folder, real, sub = _s("/w/l", c % 5), F.when(c % 5 < 4, _s("/real/r", c % 5)), F.col("c_custkey") % 2
+    tops = rows.select(folder.alias("path"), real.alias("real_path"))
+    subs = rows.where("c_custkey % 5 < 4").select(F.concat(folder, F.lit("/d"), sub.cast("string")).alias("path"), F.concat(real, F.lit("/d"), sub.cast("string")).alias("real_path"))
+    files = rows.where("c_custkey % 5 < 4 and c_custkey % 2 = 0 and c_custkey % 11 < 6").select(_s(folder, "/d0/n", c % 11, ".md").alias("path"), _s(real, "/d0/n", c % 11, ".md").alias("real_path"))
+    base = spark.range(1).select(F.lit("/w").alias("path"), F.lit("/w").alias("real_path"))
+    return tops.unionByName(subs).unionByName(files).unionByName(base).distinct()
+
+
+def path_targets(spark, d) -> DataFrame:
+    c = F.col("o_custkey")
+    head = F.element_at(F.array(F.lit("/w/"), F.lit("/w/./"), F.lit("/w/x/../"), F.lit("/v/")), (c % 4 + 1).cast("int"))
+    return _table(spark, d, "orders").select(_s(head, "l", c % 5, "/d", c % 3, "/n", c % 11, ".md").alias("path"))
+
+
+def path_resolve(spark, d):
+    """Where paths lead, through the deepest folder above them that exists."""
+    return resolved(path_targets(spark, d), links(spark, d))
+
+
+def path_facts(spark, d):
+    """Repositories of paths: of the nearest root above the real path, a linked one's main one."""
+    c = F.col("c_custkey") % 4
+    linked = F.when(c == 3, "/real/r0")
+    repos = _table(spark, d, "customer").select(_s("/real/r", c).alias("root"), linked.alias("main_root"), _s("git@h:o/r", c).alias("origin_url"), F.when(c == 1, "trunk").alias("base")).distinct()
+    return target_facts(path_targets(spark, d), links(spark, d), repos)
+
+
+def windowed_rates(spark, d):
+    """Incidents in windows of seven days of event time."""
+    return T.rates(incidents(spark, d)).select("artifact", "signal_type", F.unix_timestamp("start").alias("start"), "incidents", F.round("per_day", 6).alias("per_day"))
+
+
+def merge_trend(spark, d):
+    """Incidents in the days before and after the merges that the ledger has."""
+    merged = states(spark, d).withColumn("closed_at", F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("ord") % 29 * 86400 + F.col("ord") % 24 * 3600), "yyyy-MM-dd HH:mm:ss"))
+    found = T.trend(incidents(spark, d), T.merges(ledger(spark, d).withColumn("artifact", X.artifact_path("artifact")), merged), days=9)
+    return found.select("artifact", "signal_type", "url", F.unix_timestamp("merged_at").alias("merged_at"), "before", "after", F.round("ratio", 6).alias("ratio"))
+
+
+def hooked(spark, d):
+    """A step of one's own over valid proposals, which fails on some: those come back as such."""
+
+    def step(row: dict) -> dict | None:
+        if row["id"].endswith("7"):
+            raise ValueError("no answer")
+        return None if row["confidence"] == "low" else {"id": row["id"], "words": len(row["diagnosis"])}
+
+    made, dead = transform_rows(P.load(proposal_files(spark, d))[0], step, ST.StructType([ST.StructField("id", ST.StringType()), ST.StructField("words", ST.LongType())]), tries=2, wait=0.0)
+    return made.withColumn("error", F.lit(None).cast("string")).unionByName(dead.select("id", F.lit(None).cast("long").alias("words"), "error"))
+
+
 def rate_trend(spark, d):
     """Incidents of each artifact and signal before and after a date."""
     later = F.col("ts") >= "2024-01-15"
@@ -395,7 +493,7 @@ def rate_trend(spark, d):
 def registry() -> dict[str, Query]:
     own = [turn_numbering, since_filter, transcript_records, excerpt_projection, content_union, block_explode, tool_result_blocks, string_agg_per_turn, transcript_sessions, transcript_incidents, session_meta, artifact_candidates, user_correction, context_window, incidents_union, insert_ignore, signal_summary]
     own += [cluster_gate, cluster_bundle, top_clusters, nested_caps, cluster_index, byte_truncate, artifact_exists, artifact_missing, ledger_parse, proposal_validate, proposal_dedup, plan_status, plan_groups, dedup_gate, pr_messages]
-    own += [pr_reconcile, entry_repos, preflight_diff, slug_hash, fnv_hash, project_dirs, artifact_counts, rate_trend]
+    own += [pr_reconcile, entry_repos, preflight_diff, slug_hash, fnv_hash, project_dirs, artifact_counts, rate_trend, extract_files, incremental_incidents, path_clean, path_resolve, path_facts, windowed_rates, merge_trend, hooked]
     named = {f.__name__: f for f in own}
     named |= {"tool_error": tool_error_incidents, "tool_error_events": _detector(D.failures), "inefficiency_tiers": _detector(D.large_reads), "retry_after_error": _detector(D.retries)}
     named |= {"stratified_sample": _sampled(CLUSTER), "uncapped_sample": _sampled(ClusterConfig(min_sessions=3, max_incidents=0)), "declined_anti_join": _declined(0), "declined_skipped": _declined(1)}

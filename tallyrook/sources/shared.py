@@ -48,3 +48,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
     fs.delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: it is computed once, its lineage is cut, and
+    a lost executor costs nothing of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

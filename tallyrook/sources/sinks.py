@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import fnv1a32, slug_or_hash
+from .files import names, read_text, write_new, write_text
 from .table import PARTS, LogTable
 
 
@@ -46,24 +46,21 @@ def insert_or_ignore(incidents: DataFrame, path: str, sessions: DataFrame | None
     return incident_table(incidents.sparkSession, path).add(incidents, lambda rows, there: new_rows(rows, there, placed), sessions, placed)
 
 
-def read_marker(path: str) -> str:
-    try:
-        with open(path, encoding="utf-8") as f:
-            return f.read().strip()
-    except FileNotFoundError:
-        return ""
+def read_marker(spark: SparkSession, path: str) -> str:
+    return (read_text(spark, path) or "").strip()
 
 
-def write_marker(path: str, at: datetime.datetime) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(at.astimezone(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") + "\n")
+def write_marker(spark: SparkSession, path: str, at: datetime.datetime) -> None:
+    write_text(spark, path, at.astimezone(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") + "\n")
+
+
+def _json(rows: list) -> str:
+    return json.dumps(rows, indent=2, ensure_ascii=False) + "\n"
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
     """Rows as one indented JSON array (results of bounded size: plans, proposals)."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([json.loads(r.j) for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()], f, indent=2, ensure_ascii=False)
-        f.write("\n")
+    write_text(rows.sparkSession, path, _json([json.loads(r.j) for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]))
 
 
 def cluster_files(clusters: DataFrame) -> DataFrame:
@@ -72,20 +69,16 @@ def cluster_files(clusters: DataFrame) -> DataFrame:
 
 
 def write_clusters(clusters: DataFrame, index_path: str) -> int:
-    """A file for each cluster, and an index that lists them; clusters come one at a time."""
-    folder = os.path.dirname(index_path) or "."
-    os.makedirs(f"{folder}/clusters", exist_ok=True)
-    index = []
+    """A file for each cluster, and an index that lists them; clusters come one at a time, and none
+    is kept. The index is put in place last and whole: what fails before leaves the old one."""
+    spark, index = clusters.sparkSession, []
+    folder = index_path.rsplit("/", 1)[0] if "/" in index_path else "."
     rows = cluster_files(clusters).select("file", F.to_json(F.struct(*clusters.columns), {"ignoreNullFields": "false"}).alias("j"))
     for row in rows.toLocalIterator():
         c = json.loads(row.j)
-        with open(f"{folder}/{row.file}", "w", encoding="utf-8") as f:
-            json.dump(c, f, indent=2, ensure_ascii=False)
-            f.write("\n")
+        write_text(spark, f"{folder}/{row.file}", _json(c))
         index.append({k: c[k] for k in ("cluster_id", "signal_type", "artifact", "artifact_exists", "distinct_sessions", "total_incidents")} | {"sampled_incidents": len(c["incidents"] or []), "file": row.file})
-    with open(index_path, "w", encoding="utf-8") as f:
-        json.dump(index, f, indent=2, ensure_ascii=False)
-        f.write("\n")
+    write_text(spark, index_path, _json(index))
     return len(index)
 
 
@@ -99,33 +92,21 @@ def ledger_markdown(p: dict, date: str, placeholder: str) -> str:
 
 def append_ledger(proposals: DataFrame, folder: str, date: str, placeholder: str) -> int:
     """One new file a proposal; files that exist stay as they are. Returns how many are new."""
-    os.makedirs(folder, exist_ok=True)
-    new = 0
-    for row in proposals.withColumn("__slug", slug_or_hash("id")).orderBy("id").toLocalIterator():
-        try:
-            with open(f"{folder}/{date}-{row['__slug']}.md", "x", encoding="utf-8") as f:
-                f.write(ledger_markdown(row.asDict(), date, placeholder))
-            new += 1
-        except FileExistsError:
-            pass
-    return new
-
-
-def link_pr(folder: str, proposal_id: str, url: str, placeholder: str) -> None:
+    rows = proposals.withColumn("__slug", slug_or_hash("id")).orderBy("id").toLocalIterator()
+    return sum(write_new(proposals.sparkSession, f"{folder.rstrip('/')}/{date}-{r['__slug']}.md", ledger_markdown(r.asDict(), date, placeholder)) for r in rows)
+
+
+def link_pr(spark: SparkSession, folder: str, proposal_id: str, url: str, placeholder: str) -> None:
     """Put a pull request's link into the entry with this heading, once."""
-    for name in sorted(os.listdir(folder)):
-        if not name.endswith(".md"):
-            continue
-        with open(f"{folder}/{name}", encoding="utf-8") as f:
-            text = f.read()
+    for path in names(spark, folder, ".md"):
+        text = read_text(spark, path) or ""
         if not text.startswith(f"# {proposal_id}\n"):
             continue
         if re.search(r"\*\*PR:\*\* ", text):
             return
         if placeholder not in text:
-            raise ValueError(f"{name} has no place for a link")
-        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-            f.write(text.replace(placeholder, f"**PR:** {url}", 1))
+            raise ValueError(f"{path} has no place for a link")
+        write_text(spark, path, text.replace(placeholder, f"**PR:** {url}", 1))
         return
     raise LookupError(f"no ledger entry {proposal_id!r}")
 
@@ -134,7 +115,6 @@ def rewrite(changed: DataFrame) -> int:
     """Write (path, content) rows back to their files."""
     n = 0
     for row in changed.select("path", "content").toLocalIterator():
-        with open(row.path, "w", encoding="utf-8") as f:
-            f.write(row.content)
+        write_text(changed.sparkSession, row.path, row.content)
         n += 1
     return n

@@ -127,11 +127,11 @@ def test_proposals_are_checked_once_and_fences_go(spark, tmp_path):
     told = api.assemble(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "log"), "2026-01-01")
     assert told == {"valid": 2, "invalid": 2, "new": 2}
     assert api.assemble(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "log"), "2026-01-01")["new"] == 0
-    sinks.link_pr(str(tmp_path / "log"), "p1", "u", PlanConfig().pr_placeholder)
-    sinks.link_pr(str(tmp_path / "log"), "p1", "u2", PlanConfig().pr_placeholder)
+    sinks.link_pr(spark, str(tmp_path / "log"), "p1", "u", PlanConfig().pr_placeholder)
+    sinks.link_pr(spark, str(tmp_path / "log"), "p1", "u2", PlanConfig().pr_placeholder)
     assert {r.id: r.pr_url for r in documents.read_ledger(spark, str(tmp_path / "log")).collect()} == {"p0": "", "p1": "u"}
     with pytest.raises(LookupError):
-        sinks.link_pr(str(tmp_path / "log"), "none", "u", "x")
+        sinks.link_pr(spark, str(tmp_path / "log"), "none", "u", "x")
 
 
 @pytest.mark.parametrize(("change", "error"), [({"id": ""}, "missing id"), ({"implicated_artifact": ""}, "missing implicated_artifact"), ({"fix_type": None}, "invalid fix_type"), ({"evidence": []}, "missing evidence"), ({"diagnosis": ""}, "missing diagnosis"), ({"proposed_change": ""}, "missing proposed_change"), ({"reason_log": None}, "missing reason_log")])

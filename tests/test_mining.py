@@ -160,7 +160,7 @@ def test_extract_is_idempotent_and_stamps_the_marker(spark, tmp_path):
     assert api.extract(spark, glob, out, c, since="") == 0
     table = sinks.read_incidents(spark, out)
     assert {r.signal_type: r.n for r in api.summary(table).collect()} == {"retry": 1, "tool_error": 2, "user_correction": 2}
-    assert sinks.read_marker(f"{out}.last-run").endswith("Z")
+    assert sinks.read_marker(spark, f"{out}.last-run").endswith("Z")
     assert api.extract(spark, glob, out, c) == 0
     assert read_transcripts(spark, f"{tmp_path}/in/p/*.jsonl").count() == 4
 
