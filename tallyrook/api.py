@@ -11,7 +11,6 @@ from .config import ClusterConfig, MineConfig, PlanConfig
 from .operators import cluster as C
 from .operators.detectors import detect
 from .operators.ledger import reconcile, split_declined
-from .operators.normalize import tables
 from .plans import proposals as P
 from .plans.render import suggestions
 from .sources import documents, sinks
@@ -25,8 +24,8 @@ def extract(spark: SparkSession, glob: str, out: str, config: MineConfig | None
     `since` the marker beside the table counts; it is set to the start of this run at the end."""
     began, marker = datetime.datetime.now(datetime.UTC), f"{out.rstrip('/')}.last-run"
     config = replace(config or MineConfig(), since=sinks.read_marker(spark, marker) if since is None else since)
-    with stored(read_transcripts(spark, glob), config) as rec:
-        n = sinks.insert_or_ignore(detect(tables(rec, config), config), out, rec.select("session_id").distinct(), placed=True)
+    with stored(read_transcripts(spark, glob), config) as found:
+        n = sinks.insert_or_ignore(detect(found, config), out, found.sessions.select("session_id"), placed=True)
     sinks.write_marker(spark, marker, began)
     return n
 

@@ -97,6 +97,8 @@ def detect(tables: Tables, config: MineConfig) -> DataFrame:
     events = reduce(DataFrame.unionByName, frames)
     if config.since and not config.compat_since:
         events = events.where(F.col("ts") >= config.since)
+    if tables.buckets:  # a union forgets where its rows lie
+        events = events.repartition(tables.buckets, "session_id")
     # an event is one for its turn and signal: the first by detail, then time
     events = events.select("session_id", "turn", "signal_type", "detail", "ts", "confidence")
     found = attach_window(events, tables.turns, config.window_before, config.window_after, unique=("signal_type",))

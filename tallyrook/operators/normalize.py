@@ -115,15 +115,17 @@ def artifacts(meta: DataFrame, config: MineConfig) -> DataFrame:
 @dataclass(frozen=True)
 class Tables:
     """What detectors read: turns (session_id, turn, type, excerpt) and the tables above. Where
-    user_text has no after_call, corrections look for calls in tool_uses."""
+    user_text has no after_call, corrections look for calls in tool_uses. buckets: all lie by
+    session in so many, or, if 0, anyhow."""
 
     turns: DataFrame
     tool_uses: DataFrame
     tool_results: DataFrame
     user_text: DataFrame
     sessions: DataFrame
+    buckets: int = 0
 
 
-def tables(rec: DataFrame, config: MineConfig) -> Tables:
+def tables(rec: DataFrame, config: MineConfig, buckets: int = 0) -> Tables:
     turns = rec.select("session_id", "turn", "type", "excerpt")
-    return Tables(turns, tool_uses(rec), tool_results(rec), user_text(rec), session_meta(rec, config))
+    return Tables(turns, tool_uses(rec), tool_results(rec), user_text(rec), session_meta(rec, config), buckets)

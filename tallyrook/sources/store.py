@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 from ..config import MineConfig
-from ..operators.normalize import numbered, parsed
+from ..operators.normalize import Tables, numbered, parsed, tables
 from .shared import remove, scratch
 from .table import PARTS, LogTable
 
@@ -33,8 +33,8 @@ def co_located(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def stored(raw: DataFrame, config: MineConfig, buckets: int = 0) -> Iterator[DataFrame]:
-    """The lines' records, numbered, written to the shared folder in buckets by session_id and read
+def stored(raw: DataFrame, config: MineConfig, buckets: int = 0) -> Iterator[Tables]:
+    """The tables of the lines' records, numbered, written to the shared folder in buckets by session_id and read
     again. The one exchange by session serves numbering and the buckets: there are as many tasks as
     buckets, and each writes one file. Detectors read the columns that they need alone, also those
     inside blocks, and none of their joins, windows and sums by session moves rows again."""
@@ -45,7 +45,7 @@ def stored(raw: DataFrame, config: MineConfig, buckets: int = 0) -> Iterator[Dat
         try:
             rec = numbered(parsed(raw, config).repartition(n, "session_id"), config)
             rec.write.bucketBy(n, "session_id").option("path", path).saveAsTable(name)
-            yield spark.table(name)
+            yield tables(spark.table(name), config, n)
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(spark, path)

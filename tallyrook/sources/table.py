@@ -19,7 +19,7 @@ from collections.abc import Callable
 from contextlib import suppress
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,10 +124,10 @@ class LogTable:
     def _write(self, rows: DataFrame, schema: T.StructType, placed: bool = False) -> tuple[str, int]:
         """(name of the commit, number of rows). placed: the rows lie by session already. Else each
         part's rows go to few files, and a part that holds a hot session is split among tasks."""
-        name, seen = uuid.uuid4().hex, Observation()
-        rows = rows.select(*schema.names).withColumn("part", self.part_of()).observe(seen, F.count(F.lit(1)).alias("n"))
+        name = uuid.uuid4().hex
+        rows = rows.select(*schema.names).withColumn("part", self.part_of())
         (rows if placed else rows.hint("rebalance", "part")).write.partitionBy("part").parquet(self._at("rows", f"commit={name}"))
-        return name, seen.get["n"]
+        return name, self._commits([name], schema).count()  # from the files' footers
 
     def _append(self, entry: Entry) -> None:
         fs, at = file_system(self.spark, self._at("log", f"{entry.version:012d}.json"))
