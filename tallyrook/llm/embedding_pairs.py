@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean, written
 from .components import components
@@ -104,11 +105,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
     all its links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
-    vectors of different lengths, don't link. A null vec_id is counted but names no
+    vectors of different lengths, don't link. Labels are numbers or strings of any kind. A null vec_id is counted but names no
     component. Rows that repeat are copies: they link with each other. Rows that share an
     id but not a vector are vectors of their own. An empty table gives an empty one.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    label = F.col("label")
+    if isinstance(vectors.schema["label"].dataType, T.FractionalType):
+        label = label + F.lit(0.0)  # -0.0 and 0.0 are equal
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), label.cast("string").alias("label"))
     fine = "label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     keyed = rows.withColumn("key", F.when(F.expr(f"coalesce({fine}, false)"), F.sha2(F.to_json(F.struct(F.transform("embedding", lambda x: x + F.lit(0.0)).alias("e"))), 256)))
     classes = keyed.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
@@ -133,10 +137,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
             np.fill_diagonal(may, False)
             sides.pop()
         nodes = pa.concat_arrays([s["node"].filter(pa.array(may.any(1 - k))) for k, s in enumerate(sides)])
-        fixed = [pa.array([g[c][0].as_py()] * len(nodes), pa.int32()) for c in ("label", "dim", "i", "j")]
+        fixed = [pa.array([g[c][0].as_py()] * len(nodes), pa.string() if c == "label" else pa.int32()) for c in ("label", "dim", "i", "j")]
         return pa.table([*fixed, nodes], names=["label", "dim", "i", "j", "node"])
 
-    able = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(near, "label int, dim int, i int, j int, node long"), "vectors-near")
+    able = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(near, "label string, dim int, i int, j int, node long"), "vectors-near")
     full = able.join(placed.select("node", "t"), "node").join(classes.select("node", "copies", "embedding"), "node")
 
     def side(g: pa.Table, t: int) -> dict:

@@ -43,6 +43,7 @@ GATES = len(GATE_EDGES) + 1
 SETS = 16  # of weights: a word's bits, and those of its first byte
 LEVELS = 33  # of the final table
 RANGES = 64
+BROADCAST = 1_000_000  # buckets, whose numbers of parts are sent to all tasks, at most
 MOST = 400_000  # units of a bucket, as blocks have them, above which it is split
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], U)
 _NODE = U(0x9E3779B97F4A7C15)
@@ -188,22 +189,20 @@ def blocks(docs: DataFrame, buckets: int, most: int = 600_000) -> DataFrame:
 _UNITS = "bucket int, sub int, block string, at long, places binary, bytes binary, sizes binary, train binary"
 
 
-def _dealt(sent: DataFrame) -> DataFrame:
+def _dealt(sent: DataFrame, buckets: int) -> DataFrame:
     """The rows of units with the part of the bucket they belong to: buckets of more than
-    MOST units are split by the units' hashes."""
+    MOST units are split by the units' hashes. The parts' numbers are one row a bucket."""
     units = sent.where("bucket is not null").select("bucket", "block", "at", "n", "bytes", "sizes", "train")
-    large = {r.bucket: -(-r.n // MOST) for r in units.groupBy("bucket").agg(F.sum("n").alias("n")).where(f"n > {MOST}").collect()}
-    whole = units.where(~F.col("bucket").isin(list(large))) if large else units
-    whole = whole.select("bucket", F.lit(0).alias("sub"), "block", "at", F.lit(None).cast("binary").alias("places"), "bytes", "sizes", "train")
-    if not large:
-        return whole
+    parts = units.groupBy("bucket").agg(F.ceil(F.sum("n") / MOST).cast("int").alias("parts"))
+    units = units.join(F.broadcast(parts) if buckets <= BROADCAST else parts, "bucket")
+    whole = units.where("parts <= 1").select("bucket", F.lit(0).alias("sub"), "block", "at", F.lit(None).cast("binary").alias("places"), "bytes", "sizes", "train")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 data, size, n = np.frombuffer(r["bytes"], np.uint8), unpacked(r["sizes"]).astype(np.int64), unpacked(r["train"])
                 start = np.cumsum(size) - size
-                sub = (hash_ranges(data, start, start + size) % U(large[r["bucket"]])).astype(np.int64)
+                sub = (hash_ranges(data, start, start + size) % U(r["parts"])).astype(np.int64)
                 rows = []
                 for k in np.unique(sub).tolist():
                     i = np.flatnonzero(sub == k)
@@ -211,7 +210,7 @@ def _dealt(sent: DataFrame) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_UNITS))
 
-    return whole.union(units.where(F.col("bucket").isin(list(large))).mapInArrow(lean(split), _UNITS))
+    return whole.union(units.where("parts > 1").mapInArrow(lean(split), _UNITS))
 
 
 _VOCAB = "bucket int, sub int, bytes binary, sizes binary, train binary, blocks array<string>, at array<long>, places array<binary>, maps array<binary>, tokens long, types long"
@@ -236,7 +235,7 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_VOCAB))
 
-    return written(_dealt(sent).groupBy("bucket", "sub").applyInArrow(run, _VOCAB), "lm-vocabulary")
+    return written(_dealt(sent, buckets).groupBy("bucket", "sub").applyInArrow(run, _VOCAB), "lm-vocabulary")
 
 
 class Shard:

@@ -762,7 +762,7 @@ def test_words_and_windows():
 
 
 def test_all_queries_are_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) < set(queries.QUERIES)
 
 
@@ -772,7 +772,7 @@ def test_query_equals_sql(spark, name):
     if not os.path.isdir(data):
         pytest.skip("no test data")
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         duck.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = duck.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
@@ -781,3 +781,19 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     got = sorted(str([plain(r[c]) for c in names]) for r in df.collect())
     assert got == sorted(str(list(r)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("string", ["a", "b", None, "1"]), ("long", [3_000_000_000, 1, None, -5]), ("double", [0.5, -0.0, None, 0.0]), ("decimal(20,3)", None)])
+def test_labels_of_any_kind_group_vectors(spark, kind, labels):
+    from decimal import Decimal
+
+    labels = labels or [Decimal("1.5"), Decimal("99999999999999.001"), None, Decimal("0")]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        v = rng.normal(size=4) if i % 3 else np.ones(4) + rng.normal(size=4) * 0.01
+        rows.append((i, [float(x) for x in v], labels[i % 4]))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_pairs.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}"), tile=8).collect()}
+    numbers = {x: k for k, x in enumerate(dict.fromkeys(x for x in labels if x is not None))}
+    same = {r.vec_id: (r.n_links, r.component_id) for r in embedding_pairs.near_vectors(spark.createDataFrame([(i, v, numbers.get(x)) for i, v, x in rows], "vec_id long, embedding array<double>, label int"), tile=8).collect()}
+    assert got == same and any(n for n, _ in got.values())

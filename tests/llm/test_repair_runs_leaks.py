@@ -7,12 +7,11 @@ import re
 import zlib
 from fractions import Fraction
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrook.llm import decontaminate, oracles, periodic, queries, turn_repair
+from tallyrook.llm import decontaminate, periodic, turn_repair
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAK_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -348,13 +347,3 @@ def test_suffix_order_and_ranks():
         inside = rng.integers(0, len(text), 300)
         found, before = tree.access(inside)
         assert found.tolist() == text[inside].tolist() and before.tolist() == [int((text[:a] == text[a]).sum()) for a in inside]
-
-
-def test_leaks_equal_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    got = sorted(tuple(r) for r in queries.op13_decontaminate(spark, folder).collect())
-    db = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    assert got == sorted(db.execute(oracles.CONTAMINATION).fetchall())
-    assert any(r[5] for r in got)
