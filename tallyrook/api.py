@@ -6,11 +6,14 @@ import datetime
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import ClusterConfig, MineConfig, PlanConfig
 from .operators import cluster as C
+from .operators import trend as T
 from .operators.detectors import detect
 from .operators.ledger import reconcile, split_declined
+from .operators.paths import target_facts
 from .plans import proposals as P
 from .plans.render import suggestions
 from .sources import documents, sinks
@@ -34,17 +37,18 @@ def summary(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("signal_type").count().withColumnRenamed("count", "n").orderBy("signal_type")
 
 
-def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_dir: str = "", config: ClusterConfig | None = None, repo: str = "") -> dict[str, int]:
+def cluster(spark: SparkSession, incidents_path: str, index_path: str, ledger_dir: str = "", config: ClusterConfig | None = None, repo: str = "", links: DataFrame | None = None) -> dict[str, int]:
     """Write the clusters' files and index; returns how many were written and left out, and
     where `top` cut, the weakest cluster that stayed. With `repo`, the index has only the
-    clusters of artifacts below that folder."""
+    clusters of artifacts below that folder. `links` (schemas.LINK) tells where paths lead, so
+    that declined work is known by any of its paths."""
     config = config or ClusterConfig()
     found = C.clusters(sinks.read_incidents(spark, incidents_path), config).persist()
     try:
         kept, missing = C.with_content(found, documents.read_artifacts(found.select("artifact"), config.max_content_bytes), config)
         skipped = None
         if ledger_dir:
-            kept, skipped = split_declined(kept, documents.read_ledger(spark, ledger_dir))
+            kept, skipped = split_declined(kept, documents.read_ledger(spark, ledger_dir), links)
         best, cut = C.top(C.capped(kept, config), config.top)
         weakest = C.cutoff(best) if cut else {}
         return weakest | {"written": sinks.write_clusters(C.below(best, repo) if repo else best, index_path), "missing": missing.count(), "declined": skipped.count() if skipped is not None else 0, "cut": cut}
@@ -60,8 +64,27 @@ def assemble(spark: SparkSession, proposals_dir: str, out: str, ledger_dir: str,
     return {"valid": good.count(), "invalid": bad.count(), "new": new}
 
 
-def prepare(proposals: DataFrame, facts: DataFrame, out: str, config: PlanConfig | None = None, open_prs: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
-    plan = P.plan(proposals, facts, config or PlanConfig(), open_prs, ledger).persist()
+def facts(proposals: DataFrame, links: DataFrame, repos: DataFrame, out: str, config: PlanConfig | None = None) -> None:
+    """Write what is known of the proposals' paths, and of the settings repository: schemas.TARGET_FACT."""
+    spark, settings = proposals.sparkSession, (config or PlanConfig()).settings_repo
+    paths = proposals.select(F.substring_index("implicated_artifact", "#", 1).alias("path"))
+    own = spark.range(1).select(F.lit(settings or None).cast("string").alias("path"))
+    sinks.write_rows(target_facts(paths.unionByName(own), links, repos).orderBy("path"), out)
+
+
+def trend(spark: SparkSession, incidents_path: str, ledger_dir: str, states: DataFrame, out: str, days: int = 14) -> int:
+    """Write the incidents in the days before and after each merge that the ledger has, and their
+    ratio; states (schemas.PR_CLOSED)."""
+    found = T.trend(sinks.read_incidents(spark, incidents_path), T.merges(documents.read_ledger(spark, ledger_dir), states), days).orderBy("merged_at", "url").persist()
+    try:
+        sinks.write_rows(found, out)
+        return found.count()
+    finally:
+        found.unpersist()
+
+
+def prepare(proposals: DataFrame, facts: DataFrame, out: str, config: PlanConfig | None = None, open_prs: DataFrame | None = None, ledger: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    plan = P.plan(proposals, facts, config or PlanConfig(), open_prs, ledger, links).persist()
     sinks.write_rows(plan, out)
     return plan
 

@@ -28,4 +28,6 @@ LINK = _struct(path=_s, real_path=_s)
 REPO = _struct(root=_s, main_root=_s, origin_url=_s, base=_s)
 OPEN_PR = _struct(number=_l, title=_s, headRefName=_s, url=_s)
 PR_STATE = _struct(url=_s, state=_s)
+#: The same with the time at which a pull request was closed.
+PR_CLOSED = _struct(url=_s, state=_s, closed_at=_s)
 EDITOR_RESULT = _struct(applied=_b, files_changed=T.ArrayType(_s), summary=_s, reason=_s)

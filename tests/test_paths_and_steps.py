@@ -182,3 +182,29 @@ def test_files_are_put_in_place_whole(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         sinks.write_clusters(broken, f"file://{tmp_path}/out/index.json")
     assert files.read_text(spark, f"file://{tmp_path}/out/index.json") == before
+
+
+def test_commands_of_paths_trends_and_streams(spark, tmp_path):
+    import json
+
+    from tallyrook.__main__ import parser, run
+
+    call = lambda *args: run(spark, parser().parse_args([str(a) for a in args]))
+    put = lambda name, value: (tmp_path / name).write_text(json.dumps(value)) and tmp_path / name
+    proposal = {"id": "p1", "implicated_artifact": "/l/./d.md#S", "signal_type": "tool_error", "fix_type": "add", "evidence": ["e"], "diagnosis": "d", "proposed_change": "c", "confidence": "high", "reason_log": "r"}
+    links, repos = put("links.json", [{"path": "/l", "real_path": "/real"}]), put("repos.json", [{"root": "/real", "origin_url": "u"}])
+    assert call("facts", "--proposals", put("all.json", [proposal]), "--links", links, "--repos", repos, "--out", tmp_path / "facts.json") == {"out": str(tmp_path / "facts.json")}
+    fact = json.loads((tmp_path / "facts.json").read_text())
+    assert fact == [{"path": "/l/./d.md", "real_path": "/real/d.md", "exists": False, "repo_root": "/real", "origin_url": "u", "base": "main"}]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/x.md").write_text("# old\n\n**Artifact:** /real/d.md#S  \n**Signal:** tool_error  \n\n**PR:** url1\n\n<!-- outcome: open -->\n")
+    assert call("prepare", "--proposals", tmp_path / "all.json", "--facts", tmp_path / "facts.json", "--out", tmp_path / "plan.json", "--ledger", tmp_path / "log", "--links", links) == {"skip-duplicate": 1}
+    lines = [{"type": "assistant", "sessionId": "s", "uuid": "1", "timestamp": "2026-01-03T00:00:00Z", "cwd": "/real", "message": {"content": [{"type": "tool_use", "id": "a", "name": "X", "input": {}}]}}, {"type": "user", "sessionId": "s", "uuid": "2", "timestamp": "2026-01-03T00:01:00Z", "message": {"content": [{"type": "tool_result", "tool_use_id": "a", "is_error": True}]}}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    assert call("follow", "--corpus", tmp_path / "in", "--out", tmp_path / "inc", "--checkpoint", tmp_path / "c") == {"lines": 2}
+    (tmp_path / "log/x.md").write_text("# old\n\n**Artifact:** /real/CLAUDE.md  \n**Signal:** tool_error  \n\n**PR:** url1\n")
+    states = put("states.json", [{"url": "url1", "state": "MERGED", "closed_at": "2026-01-01T00:00:00Z"}])
+    assert call("trend", "--incidents", tmp_path / "inc", "--ledger", tmp_path / "log", "--states", states, "--out", tmp_path / "trend.json") == {"merges": 1}
+    assert [(r["before"], r["after"]) for r in json.loads((tmp_path / "trend.json").read_text())] == [(0, 1)]
+    assert call("compact", "--incidents", tmp_path / "inc", "--older-than", 0) == {"version": 1, "removed": 1} and call("summary", "--incidents", tmp_path / "inc") == {"tool_error": 1}
