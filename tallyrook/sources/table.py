@@ -121,13 +121,17 @@ class LogTable:
             rows = rows.join(F.broadcast(versions), "commit").join(gone, ["part", self.key], "left").where("until is null or version >= until")
         return rows.select(*self.schema.names)
 
-    def _write(self, rows: DataFrame, schema: T.StructType, placed: bool = False) -> tuple[str, int]:
-        """(name of the commit, number of rows). placed: the rows lie by session already. Else each
+    def _write(self, rows: DataFrame, schema: T.StructType, placed: bool = False) -> str:
+        """The name of a commit of these rows. placed: the rows lie by session already. Else each
         part's rows go to few files, and a part that holds a hot session is split among tasks."""
         name = uuid.uuid4().hex
         rows = rows.select(*schema.names).withColumn("part", self.part_of())
         (rows if placed else rows.hint("rebalance", "part")).write.partitionBy("part").parquet(self._at("rows", f"commit={name}"))
-        return name, self._commits([name], schema).count()  # from the files' footers
+        return name
+
+    def _count(self, name: str) -> int:
+        """The number of a commit's rows, from its files' footers."""
+        return self._commits([name], self.schema).count()
 
     def _append(self, entry: Entry) -> None:
         fs, at = file_system(self.spark, self._at("log", f"{entry.version:012d}.json"))
@@ -166,7 +170,8 @@ class LogTable:
             if mark and self.marked(mark):
                 return 0
             if not name:
-                name, n = self._write(rows, self.schema)
+                name = self._write(rows, self.schema)
+                n = self._count(name)
             with suppress(Conflict):
                 self._entry_after(base, name if n else "", mark=mark)
                 return n
@@ -179,7 +184,8 @@ class LogTable:
         seen, base = -1, self.version()
         parts = None if base < 0 else self.parts_of(rows if sessions is None else sessions)
         for _ in range(tries):
-            name, n = self._write(fresh(rows, self.read(parts, seen, base)), self.schema, placed and seen < 0)
+            name = self._write(fresh(rows, self.read(parts, seen, base)), self.schema, placed and seen < 0)
+            n = self._count(name)
             if not n:
                 return 0
             with suppress(Conflict):
@@ -194,26 +200,26 @@ class LogTable:
         """Make `rows` what the table has of some sessions (session_id, each once), in one commit:
         what is there and equal stays, what differs or is there no more is taken out. Returns how
         many rows were added and taken out."""
-        rows, keys = rows.select(*self.schema.names).persist(), [self.by, self.key]
-        told = F.xxhash64(*(c for c in self.schema.names if c not in keys)).alias("told")
+        names, keys = self.schema.names, [self.by, self.key]
+        told = F.xxhash64(*(c for c in names if c not in keys))
+        rows = rows.select(*names, told.alias("__now")).persist()
+        new, gone = F.col("__now").isNotNull(), F.col("__was").isNotNull()
         try:
             parts = self.parts_of(sessions)
             for _ in range(tries):
                 base = self.version()
-                there = self.read(parts, until=base).join(sessions, self.by, "left_semi").select(*keys, told)
-                new = rows.join(there.withColumnRenamed("told", "was"), keys, "left").where(~told.eqNullSafe(F.col("was"))).select(*self.schema.names).persist()
-                gone = there.join(rows.select(*keys, told.alias("now")), keys, "left").where("not (told <=> now)").select(*keys).persist()
+                there = self.read(parts, until=base).join(sessions, self.by, "left_semi").select(*keys, told.alias("__was"))
+                differ = rows.join(there, keys, "full_outer").where(~F.col("__now").eqNullSafe(F.col("__was"))).persist()
                 try:
-                    n, m = new.count(), gone.count()
+                    n, m = differ.agg(F.count_if(new), F.count_if(gone)).first()
                     if n or m:
-                        added = self._write(new, self.schema)[0] if n else ""
-                        self._entry_after(base, added, self._write(gone, T.StructType([self.schema[c] for c in keys]))[0] if m else "")
+                        added = self._write(differ.where(new), self.schema) if n else ""
+                        self._entry_after(base, added, self._write(differ.where(gone), T.StructType([self.schema[c] for c in keys])) if m else "")
                     return n, m
                 except Conflict:
                     continue
                 finally:
-                    new.unpersist()
-                    gone.unpersist()
+                    differ.unpersist()
             raise Conflict(base)
         finally:
             rows.unpersist()
@@ -226,7 +232,7 @@ class LogTable:
         if not log:
             return -1
         last = log[-1].version
-        return self._entry_after(last, self._write(self.read(until=last), self.schema)[0], stands_for=last, mark="|".join(marks))
+        return self._entry_after(last, self._write(self.read(until=last), self.schema), stands_for=last, mark="|".join(marks))
 
     def vacuum(self, seconds: float) -> int:
         """Delete commits that no entry names, if they are older: writers may still be at work on
