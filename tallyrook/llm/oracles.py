@@ -61,4 +61,11 @@ marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_i
 items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, CAST(COALESCE(len(l), 0) AS BIGINT) AS n_items, sha256(COALESCE(array_to_string(l, ','), '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_warc": WARC, "op2_preference": PREFERENCE, "op8_embeddings": EMBEDDINGS, "op10_jaccard": JACCARD, "op13_decontaminate": CONTAMINATION}
+QUALITY = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), {_WORDS}) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) AS r(i)),
+often AS (SELECT doc_id, k FROM g GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN often USING (doc_id, k)) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS lines, COALESCE(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c"""
+
+ORACLES: dict[str, str] = {"op1_warc": WARC, "op2_preference": PREFERENCE, "op8_embeddings": EMBEDDINGS, "op10_jaccard": JACCARD, "op13_decontaminate": CONTAMINATION, "quality_counts": QUALITY}

@@ -69,6 +69,12 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4's operator counts of each text, without a model's verdict, which SQL can't give."""
+    judged = crf_quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), crf_quality.Model.plain())
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preference": op2_preference,
@@ -83,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_turn_repair": op11_turn_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_decontaminate": op13_decontaminate,
+    "quality_counts": quality_counts,
 }

@@ -762,7 +762,7 @@ def test_words_and_windows():
 
 
 def test_all_queries_are_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 14))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k != "quality_counts"} == set(range(1, 14))
     assert set(queries.ORACLES) < set(queries.QUERIES)
 
 
